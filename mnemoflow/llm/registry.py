@@ -1,7 +1,6 @@
 """Queries and DuckDB SQL of the training-data operators, by name."""
 
-from .near_dedup import ORACLE as NEAR_DEDUP_SQL
-from .near_dedup import op10_near_dedup
+from . import near_dedup, substring_dedup
 
-QUERIES = {f.__name__: f for f in (op10_near_dedup,)}
-ORACLES = {"op10_near_dedup": NEAR_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (substring_dedup.op4_substring_dedup, near_dedup.op10_near_dedup)}
+ORACLES = {"op4_substring_dedup": substring_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}
