@@ -15,7 +15,6 @@ ignored; a text of which all is removed becomes the empty text (kept_sha256 of z
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
