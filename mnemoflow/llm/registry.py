@@ -1,6 +1,6 @@
 """Queries and DuckDB SQL of the training-data operators, by name."""
 
-from . import near_dedup, pii, substring_dedup, toxicity
+from . import near_dedup, packing, pii, substring_dedup, toxicity
 
-QUERIES = {f.__name__: f for f in (substring_dedup.op4_substring_dedup, toxicity.op6_toxicity, pii.op8_pii, near_dedup.op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (packing.op3_packing, substring_dedup.op4_substring_dedup, toxicity.op6_toxicity, pii.op8_pii, near_dedup.op10_near_dedup)}
 ORACLES = {"op4_substring_dedup": substring_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}

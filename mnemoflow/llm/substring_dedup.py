@@ -45,13 +45,14 @@ def intervals(marks: np.ndarray, size: int) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + size).tolist(), strict=True))
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, removed (intervals of words, end exclusive), n_removed, kept (text)."""
+def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of docs: the columns `keep`, n_words, removed (intervals of words, end exclusive), n_removed, kept (text)."""
     total = text_bytes(docs, text)
     groups, buckets = max(1, -(-total // GROUP_BYTES)), min(1 << 20, next_power(total / BUCKET_BYTES))
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = base.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("part"))
+    carried = [F.col(c).alias(f"keep_{c}") for c in keep]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *carried).withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    fields = [(f.name, f.dataType.simpleString()) for f in dealt.schema.fields if f.name.startswith("keep_")]
 
     def send(table: pa.Table) -> pa.Table:
         _, _, _, every = _windows(table, size)
@@ -76,26 +77,29 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35) -> Dat
         seen = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=k.as_py()) for b, k in zip(answers.column("bits"), answers.column("n"), strict=True)]
         repeated = own[(n > 1) | (np.concatenate(seen).astype(bool) if seen else np.zeros(len(own), bool))]
         marks = np.isin(every, repeated)
-        out, at = {"doc_id": [], "n_words": [], "removed": [], "n_removed": [], "kept": []}, 0
-        ids = table.column("doc_id").to_pylist()
-        for i, w, h in zip(order, found, each, strict=True):
+        out, at = {"n_words": [], "removed": [], "n_removed": [], "kept": []}, 0
+        for w, h in zip(found, each, strict=True):
             spans = intervals(marks[at : at + len(h)], size)
             at += len(h)
             kept, end = [], 0
             for a, b in spans:
                 kept += w[end:a]
                 end = b
-            out["doc_id"].append(ids[i])
             out["n_words"].append(len(w))
             out["removed"].append([{"start": a, "end": b} for a, b in spans])
             out["n_removed"].append(sum(b - a for a, b in spans))
             out["kept"].append(b" ".join(kept + w[end:]).decode("utf-8", "surrogatepass"))
-        return pa.table(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.string())]))
+        result = pa.table(out, pa.schema([("n_words", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_removed", pa.int64()), ("kept", pa.string())]))
+        table = table.take(order)
+        for i, (name, _) in enumerate(fields):
+            result = result.add_column(i, name, table.column(name))
+        return result
 
     sent = dealt.groupBy("part").applyInArrow(send, "bucket long, part long, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "part long, bucket long, bits binary, n long")
-    schema = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, n_removed long, kept string"
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(mark, schema)
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields) + ", n_words long, removed array<struct<start:long,end:long>>, n_removed long, kept string"
+    out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(mark, schema)
+    return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 2_000, 5, 4, (4, 5, 6)
+SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 2_000, 5, 4, (4, 5, 6, 7, 8)
 #: Words that report another's speech.
 REPORTING = frozenset(b"said says say saying called calls wrote writes quoted quote quotes cited cites reported term word sagte schrieb dit dijo".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
 
 def score_toxicity(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of every row, its hit counts and its score between 0 and 1."""
+    """The columns `keep` of every row (the text itself may be one), its hit counts and its score between 0 and 1."""
     terms, stems, weights = model
     base = docs.select(*keep, F.col(text).alias("_text"))
 
