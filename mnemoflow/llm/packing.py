@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, table
 
 SHARD, ISLANDS, ROUNDS, GENERATIONS, POPULATION, ELITES = 4_000, 2, 2, 6, 4, 2
 
@@ -227,6 +227,4 @@ def pack_documents(docs: DataFrame, text: str = "text", length: int = 2048, toke
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return pack_documents(table(spark, sf_dir, "documents"))

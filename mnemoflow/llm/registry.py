@@ -1,6 +1,19 @@
 """Queries and DuckDB SQL of the training-data operators, by name."""
 
-from . import near_dedup, packing, pii, substring_dedup, topk, toxicity, warc
+from . import byte_bpe, language_id, near_dedup, packing, pii, substring_dedup, topk, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (warc.op1_warc, topk.op2_topk, packing.op3_packing, substring_dedup.op4_substring_dedup, toxicity.op6_toxicity, pii.op8_pii, near_dedup.op10_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        warc.op1_warc,
+        topk.op2_topk,
+        packing.op3_packing,
+        substring_dedup.op4_substring_dedup,
+        language_id.op5_language_id,
+        toxicity.op6_toxicity,
+        byte_bpe.op7_byte_bpe,
+        pii.op8_pii,
+        near_dedup.op10_near_dedup,
+    )
+}
 ORACLES = {"op1_warc": warc.ORACLE, "op2_topk": topk.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}

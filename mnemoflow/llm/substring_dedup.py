@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, next_power, text_bytes, window_hashes, words
+from .common import mix, next_power, table, text_bytes, window_hashes, WordHashes, words
 
 GROUP_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 
@@ -103,8 +103,6 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, keep:
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import table, words
 
 SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 2_000, 5, 4, (4, 5, 6, 7, 8)
 #: Words that report another's speech.
@@ -192,8 +192,6 @@ def held_out(i):
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     out = score_toxicity(docs, model)
