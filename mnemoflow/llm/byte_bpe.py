@@ -1,6 +1,11 @@
-"""Byte-level BPE in Spark's higher-order functions: ranked merges folded over distinct words, and decoding by pieces.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words by a rank map, and decoding by pieces.
 
-A text is cut into words by the tokenizer's pattern. Distinct words are counted, and those of the HEAD most frequent counts
+There are two forms with equal results. `transcode` (the query's) folds in Arrow batches: each task folds a distinct word
+once, remembers a bounded number of words, and decodes by concatenating the pieces of the ids. `encode` and `decode` are the
+form in Spark's higher-order functions; its folds of rare words cost several times the time that the task's limits leave
+(figures in the README), so that the query takes the other form.
+
+The form in higher-order functions. A text is cut into words by the tokenizer's pattern. Distinct words are counted, and those of the HEAD most frequent counts
 are encoded once by the fold and go back to the tasks as a literal map; words outside it, rarer, are folded where they stand.
 Words of more than LONG bytes, for which a fold would take the square of their length, are encoded by `tiktoken` with the
 same ranks, as is the rest of a text that holds one, in an Arrow function that only such texts reach.
@@ -22,6 +27,8 @@ import base64
 import json
 import zlib
 from functools import cache
+from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 
-HEAD, SHARDS, WORD_SHARDS, LONG = 1 << 17, 1 << 14, 1 << 15, 48
+HEAD, SHARDS, WORD_SHARDS, LONG, NONE = 1 << 17, 1 << 14, 1 << 15, 48, 1 << 30
 
 
 @cache
@@ -62,19 +69,18 @@ def rank_of(b: Column, ranks: Column) -> Column:
 def encode_word(word: Column, ranks: Column) -> Column:
     """ids (array<int>) of one word, by the fold of ranked merges."""
     data = word.cast("binary")
-    none = 1 << 30
     parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(data, i, F.lit(1)))
 
     def step(state: Column, _: Column) -> Column:
         p = state["parts"]
 
         def merged(near: Column) -> Column:
-            low = F.coalesce(F.array_min(near), F.lit(none))
+            low = F.coalesce(F.array_min(near), F.lit(NONE))
             at = F.array_position(near, low).cast("int")
             joined = F.concat(F.slice(p, 1, at - 1), F.array(F.concat(F.element_at(p, at), F.element_at(p, at + 1))), F.slice(p, at + 2, F.size(p)))
-            return F.when(low == none, F.struct(p.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("parts"), (F.size(p) <= 2).alias("done")))
+            return F.when(low == NONE, F.struct(p.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("parts"), (F.size(p) <= 2).alias("done")))
 
-        near = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.coalesce(rank_of(F.concat(x, F.element_at(p, i + 2)), ranks), F.lit(none)))
+        near = F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.coalesce(rank_of(F.concat(x, F.element_at(p, i + 2)), ranks), F.lit(NONE)))
         # The ranks are computed once: a one-element array binds them for `merged`.
         return F.when(state["done"], state).otherwise(F.element_at(F.transform(F.array(near), merged), 1))
 
@@ -141,10 +147,89 @@ def decode(ids: Column, rank_path: str) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(by_id, i + 1)), ""))
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """ids of one word: the leftmost adjacent pair of least rank is joined until none has a rank."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) <= 24:
+        parts = [word[i : i + 1] for i in range(len(word))]
+        near = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        while near and (low := min(near)) != NONE:
+            at = near.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del near[at]
+            if at:
+                near[at - 1] = ranks.get(parts[at - 1] + parts[at], NONE)
+            if at < len(near):
+                near[at] = ranks.get(parts[at] + parts[at + 1], NONE)
+        return [ranks[p] for p in parts]
+    # Long words: a heap of pairs over a linked list, in n log n.
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i] if alive[i] else n
+        if not alive[i] or j >= n or end[j] != stop:
+            continue
+        alive[j], end[i] = False, stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if (k := before[i]) >= 0 and (r := ranks.get(word[k:stop])) is not None:
+            heappush(heap, (r, k, stop))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+class Words(dict):
+    """(ids, ids as decimal text, decoded bytes) by word; remembers a bounded number of words."""
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+        super().__init__()
+        self.ranks, self.most = ranks, most
+        self.pieces = {r: t for t, r in ranks.items()}
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        ids = merge(word.encode("utf-8", "surrogatepass"), self.ranks)
+        value = self[word] = ids, " ".join(map(str, ids)), self.decode(ids)
+        return value
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+
+def transcode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
+    """The columns `keep`, n_tokens, ids_sha256 (of the decimal ids joined by spaces), decoded_sha256 and, if wanted, ids and decoded (binary)."""
+    base = docs.select(*keep, F.col(text).alias("_text"))
+
+    def run(batches):
+        import regex
+
+        known, cut = Words(read_ranks(rank_path)), regex.compile(pattern)
+        for batch in batches:
+            n, digests, ids, decoded = [], ([], []), [], []
+            for t in batch.column(len(keep)):
+                found = list(map(known.__getitem__, cut.findall(t.as_py() or "")))
+                n.append(sum(len(w[0]) for w in found))
+                digests[0].append(sha256(" ".join([w[1] for w in found]).encode()).hexdigest())
+                data = b"".join([w[2] for w in found])
+                digests[1].append(sha256(data).hexdigest())
+                if with_ids:
+                    ids.append([i for w in found for i in w[0]])
+                    decoded.append(data)
+            columns = [pa.array(n, pa.int64()), *(pa.array(d, pa.string()) for d in digests), *([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    return base.mapInArrow(run, f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
+
+
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    out = encode(table(spark, sf_dir, "documents"), path, P.PATTERN)
-    n = F.when(F.size("ids") > 0, F.array_join(F.col("ids").cast("array<string>"), " ")).otherwise("")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(n, 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return transcode(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=False)
