@@ -1,6 +1,6 @@
 """Queries and DuckDB SQL of the training-data operators, by name."""
 
-from . import byte_bpe, language_id, near_dedup, packing, pii, substring_dedup, topk, toxicity, warc
+from . import byte_bpe, language_id, media, near_dedup, packing, pii, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         toxicity.op6_toxicity,
         byte_bpe.op7_byte_bpe,
         pii.op8_pii,
+        media.op9_media,
         near_dedup.op10_near_dedup,
     )
 }
