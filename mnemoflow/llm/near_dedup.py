@@ -5,10 +5,10 @@ there on, so that thousands of copies cost as much as one. Each class gets SKETC
 with optimal densification (an empty bin takes the value of a full bin drawn by its own fixed permutation); band j joins
 bin j of every sketch. At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 6) ** 48 = 5e-7.
 
-In a bucket all members are paired with one centre only (a star). Confirmed links are merged into components; a further
-star round uses the best connected member as centre, and pairs of buckets that still hold several components are then
-compared across those components (the exact way for what stars cannot settle). Every link is confirmed on whole shingle
-sets.
+In a bucket all members are paired with one centre only, the smallest (a star), and the confirmed links are merged into
+components. What stars cannot settle is settled exactly: in a bucket that holds several components, each member outside the
+largest of them is compared with all of that one and with the bucket's other members, in blocks of about BLOCK documents,
+through an inverted index of the block's shingles; no pairs are emitted but the links found. Every link is confirmed on whole shingle sets.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing; fewer words than the shingle
 length: the whole sequence is the one shingle; rows that share a doc_id are one node; a null doc_id is linked with
@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, mix, save, window_hashes, words
+from .common import components, mix, save, table, window_hashes, WordHashes, words
 
-SKETCHES, BANDS = 6, 48
+SKETCHES, BANDS, BLOCK = 6, 48, 4_000
 _rng = np.random.default_rng(20_10)
 _SEEDS = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)[:, None]
 _FILL = np.array([_rng.permutation(BANDS) for _ in range(BANDS)])
@@ -101,15 +101,60 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = save(texts.join(ends, texts["rep"] == ends["id"], "left_semi"), "texts")
-    full = pairs.join(own.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    full = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def block_links(need: DataFrame, held: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the documents of need(rep, own, grp) and those of the groups, held(node, component, grp, members).
+
+    `own` and `component` are the components of rep and node; links within a component are not looked for. Groups are dealt
+    into blocks of about BLOCK members, large ones into several; a document goes once to each block that needs it.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes, a, b = WordHashes(), [], []
+        by: dict[int, list] = {}
+        for node, component, groups, text in zip(*(left.column(c).to_pylist() for c in ("node", "component", "groups", "text")), strict=True):
+            item = (node, component, shingle_set(text, size, hashes))
+            for g in groups:
+                by.setdefault(g, []).append(item)
+        index = {}
+        for rep, own_component, groups, text in zip(*(right.column(c).to_pylist() for c in ("rep", "own", "groups", "own_text")), strict=True):
+            own = shingle_set(text, size, hashes)
+            for g in groups:
+                if g not in by:
+                    continue
+                if g not in index:
+                    every = np.concatenate([x for _, _, x in by[g]])
+                    place = np.repeat(np.arange(len(by[g])), [len(x) for _, _, x in by[g]])
+                    order = np.argsort(every, kind="stable")
+                    index[g] = every[order], place[order], np.array([len(x) for _, _, x in by[g]]), np.array([c for _, c, _ in by[g]])
+                every, place, sizes, kinds = index[g]
+                lo, n = np.searchsorted(every, own), np.searchsorted(every, own, "right")
+                n -= lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(place[at], minlength=len(sizes))
+                hit = np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (kinds != own_component))
+                for h in hit[np.unique(kinds[hit], return_index=True)[1]]:
+                    a.append(rep)
+                    b.append(by[g][h][0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # A group of m members has chunks 0 .. (m - 1) // BLOCK; chunk c of group g goes to block hash(g, c).
+    blocks = max(1, -(-held.count() // BLOCK))
+    block = lambda group, chunk: F.pmod(F.xxhash64(group, chunk), F.lit(blocks)).alias("block")
+    parts = F.floor((F.col("members") - 1) / BLOCK + 1)
+    left = held.select("node", "component", "grp", block(F.col("grp"), F.pmod(F.xxhash64("node"), parts))).groupBy("block", "node", "component").agg(F.collect_set("grp").alias("groups"))
+    left = left.join(texts, F.col("node") == F.col("rep")).drop("rep")
+    wide = need.join(held.select("grp", parts.alias("parts")).distinct(), "grp")
+    chunks = wide.select("rep", "own", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk"))
+    right = chunks.select("rep", "own", "grp", block(F.col("grp"), F.col("chunk"))).groupBy("rep", "own", "block").agg(F.collect_set("grp").alias("groups")).join(texts.withColumnRenamed("text", "own_text"), "rep")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     drawn = save(sketches(docs, text, size), "sketches")
     some = drawn.where("class_key is not null and doc_id is not null")
@@ -118,48 +163,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
 
     reps = member.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_min"))
     bands = save(some.join(reps, some["doc_id"] == reps["rep"]).select("rep", "n", "n_min", F.explode("bands").alias("key")).distinct(), "bands")
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text"))
-    near = f"100 * least(n_a, n_b) >= {percent} * greatest(m_a, m_b)"
-    no_pairs = spark.createDataFrame([], "a long, b long")
 
-    # Buckets of at least two classes; a centre is the smallest (or, later, the best connected) member.
+    # Buckets of at least two classes, with their centre; the texts of their members, written once for all comparisons.
     busy = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).where("centre <> last")
     rows = save(bands.join(busy, "key").select("key", "rep", "n", "n_min", "centre"), "buckets")
+    inside = rows.select(F.col("rep").alias("id")).distinct()
+    texts = save(docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).join(inside.hint("merge"), F.col("rep") == F.col("id"), "left_semi"), "texts")
     sizes = reps.select(F.col("rep").alias("centre"), F.col("n").alias("n_b"), F.col("n_min").alias("m_b"))
-
-    def star(buckets: DataFrame) -> DataFrame:
-        sized = buckets.where("rep <> centre").select("rep", "centre", F.col("n").alias("n_a"), F.col("n_min").alias("m_a")).distinct().join(sizes, "centre").where(near)
-        return sized.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    near = f"100 * least(n, n_b) >= {percent} * greatest(n_min, m_b)"
+    star = rows.where("rep <> centre").select("rep", "centre", "n", "n_min").distinct().join(sizes, "centre").where(near)
+    pairs = save(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")), "pairs")
 
     # Rows that share a doc_id are one node, so their classes are linked.
     many = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a <> top")
     same_id = member.join(many, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-
-    tried = save(star(rows), "pairs")
-    links = save(confirm(tried, texts, size, percent).union(same_id), "links")
+    links = save(confirm(pairs, texts, size, percent).union(same_id), "links")
     joined = components(links)
 
-    def unsettled() -> DataFrame:
-        """Rows of buckets whose members are not all in one component."""
-        own = rows.drop("centre").join(joined, rows["rep"] == joined["node"], "left").select("key", "rep", "n", "n_min", F.coalesce("component", "rep").alias("component"))
-        mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return save(own.join(mixed, "key"), "unsettled")
-
-    rest = unsettled()
-    if not rest.isEmpty():
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
-        ranked = rest.join(degree, "rep", "left").select("key", "rep", "n", "n_min", F.coalesce("count", F.lit(0)).alias("degree"))
-        centre = ranked.groupBy("key").agg(F.max_by("rep", "degree").alias("centre"))
-        pairs = save(star(ranked.join(centre, "key")).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = save(confirm(pairs, texts, size, percent).union(links), "links")
-        tried, joined = tried.union(pairs), components(links)
-        rest = unsettled()
-        if not rest.isEmpty():
-            p, q = (rest.select("key", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("n_min").alias(f"m_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-            pairs = p.join(q, "key").where(f"a < b and c_a <> c_b and {near}").select("a", "b").distinct()
-            pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            links = save(confirm(pairs, texts, size, percent).union(links), "links")
-            joined = components(links)
+    # Buckets whose members are not all in one component: their largest component is a group, and what else they hold is one.
+    own = save(rows.select("key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "rows")
+    groups = own.select("rep", "component").distinct()
+    members = save(groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component").select(F.col("rep").alias("node"), "component", "members"), "groups")
+    kinds = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    sized = own.join(kinds, "key").join(members.withColumnRenamed("node", "rep"), ["rep", "component"])
+    first = sized.groupBy("key").agg(F.max(F.col("members")).alias("most")).withColumnRenamed("key", "k")
+    main = sized.join(first, F.col("key") == F.col("k")).where("members = most").groupBy("key").agg(F.min("component").alias("main"))
+    lesser = save(sized.join(main, "key").where("component <> main").select("key", "rep", "component", "main"), "lesser")
+    if not lesser.isEmpty():
+        of_main, of_key = F.xxhash64(F.lit("component"), "main"), F.xxhash64(F.lit("key"), "key")
+        need = lesser.select("rep", F.col("component").alias("own"), F.explode(F.array(of_main, of_key)).alias("grp")).distinct()
+        whole = members.join(lesser.select("main").distinct(), F.col("component") == F.col("main")).select("node", "component", of_main.alias("grp"), "members")
+        beside = lesser.join(lesser.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "key").select(F.col("rep").alias("node"), "component", of_key.alias("grp"), "members")
+        held = save(whole.union(beside), "held")
+        links = save(links.union(block_links(need, held, texts, size, percent)), "links")
+        joined = components(links)
 
     of_rep = member.join(joined, member["rep"] == joined["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of_id = of_rep.groupBy("doc_id").agg(F.min("component").alias("component"))
@@ -169,8 +206,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
