@@ -187,7 +187,7 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Words(dict):
     """(ids, ids as decimal text, decoded bytes) by word; remembers a bounded number of words."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         super().__init__()
         self.ranks, self.most = ranks, most
         self.pieces = {r: t for t, r in ranks.items()}

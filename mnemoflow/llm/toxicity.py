@@ -4,8 +4,7 @@
    counted in Spark; the best LEXICON of them, by smoothed log odds, go into a trie. A stem matches any word that begins
    with it.
 2. Matching. The automaton of a word (its rows of edit distances) is stepped along the trie, and branches whose row
-   exceeds the allowed distance are left: no edit for terms under 5 letters, one from 5, two from 9. Results are
-   remembered by word.
+   exceeds one edit are left; terms under 5 letters allow none. Results are remembered by word.
 3. Context. A window of WINDOW words around a hit tells quotation (quote marks around it, or a reporting word before it)
    from abuse. Six counts (exact, stem and fuzzy hits, each quoted or not) enter a logistic model fitted on the same
    sample by Newton steps; weights of quoted hits have a prior near zero, so that unseen quotation does not accuse.
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
-SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 2_000, 5, 4, (4, 5, 6, 7, 8)
+SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 1_000, 5, 4, (4, 5, 6, 7, 8)
 #: Words that report another's speech.
 REPORTING = frozenset(b"said says say saying called calls wrote writes quoted quote quotes cited cites reported term word sagte schrieb dit dijo".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,10 +45,11 @@ def core(word: bytes) -> str:
 class Matcher(dict):
     """kind of hit by word (bytes): 0 none, 1 exact term, 2 stem, 3 fuzzy term; remembers a bounded number of words."""
 
-    def __init__(self, terms: list[str], stems: list[str], most: int = 300_000):
+    def __init__(self, terms: list[str], stems: list[str], most: int = 150_000):
         super().__init__()
         self.most, self.terms, self.stems = most, set(terms), set(stems)
         self.sizes = sorted({len(s) for s in stems})
+        self.less = {t[:i] + t[i + 1 :] for t in terms if len(t) >= 5 for i in range(len(t) + 1)}
         self.trie: dict = {}
         for term in terms:
             node = self.trie
@@ -58,21 +58,22 @@ class Matcher(dict):
             node[""] = term
 
     def fuzzy(self, word: str) -> bool:
-        """Is a trie term of at least 5 letters within its allowed distance of the word?"""
-        allowed = 2 if len(word) >= 8 else 1
+        """Is a trie term of at least 5 letters within one edit of the word? Words that share no form with one letter less
+        with any term are left at once; the others' automaton is stepped along the trie."""
+        if word not in self.less and self.less.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))]):
+            return False
         todo = [(self.trie, list(range(len(word) + 1)))]
         while todo:
             node, row = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    k = len(child)
-                    if k >= 5 and row[-1] <= (2 if k >= 9 else 1):
+                    if len(child) >= 5 and row[-1] <= 1:
                         return True
                     continue
                 new = [row[0] + 1]
                 for i, x in enumerate(word):
                     new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(new) <= allowed:
+                if min(new) <= 1:
                     todo.append((child, new))
         return False
 
