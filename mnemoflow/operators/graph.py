@@ -70,3 +70,39 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are in nodes(id)."""
     ids = nodes.select("id").distinct()
     return edges.join(ids, F.col("source_id") == F.col("id"), "left_semi").join(ids, F.col("target_id") == F.col("id"), "left_semi")
+
+
+def traverse_directed(edges: DataFrame, seeds: DataFrame, hops: int = 2, least_weight: float = 0.1) -> DataFrame:
+    """(id, score, hops) of what seeds(id, score) reach along edges: products of weights, best per node.
+
+    A node is expanded once, with the product by which it was first found: by its parent's place, then weight, then id.
+    """
+    own = edges.where(F.col("weight") >= least_weight).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight")
+    level = seeds.select("id", "score", F.struct(F.col("id").alias("p"), F.lit(0.0).alias("w"), F.col("id").alias("i")).alias("place"))
+    done, reached = level.select("id"), None
+    for hop in range(1, hops + 1):
+        found = level.join(own, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("score") * F.col("weight")).alias("score"), F.struct(F.col("id").alias("p"), (-F.col("weight")).alias("w"), F.col("dst").alias("i")).alias("place"))
+        best = found.groupBy("id").agg(F.max("score").alias("score"), F.min_by("score", "place").alias("first"), F.min("place").alias("place"))
+        new = best.select("id", "score", F.lit(hop).alias("hops"))
+        reached = new if reached is None else reached.union(new)
+        level = best.join(done, "id", "left_anti").select("id", F.col("first").alias("score"), "place")
+        done = done.union(level.select("id"))
+    return reached.groupBy("id").agg(F.max("score").alias("score"), F.min("hops").alias("hops")).select("id", round_to(F.col("score")).alias("score"), "hops")
+
+
+def expand_results(edges: DataFrame, seeds: DataFrame, items: DataFrame, hops: int = 2, weight: float = 0.8) -> DataFrame:
+    """(id, score) of nodes that traverse() reaches from the seeds and that are neither seeds nor items."""
+    found = traverse(edges, seeds, hops).join(seeds.select("id").union(items.select("id")).distinct(), "id", "left_anti")
+    return found.select("id", round_to(F.col("score") * weight).alias("score"))
+
+
+def relationship(edges: DataFrame, a: int, b: int) -> DataFrame:
+    """All edges between two nodes, in both directions."""
+    return edges.where(((F.col("source_id") == a) & (F.col("target_id") == b)) | ((F.col("source_id") == b) & (F.col("target_id") == a)))
+
+
+def seeds_by_terms(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, term): the first of the terms that the content of nodes(id, content) holds, case aside."""
+    text = F.lower("content")
+    first = F.coalesce(*(F.when(text.contains(t.lower()), F.lit(t)) for t in terms))
+    return nodes.select("id", first.alias("term")).where("term is not null")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, cosine, event_decay, fts_tokens, overlap, round_to, term_set
+from .graph import expand_results
 
 K1, B, COLUMN_WEIGHTS = 1.2, 0.75, {"frontmatter": 2.0, "keywords": 10.0, "summary": 1.0}
 
@@ -111,3 +114,67 @@ def with_depth(items: DataFrame, nodes: DataFrame, full: int = 5) -> DataFrame:
     ranked = items.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
     known = ranked.join(nodes.select("id", F.lit(True).alias("known")), "id", "left")
     return known.select("id", F.when(F.col("known").isNull(), "L0").when(F.col("place") <= full, "L2").otherwise("L1").alias("depth"))
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, block: int = 8192) -> DataFrame:
+    """(query_id, id, score) of the k most similar rows of vectors(id, embedding, factor) for each of queries(query_id, embedding).
+
+    Both sides are dealt into blocks, each pair of blocks is one matrix product in one task, and the k best of a block meet in
+    a window by query: no pair of rows is ever a row of Spark. Rows are kept from `least` similarity on; the score is the
+    similarity times the row's factor, to four places. Vectors of the other length than most, null or zero ones score 0.
+    """
+
+    def matrix(column) -> np.ndarray:
+        rows = column.to_pylist()
+        width = max((len(r) for r in rows if r), default=0)
+        m = np.array([r if r and len(r) == width else [0.0] * width for r in rows], float).reshape(len(rows), width)
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if left.num_rows and right.num_rows:
+            a, b = matrix(left.column("embedding")), matrix(right.column("embedding"))
+            ids, factor = left.column("id").to_numpy(), left.column("factor").to_numpy()
+            for q, near in zip(right.column("query_id").to_pylist(), b @ a.T if a.shape[1] == b.shape[1] else np.zeros((len(b), len(a))), strict=True):
+                near = np.maximum(near, 0)
+                at = np.flatnonzero(near >= least)
+                score = np.floor(near[at] * factor[at] * 1e4 + 0.5) / 1e4
+                best = np.lexsort((ids[at], -score))[:k]
+                out += zip([q] * len(best), ids[at][best].tolist(), score[best].tolist(), strict=True)
+        q, i, s = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    n, m = vectors.count(), queries.count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // 512))
+    left = vectors.select(F.col("id").cast("long").alias("id"), "embedding", F.col("factor").cast("double").alias("factor"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "score")
+
+
+def hybrid_or_all(nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20, enough: int = 5, least: float = 0.1, every: bool = False) -> DataFrame:
+    """hybrid() where the text finds `enough` rows; else all vectors at 0.7 * similarity too, the better score by id."""
+    hits = best(bm25(nodes, terms, every=every), 200)
+    found = normalized(hits).join(vectors.select("id", "embedding"), "id", "left")
+    near = F.coalesce(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, query)))), F.lit(0.0))
+    scored = found.select("id", (0.3 * F.col("fts_score") + 0.7 * near).alias("score"))
+    if hits.limit(enough).count() < enough:
+        scored = scored.union(vectors.select("id", (0.7 * near).alias("score"))).groupBy("id").agg(F.max("score").alias("score"))
+    aged = scored.join(nodes.select("id", "last_event"), "id").select("id", round_to(F.col("score") * event_decay(now - F.col("last_event"))).alias("score"))
+    return aged.where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
+
+
+def chunk_search(vectors: DataFrame, superseded: DataFrame, query: list[float], k: int = 20, least: float = 0.3) -> DataFrame:
+    """The k most similar rows without those in superseded(id), which are taken off afterwards: fewer than k may stay."""
+    return vector_top_k(vectors, query, k, least).join(superseded.select("id").distinct(), "id", "left_anti")
+
+
+def recall(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20) -> DataFrame:
+    """Both paths: similar rows and what the graph reaches from the text's best rows, merged; (id, score, n_sources, depth)."""
+    near = vector_top_k(vectors, query, 30)
+    seeds = hybrid(nodes, vectors, terms, query, now, k=10, least=0.01)
+    reached = expand_results(edges, seeds, seeds.limit(0)).orderBy(F.col("score").desc(), "id").limit(50)
+    merged = merge_paths(near, seeds.unionByName(reached), k=k)
+    return merged.join(with_depth(merged, nodes), "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import absorb, activation_level, effective_shield, hebbian_delta, lazy_weight, reinforce, round_to
+from ..functions.scalars import absorb, activation_level, clamp, edge_decay, effective_shield, hebbian_delta, jaccard, lazy_weight, overflow, reinforce, round_to, shield_cap, temporal_proximity
 
 
 def decay_lazy(edges: DataFrame, now: float) -> DataFrame:
@@ -61,3 +61,45 @@ def simulate(edges: DataFrame, steps: int) -> DataFrame:
     at = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
     gap = F.col("step").cast("double")
     return at.select("source_id", "target_id", "step", round_to(lazy_weight(F.col("weight"), F.col("shield"), F.col("decay_rate"), gap)).alias("weight"), round_to(F.when(F.col("decay_rate") <= 0, F.col("shield")).otherwise(effective_shield(F.col("shield"), gap))).alias("shield"))
+
+
+def reinforce_once(edges: DataFrame, rate: float, importance: float = 0.0, cap: float = 100.0) -> DataFrame:
+    """One step of every edge; weight beyond the cap goes to the shield."""
+    raw = F.col("weight") + rate * cap * F.greatest(F.lit(0.0), (cap - F.col("weight")) / cap)
+    weight, shield = overflow(raw, F.col("shield"), shield_cap(F.lit(importance)))
+    return edges.withColumns({"weight": round_to(weight), "shield": round_to(shield), "activation_count": F.col("activation_count") + 1})
+
+
+def hebbian_shield(edges: DataFrame, activations: DataFrame, rate: float = 0.1, cap: float = 100.0) -> DataFrame:
+    """Edges between activated ends(id, count): weight grows by rate * cap * both levels * headroom, the excess goes to the shield."""
+    level = lambda name: activations.select(F.col("id").alias(name), activation_level(F.col("count")).alias(f"level_{name}"))
+    joined = edges.join(level("source_id"), "source_id").join(level("target_id"), "target_id")
+    w = F.least(F.lit(cap), F.greatest(F.lit(0.0), F.col("weight")))
+    delta = rate * cap * F.col("level_source_id") * F.col("level_target_id") * ((cap - w) / cap)
+    weight, shield = overflow(w + delta, F.col("shield"), shield_cap(F.lit(0.0)))
+    return joined.select("source_id", "target_id", round_to(delta).alias("delta"), round_to(weight).alias("weight"), round_to(shield).alias("shield"))
+
+
+def decay_timed(edges: DataFrame, prune: float = 0.05) -> DataFrame:
+    """edges(weight up to 1, idle_seconds, decay_rate, activation_count) after time and use decay, and whether to prune."""
+    new = edge_decay(F.col("weight"), F.col("idle_seconds"), F.col("decay_rate"), F.col("activation_count"))
+    return edges.withColumn("new_weight", new).withColumn("prune", F.col("new_weight") < prune).withColumn("new_weight", round_to(F.col("new_weight")))
+
+
+def decay_factor(edges: DataFrame, factor: float, most: float | None = None, kinds: list[str] | None = None, prune_below: float | None = None) -> DataFrame:
+    """Weights of the chosen edges times a factor; pruning holds for edges that are chosen by their decayed weight too."""
+    chosen = lambda w: (w <= most if most is not None else F.lit(True)) & (F.col("edge_type").isin(*kinds) if kinds else F.lit(True))
+    out = edges.withColumn("weight", F.when(chosen(F.col("weight")), F.greatest(F.lit(0.0), F.col("weight") * factor)).otherwise(F.col("weight")))
+    return out if prune_below is None else out.where(~(chosen(F.col("weight")) & (F.col("weight") < prune_below)))
+
+
+def edge_scores(pairs: DataFrame, least: float = 0.1) -> DataFrame:
+    """pairs(a, b, seconds, terms_a, terms_b, shared, only_a, only_b, entities_a, entities_b) with score, of `least` or more.
+
+    0.2 temporal + 0.4 semantic + 0.2 co-occurrence + 0.2 entity overlap, to three places.
+    """
+    lower = lambda c: F.array_distinct(F.transform(c, F.lower))
+    total = F.col("only_a") + F.col("only_b") - F.col("shared")
+    together = F.when(total > 0, F.least(F.lit(1.0), F.col("shared") / total)).otherwise(0.0)
+    score = 0.2 * temporal_proximity(F.col("seconds")) + 0.4 * jaccard(F.col("terms_a"), F.col("terms_b")) + 0.2 * together + 0.2 * jaccard(lower("entities_a"), lower("entities_b"))
+    return pairs.select("a", "b", clamp(round_to(score, 3)).alias("score")).where(F.col("score") >= least)
