@@ -147,8 +147,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     marked = [r for r in best if r["kind"] < 2 and r["odds"] - prior > 3 and r["odds"] > 1]
     terms, stems = ([r["word"] for r in marked if r["kind"] == k][:LEXICON] for k in (0, 1))
     stems = [s for s in stems if not any(s != p and s.startswith(p) for p in stems)]
-    covered = set(stems)
-    terms = [t for t in terms if not any(t[:k] in covered for k in STEMS if len(t) > k)]
 
     def counts(batches):
         match = Matcher(terms, stems)
