@@ -378,6 +378,12 @@ def decay_simulate(spark, sf):
     return W.simulate(V.weighted_edges(spark, sf).where("source_id % 10 = 0"), 10)
 
 
+@query()
+def decay_simulate_all(spark, sf):
+    """Every edge; decay_simulate, as its SQL, holds a tenth of them."""
+    return W.simulate(V.weighted_edges(spark, sf), 10)
+
+
 @query(f"{V.with_views('edges')} SELECT source_id, target_id, CASE WHEN decay_rate > 0 AND weight > 0 AND g <= 1e6 THEN CAST(last_event + g AS BIGINT) END AS death FROM (SELECT *, ceil(CASE WHEN shield - 0.5 * ((weight + shield) / (decay_rate + 0.5)) > 0 THEN (weight + shield) / (decay_rate + 0.5) WHEN decay_rate > 0 THEN weight / decay_rate END - 1e-9) AS g FROM edges)")
 def death_event(spark, sf):
     edges = V.weighted_edges(spark, sf).withColumn("decay_rate", F.col("decay_rate"))

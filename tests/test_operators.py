@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemoflow.functions import scalars as S
 from mnemoflow.operators import entities, extract, graph, records, retrieval, weights
+from mnemoflow.plans.catalog import QUERIES
+from mnemoflow.sources import views as V
 from mnemoflow.streaming import events
 
 
@@ -53,6 +55,19 @@ def test_fixed_points_of_decay(spark):
     assert [round(x, 6) for x in row] == [9.85, 0, 0.5, 0, 0]
 
 
+def test_decay_of_every_edge_equals_brute_force(spark, sf_dir):
+    edges = V.weighted_edges(spark, sf_dir).select("source_id", "target_id", "weight", "shield", "decay_rate").collect()
+    want = {}
+    for e in edges:
+        for t in range(11):
+            shield = e.shield if e.decay_rate <= 0 else max(e.shield - 0.5 * t, 0)
+            weight = e.weight if t == 0 or e.decay_rate <= 0 else max(e.weight - max(t * e.decay_rate - max(e.shield - 0.5 * t, 0), 0), 0)
+            want[e.source_id, e.target_id, t] = weight, shield
+    out = QUERIES["decay_simulate_all"](spark, sf_dir).collect()
+    assert len(out) == len(want) == 11 * len(edges)
+    assert all(abs(a - b) < 1e-4 for r in out for a, b in zip((r.weight, r.shield), want[r.source_id, r.target_id, r.step], strict=True))
+
+
 def test_forecast_reaches_the_target(spark):
     row = spark.range(1).select(S.edge_decay(F.lit(0.9), S.seconds_to(F.lit(0.9), F.lit(0.02), F.lit(3)), F.lit(0.02), F.lit(3)).alias("w")).first()
     assert abs(row["w"] - 0.05) < 1e-9
