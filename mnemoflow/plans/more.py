@@ -275,7 +275,7 @@ _ALL = "s AS (SELECT user_id, session, epoch_us(min(ts)) AS started_us, epoch_us
 
 @query(f"WITH {_ALL} SELECT user_id, started_us, last_us, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session DESC) AS p FROM s) WHERE p > 1")
 def session_stream(spark, sf):
-    return T.run_to_end(T.closed_sessions(T.event_stream(spark, sf), 21_600), "sessions")
+    return T.merged_sessions(T.run_to_end(T.session_parts(T.event_stream(spark, sf), 21_600), "sessions"), 21_600)
 
 
 @query()

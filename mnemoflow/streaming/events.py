@@ -9,9 +9,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -27,7 +28,8 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_
 def closed_sessions(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
     """Sessions that a later event of their user ended by a gap of at least the timeout; the last one stays in the state.
 
-    A group's rows come in batches sorted here by time, so that memory is bounded by a micro-batch's rows of one user.
+    A group's rows come in batches sorted here by time, so that memory is bounded by a micro-batch's rows of one user. Micro-batches
+    must follow each other in time; session_parts and merged_sessions do without that.
     """
     timeout = timeout_s * 1_000_000
 
@@ -47,6 +49,35 @@ def closed_sessions(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
     return keyed.groupBy("user_id").applyInPandasWithState(step, SESSION, "start long, last long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def session_parts(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
+    """Mergeable intervals (user_id, started_us, last_us, n): runs of a user's events within an Arrow batch, with gaps under the
+    timeout. They need no order of files or micro-batches and no shuffle, so that a user of any size costs no task more."""
+    timeout = timeout_s * 1_000_000
+
+    def run(batches):
+        for batch in batches:
+            user, us = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.lexsort((us, user))
+            user, us = user[order], us[order]
+            first = np.flatnonzero(np.r_[np.ones(min(1, len(us)), bool), (user[1:] != user[:-1]) | (us[1:] - us[:-1] >= timeout)])
+            ends = np.r_[first[1:], len(us)][: len(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (user[first], us[first], us[ends - 1], ends - first)], ["user_id", "started_us", "last_us", "n"])
+
+    keyed = events.where("user_id is not null and ts is not null").select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return keyed.mapInArrow(run, SESSION)
+
+
+def merged_sessions(parts: DataFrame, timeout_s: int = 1800) -> DataFrame:
+    """Sessions of the intervals of session_parts, but each user's last one, which no later event has ended."""
+    timeout = timeout_s * 1_000_000
+    each = Window.partitionBy("user_id").orderBy("started_us", "last_us")
+    reached = F.max("last_us").over(each.rowsBetween(Window.unboundedPreceding, -1))
+    number = F.sum(F.coalesce((F.col("started_us") - F.col("reached") >= timeout).cast("long"), F.lit(0))).over(each.rowsBetween(Window.unboundedPreceding, 0))
+    own = parts.withColumn("reached", reached).withColumn("session", number).groupBy("user_id", "session").agg(F.min("started_us").alias("started_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"))
+    after = F.lead("session").over(Window.partitionBy("user_id").orderBy("session"))
+    return own.withColumn("after", after).where("after is not null").select("user_id", "started_us", "last_us", "n")
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n) per tumbling window of event time, with late data up to the watermark."""
     own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -3,8 +3,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import mnemoflow.plans.more  # noqa: F401  registers its queries
 from mnemoflow.functions import scalars as S
 from mnemoflow.operators import entities, extract, graph, records, retrieval, weights
 from mnemoflow.plans.catalog import QUERIES
@@ -36,6 +38,23 @@ def test_sessions_of_a_stream_carry_over_micro_batches(spark, tmp_path):
     assert got == [(2, 1), (3, 20)]
 
 
+def test_session_stream_does_not_depend_on_the_order_of_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    start, every = dt.datetime(2024, 1, 1), {}
+    for _ in range(20):
+        rows = [(int(u), int(m)) for u, m in zip(rng.integers(0, 3, 12), rng.integers(0, 30_000, 12), strict=True)]
+        for u, m in rows:
+            every.setdefault(u, []).append(m)
+        spark.createDataFrame([(u, start + dt.timedelta(minutes=m)) for u, m in rows], "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for u, times in every.items():
+        times.sort()
+        cuts = [0, *(i for i in range(1, len(times)) if times[i] - times[i - 1] >= 360), len(times)]
+        want += [(u, times[b - 1] - times[a], b - a) for a, b in zip(cuts[:-2], cuts[1:-1], strict=True)]
+    got = [(r.user_id, (r.last_us - r.started_us) // 60_000_000, r.n) for r in QUERIES["session_stream"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_facts_are_read_leniently(spark):
     rows = [
         (0, 'So:\n```json\n{"facts": [{"content": " a ", "category": "DECISION", "confidence": 3, "entities": [" x ", ""]}]}\n```'),
