@@ -7,10 +7,12 @@ unread components can give, its upper bound the same with what the lists have re
 bound is at least the upper bound of everything else seen and of the unseen; candidates that are left are resolved by reading
 on. The k best of each block meet in a window by query.
 
-Components are floor(1024 * x) of the double x; scores are exact 64-bit integers.
+Components are floor(1024 * x) of the double x; scores are exact 64-bit integers. The largest components bound every score:
+where doubles could not hold the bounds exactly (2 ** 51), blocks are scored whole in 64 bits, and where 64 bits could not
+hold a score, in Python's integers; scores are then strings of decimal digits.
 
-Defined cases: vectors that are null, or hold null, non-finite or components beyond 2 ** 20 after scaling, take no part, as
-query or candidate; so do rows without an id; lengths may differ (missing components count as 0); ties go to the smaller id;
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, as query or candidate; so do rows
+without an id; lengths may differ (missing components count as 0); ties go to the smaller id;
 repeated rows are candidates each; other columns are ignored.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-QUERY_BLOCK, CANDIDATE_BLOCK, MOST = 256, 16_384, 1 << 20
+QUERY_BLOCK, CANDIDATE_BLOCK, EXACT, LONG = 256, 16_384, 2.0**51, 2.0**62
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -33,6 +35,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _integers(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """floor(1024 * x) of doubles of any size, as Python's integers."""
+    out = np.zeros((len(column), width), object)
+    for i, v in enumerate(column.to_pylist()):
+        out[i, : len(v)] = [n * 1024 // d for n, d in map(float.as_integer_ratio, v)]
+    return out
+
+
 def sorted_lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per component the rows in descending order of it, and the values in that order: (dims, n) each."""
     order = np.argsort(-x, axis=0, kind="stable").T.copy()
@@ -81,15 +91,24 @@ def nra(query: np.ndarray, x: np.ndarray, order: np.ndarray, values: np.ndarray,
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows of vectors for each row of queries, itself excepted by id."""
+    """(query_id, rank, vec_id, score) of the k best rows of vectors for each row of queries, itself excepted by id; scores are longs, or
+    strings of digits where the tables' components are too large for 64 bits."""
     scaled = F.transform(embedding, lambda v: F.floor(F.lit(1024.0) * v.cast("double")))
-    fine = F.forall(embedding, lambda v: F.coalesce(F.abs(v.cast("double")) < MOST / 1024, F.lit(False)))
+    fine = F.forall(embedding, lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("id"), scaled.alias("v"))
+        return df.where(F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & fine)
+
+    def form(df: DataFrame) -> DataFrame:
+        return df.select(F.col(vec_id).cast("long").alias("id"), (F.transform(embedding, lambda v: v.cast("double")) if large else scaled).alias("v"))
 
     left, right = ready(vectors), ready(queries)
-    (n, wide), (m, wide_q) = (df.agg(F.count("*"), F.max(F.size("v"))).first() for df in (left, right))
+    top = F.max(F.array_max(F.transform(embedding, lambda v: F.abs(v.cast("double")))))
+    (n, wide, top_x), (m, wide_q, top_q) = (df.agg(F.count("*"), F.max(F.size(embedding)), top).first() for df in (left, right))
+    most = max(1, wide or 0, wide_q or 0) * (1024.0 * (top_x or 0) + 1) * (1024.0 * (top_q or 0) + 1)
+    # A component alone must fit as well, though the other side's be small.
+    large = max(most, 1024.0 * (top_x or 0), 1024.0 * (top_q or 0)) >= LONG
+    left, right, matrix = form(left), form(right), _integers if large else _matrix
     width = max(wide or 0, wide_q or 0)
     blocks, parts = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     # A block of queries goes to each block of candidates, and the other way round.
@@ -99,22 +118,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     def run(candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if candidates.num_rows and wanted.num_rows:
-            ids, mat = candidates.column("id").to_numpy(), _matrix(candidates.column("v"), width)
-            order, values = sorted_lists(mat)
+            ids, mat = candidates.column("id").to_numpy(), matrix(candidates.column("v"), width)
+            order, values = sorted_lists(mat) if most < EXACT else (None, None)
             by_id = np.argsort(ids, kind="stable")
             sorted_ids = ids[by_id]
-            for qid, row in zip(wanted.column("id").to_pylist(), _matrix(wanted.column("v"), width), strict=True):
+            for qid, row in zip(wanted.column("id").to_pylist(), matrix(wanted.column("v"), width), strict=True):
                 own = by_id[np.searchsorted(sorted_ids, qid) : np.searchsorted(sorted_ids, qid, "right")]
-                rows, score = nra(row, mat, order, values, k, own)
+                rows, score = nra(row, mat, order, values, k, own) if most < EXACT else (np.arange(len(ids)), mat @ row)
                 keep = ids[rows] != qid
                 rows, score = rows[keep], score[keep]
                 best = np.lexsort((ids[rows], -score))[:k]
                 out += zip([qid] * len(best), ids[rows[best]].tolist(), score[best].tolist(), strict=True)
-        columns = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    found = x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        made = {n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id"), columns, strict=False)}
+        if not large:
+            return pa.table(made | {"score": pa.array(columns[2], pa.int64())})
+        # Beside the digits, a key of fixed length in the order of scores.
+        return pa.table(made | {"score": pa.array(map(str, columns[2]), pa.string()), "key": pa.array([(x + (1 << 2200)).to_bytes(276) for x in columns[2]], pa.binary())})
+
+    found = x.groupBy("block", "part").cogroup(q.groupBy("block", "part")).applyInArrow(run, "query_id long, vec_id long, score string, key binary" if large else "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("key" if large else "score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
