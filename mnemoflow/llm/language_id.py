@@ -1,114 +1,166 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, and calibrated rejection.
 
-A word is the mean of the embeddings of its character 2- to 5-grams (with word ends marked) and of itself, hashed into
-BUCKETS rows of DIM numbers; a text is the mean of its words. Embeddings and the softmax layer are trained together by
-stochastic gradient descent in numpy, in one task, on at most SAMPLE labelled documents drawn by a hash of doc_id. A fifth of
-the sample is kept apart: on it the softmax's temperature is fitted and the rejection threshold is set to the score that
-REJECT of its right answers fall below.
+A word is a run of letters (lower-cased); runs beyond PIECE letters are read as successive words of PIECE letters, whose
+n-grams reach into the next one, so that text without spaces is read whole. A word is the mean of the embeddings of its
+character 2- to 5-grams (with word ends marked) and of itself, hashed into BUCKETS rows of DIM numbers; a text is the mean of
+its words. Embeddings and the softmax layer are trained together by stochastic gradient descent in numpy, in one task, on at
+most SAMPLE labelled documents drawn by a hash of doc_id, about as many of each language. A fifth of the sample is kept apart:
+on it the softmax's temperature is fitted and the rejection threshold is set to the score that REJECT of its right answers
+fall below. A language of which no row is drawn (there are more languages than sample rows) is not learned.
 
-The model is bounded by its parameters. For prediction the two linear layers are multiplied out, so that a word is a row of
-one number per language, remembered by word; a text is the mean of its words' rows.
+The model is bounded by its parameters. Texts are read as one array of code points, in blocks of about BLOCK; each different
+word of a block is hashed once, in numpy. A longer text is cut into blocks, after white space where 1,000 code points hold some.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without labelled rows every text is `und`;
-rows with a null lang or doc_id are not learned from; repeated rows are predicted alike; other columns are ignored.
+rows with a null lang or doc_id are not learned from; repeated rows are predicted alike; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import pickle
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import table
 
-SAMPLE, BUCKETS, DIM, EPOCHS, RATE, BATCH, CHUNKS, REJECT = 4_000, 1 << 15, 16, 4, 2.0, 64, 4, 0.01
+SAMPLE, BUCKETS, DIM, EPOCHS, RATE, BATCH, CHUNKS, REJECT = 4_000, 1 << 15, 16, 2, 2.0, 64, 4, 0.01
+PIECE, BLOCK, SIZES = 32, 1 << 20, (2, 3, 4, 5)
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's letters: whole and 2- to 5-grams, lower-cased; empty without letters."""
-    letters = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
-    if not letters:
-        return []
-    w = f"<{letters[:64]}>"
-    grams = [w, *(w[i : i + n] for n in range(2, 6) for i in range(len(w) - n + 1))]
-    return [xxhash.xxh3_64_intdigest(g) % BUCKETS for g in grams]
+@cache
+def _letters() -> np.ndarray:
+    """Is it a letter, by code point."""
+    return np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), bool)
 
 
-class _Subwords(dict):
-    def __missing__(self, word):
-        value = self[word] = subwords(word)
-        return value
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * _SPREAD) >> np.uint64(49)).astype(np.int32)
 
 
-def _examples(texts: list[str], labels: list[int], rng, grams) -> list[tuple[list[list[int]], int]]:
-    """CHUNKS runs of 1 to 40 words of each text, as lists of subwords."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased code points of all texts with a 0 for each that is no letter, and where each text ends; a 0 parts them."""
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer(("\n" + "\n".join(lower) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters()[codes], codes, 0).astype(np.uint64), np.cumsum([len(t) + 1 for t in lower])
+
+
+def _ends(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the runs of a mask whose first and last entries are false."""
+    edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+    return edge[::2], edge[1::2]
+
+
+def _sums_of_letters(c: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of n letters from starts: a sum over its letters, each weighed by its place."""
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = c[np.repeat(starts, n) + place]
+    mixed = (own + place.astype(np.uint64) * np.uint64(0x110000) + np.uint64(1)) * _BASE
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _SPREAD
+    total = np.r_[np.uint64(0), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)]
+    end = np.cumsum(n)
+    return total[end] - total[end - n]
+
+
+def subwords(c: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of code points as of _codes: pairs of arrays (bucket, word) of all subwords, by length and in order of words, and each word's start."""
+    letter = c != 0
+    first, last = _ends(letter)
+    parts = (last - first + PIECE - 1) // PIECE
+    word = np.arange(parts.sum())
+    starts = np.repeat(first, parts) + (word - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
+    n = np.minimum(np.repeat(last, parts) - starts, PIECE)
+    of = np.zeros(len(c), np.int32)
+    of[letter] = np.repeat(word, n)
+    out, h, inner = [], c, None
+    for size in SIZES:
+        h = h[:-1] * _BASE + c[size - 1 :]
+        if size == 2:
+            valid = letter[:-1] | letter[1:]
+        else:
+            inner = valid = letter[1:-1] if size == 3 else inner[:-1] & letter[size - 2 : -1]
+        sel = np.flatnonzero(valid)
+        out.append((_buckets(h[sel] + np.uint64(size)), of[sel + ~letter[sel]]))
+    out.append((_buckets(_sums_of_letters(c, starts, n)), word))
+    return out, starts
+
+
+def word_means(parts: list[tuple[np.ndarray, np.ndarray]], words: int, rows: np.ndarray) -> np.ndarray:
+    """The mean row of each word's subwords; rows: a list of columns over the buckets."""
+    n = sum(np.bincount(w, minlength=words) for _, w in parts)
+    return np.stack([sum(np.bincount(w, column[b], words) for b, w in parts) for column in rows], 1) / np.maximum(n, 1)[:, None]
+
+
+def _examples(texts: list[str], labels: list[int], rng) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """CHUNKS runs of 1 to 40 words of each text: buckets, weights and label; weights average subwords in words and words in texts."""
     out = []
     for t, y in zip(texts, labels, strict=True):
-        found = words(t)
-        for _ in range(CHUNKS if found else 0):
-            n = int(rng.integers(1, 41))
-            at = int(rng.integers(0, max(1, len(found) - n + 1)))
-            own = [g for w in found[at : at + n] if (g := grams[w])]
-            if own:
-                out.append((own, y))
+        parts, starts = subwords(_codes([t])[0])
+        if not len(starts):
+            continue
+        bucket, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(word, kind="stable")
+        bucket, size = bucket[order], np.bincount(word, minlength=len(starts))
+        end = np.cumsum(size)
+        for _ in range(CHUNKS):
+            n = min(int(rng.integers(1, 41)), len(starts))
+            a = int(rng.integers(0, len(starts) - n + 1))
+            out.append((bucket[end[a] - size[a] : end[a + n - 1]], np.repeat(1 / (size[a : a + n] * n), size[a : a + n]), y))
     return out
 
 
 def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, text and weight of every subword of a batch; weights average subwords in words and words in texts."""
-    ids, text, weight = [], [], []
-    for i, (own, _) in enumerate(batch):
-        for g in own:
-            ids += g
-            text += [i] * len(g)
-            weight += [1 / (len(g) * len(own))] * len(g)
-    return np.array(ids), np.array(text), np.array(weight)
+    """Bucket, example and weight of every subword of a batch."""
+    return np.concatenate([b for b, _, _ in batch]), np.repeat(np.arange(len(batch)), [len(b) for b, _, _ in batch]), np.concatenate([w for _, w, _ in batch])
+
+
+def _sums(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of the rows by `of`, which is in ascending order."""
+    return np.add.reduceat(rows, np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), axis=0)
 
 
 def train(texts: list[str], langs: list[str], seed: int = 5) -> dict:
-    """The fitted model: languages, a table of BUCKETS rows of logits, bias, temperature and rejection threshold."""
+    """The fitted model: languages, embeddings, softmax layer, bias, temperature and rejection threshold."""
     names = sorted(set(langs))
-    rng, grams = np.random.default_rng(seed), _Subwords()
+    rng = np.random.default_rng(seed)
     at = {n: i for i, n in enumerate(names)}
     order = rng.permutation(len(texts))
     cut = len(order) // 5
-    parts = [[(texts[i], at[langs[i]]) for i in part] for part in (order[cut:], order[:cut])]
-    fit, check = (_examples([t for t, _ in p], [y for _, y in p], rng, grams) for p in parts)
+    fit, check = (_examples([texts[i] for i in part], [at[langs[i]] for i in part], rng) for part in (order[cut:], order[:cut]))
     emb, out, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))
-    share = np.bincount([y for _, y in fit], minlength=len(names)) + 1.0
+    share = np.bincount([y for *_, y in fit], minlength=len(names)) + 1.0
     balance = share.sum() / (len(names) * share)
     total, done = EPOCHS * max(1, len(fit)), 0
-    for _ in range(EPOCHS):
-        for start in range(0, len(fit), BATCH):
-            batch = [fit[i] for i in rng.integers(0, len(fit), BATCH)]
-            rate = RATE * (1 - done / total)
-            done += BATCH
-            ids, text, weight = _flat(batch)
-            hidden = np.zeros((len(batch), DIM))
-            np.add.at(hidden, text, emb[ids] * weight[:, None])
-            p = _softmax(hidden @ out + bias)
-            y = np.array([b[1] for b in batch])
-            p[np.arange(len(batch)), y] -= 1
-            p *= balance[y][:, None] / np.sqrt(BATCH)
-            back = p @ out.T
-            out -= rate * hidden.T @ p
-            bias -= rate * p.sum(0)
-            np.subtract.at(emb, ids, rate * back[text] * weight[:, None])
-    table = emb @ out
-    logits, truth = np.zeros((len(check), len(names))), np.array([y for _, y in check], int)
+    while fit and done < total:
+        batch = [fit[i] for i in rng.integers(0, len(fit), BATCH)]
+        rate = RATE * (1 - done / total)
+        done += BATCH
+        ids, text, weight = _flat(batch)
+        hidden = _sums(emb[ids] * weight[:, None], text)
+        p = _softmax(hidden @ out + bias)
+        y = np.array([b[2] for b in batch])
+        p[np.arange(len(batch)), y] -= 1
+        p *= balance[y][:, None] / np.sqrt(BATCH)
+        back = p @ out.T
+        out -= rate * hidden.T @ p
+        bias -= rate * p.sum(0)
+        order = np.argsort(ids, kind="stable")
+        emb[np.unique(ids)] -= _sums((rate * back[text] * weight[:, None])[order], ids[order])
+    model = {"names": names, "emb": emb.astype(np.float32), "out": out.astype(np.float32), "bias": bias, "temperature": 1.0, "threshold": 0.0}
     if check:
         ids, text, weight = _flat(check)
-        np.add.at(logits, text, table[ids] * weight[:, None])
-    logits += bias
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
-    temperature = float(min(np.geomspace(0.1, 10, 61), key=loss)) if check else 1.0
-    p = _softmax(logits / temperature)
-    right = p.max(1)[p.argmax(1) == truth] if check else np.empty(0)
-    return {"names": names, "table": table.astype(np.float32), "bias": bias, "temperature": temperature, "threshold": float(np.quantile(right, REJECT)) if len(right) else 0.0}
+        logits, truth = _sums(emb[ids] * weight[:, None], text) @ out + bias, np.array([y for *_, y in check], int)
+        loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean()
+        model["temperature"] = float(min(np.geomspace(0.1, 10, 61), key=loss))
+        p = _softmax(logits / model["temperature"])
+        right = p.max(1)[p.argmax(1) == truth]
+        model["threshold"] = float(np.quantile(right, REJECT)) if len(right) else 0.0
+    return model
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -117,14 +169,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
-    """Trains on at most SAMPLE rows with a language, the same share of each up to equal counts, in one task."""
+    """Trains on at most SAMPLE rows with a language, of each language the same number where it has as many, in one task."""
     known = docs.select(F.col("doc_id").cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(200).collect()}
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sizes.count()
+    if not languages:
         return None
-    each = SAMPLE / len(sizes)
-    shares = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 0.9 * each / n))))
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * (1 << 20)).limit(SAMPLE)
+    share = F.lit(0.9 * SAMPLE / languages) / F.col("n")
+    drawn = known.join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "id", "text").limit(SAMPLE)
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("lang").to_pylist(), table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True))
@@ -134,35 +186,60 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
     return pickle.loads(made["model"]) if made else None
 
 
-class _Rows(dict):
-    """Row of logits by word, as an index into `rows`; 0 is the row of words without letters. Remembers a bounded number."""
-
-    def __init__(self, table: np.ndarray, most: int = 200_000):
-        super().__init__()
-        self.table, self.most = table, most
-        self.rows, self.n = np.zeros((most + 2, table.shape[1] + 1), np.float32), 0
-
-    def __missing__(self, word: bytes) -> int:
-        grams = subwords(word)
-        if not grams:
-            self[word] = 0
-            return 0
-        self.n += 1
-        self.rows[self.n, :-1] = self.table[grams].mean(0)
-        self.rows[self.n, -1] = 1
-        self[word] = self.n
-        return self.n
-
-    def logits(self, found: list[bytes]) -> tuple[np.ndarray, float]:
-        """Sum of the words' rows and the number of words with letters."""
-        total = np.zeros(self.rows.shape[1])
-        for i in range(0, len(found), 20_000):
-            if self.n + 20_000 > self.most or len(self) > 2 * self.most:
-                self.clear()
-                self.n = 0
-            part = found[i : i + 20_000]
-            total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0, dtype=float)
-        return total[:-1], total[-1]
+def text_sums(texts: list[str], columns: np.ndarray) -> np.ndarray:
+    """Of each text the sum of its words' rows, and their number; a run of letters that recurs is hashed once."""
+    c, end = _codes(texts)
+    first, last = _ends(c != 0)
+    n = last - first
+    key = _sums_of_letters(c, first, np.minimum(n, PIECE))
+    long = np.flatnonzero(n > PIECE)
+    key[long] = long.astype(np.uint64) * _SPREAD
+    _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+    size = n[index]
+    at = np.cumsum(size + 1) - size
+    compact = np.zeros(len(index) + 1 + size.sum(), np.uint64)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    compact[np.repeat(at, size) + step] = c[np.repeat(first[index], size) + step]
+    parts, starts = subwords(compact)
+    mean = word_means(parts, len(starts), columns)
+    run = np.searchsorted(at, starts, "right") - 1
+    rows = [*(np.bincount(run, column, len(at)) for column in mean.T), np.bincount(run, minlength=len(at))]
+    of = np.searchsorted(end, first - 1, "right")
+    return np.stack([np.bincount(of, row[inverse], len(texts)) for row in rows], 1)
+
+
+def _blocks(texts: list[str | None]):
+    """(numbers of texts, their text) in blocks of about BLOCK code points; a longer text comes in several."""
+    numbers, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        at, t = 0, t or ""
+        while at < len(t):
+            end = at + BLOCK
+            if end < len(t):
+                end = next((k + 1 for k in range(end - 1, end - 1_001, -1) if t[k].isspace()), end)
+            numbers.append(i)
+            held.append(t[at:end])
+            size += len(held[-1])
+            at = end
+            if size >= BLOCK:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+    if held:
+        yield numbers, held
+
+
+def predict(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
+    """Language and calibrated probability of each text."""
+    # The linear layers are multiplied out where that is narrower than the embeddings.
+    narrow = len(model["names"]) < DIM
+    columns = np.ascontiguousarray((model["emb"] @ model["out"] if narrow else model["emb"]).T, float)
+    sums = np.zeros((len(texts), len(columns) + 1))
+    for numbers, held in _blocks(texts):
+        np.add.at(sums, numbers, text_sums(held, columns))
+    mean, n = sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1]
+    p = _softmax(((mean if narrow else mean @ model["out"]) + model["bias"]) / model["temperature"])
+    best = p.argmax(1)
+    return [model["names"][b] if k else "und" for b, k in zip(best, n, strict=True)], np.where(n > 0, p.max(1), 0.0).tolist()
 
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -170,20 +247,12 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text", keep: tupl
     base = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
-        rows = _Rows(model["table"]) if model else None
         for batch in batches:
-            names, score = [], []
-            for t in batch.column(len(keep)):
-                total, n = rows.logits(words(t.as_py())) if model else (None, 0)
-                if not n:
-                    names.append("und")
-                    score.append(0.0)
-                    continue
-                p = _softmax((total / n + model["bias"])[None] / model["temperature"])[0]
-                names.append(model["names"][int(p.argmax())])
-                score.append(float(p.max()))
-            low = model["threshold"] if model else 1.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array([s < low or n == "und" for s, n in zip(score, names, strict=True)], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                names, score = predict(part.column(len(keep)).to_pylist(), model) if model else (["und"] * part.num_rows, [0.0] * part.num_rows)
+                low = model["threshold"] if model else 1.0
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array([s < low or n == "und" for s, n in zip(score, names, strict=True)], pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     return base.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
