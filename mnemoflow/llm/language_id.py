@@ -6,7 +6,7 @@ character 2- to 5-grams (with word ends marked) and of itself, hashed into BUCKE
 its words. Embeddings and the softmax layer are trained together by stochastic gradient descent in numpy, in one task, on at
 most SAMPLE labelled documents drawn by a hash of doc_id, about as many of each language. A fifth of the sample is kept apart:
 on it the softmax's temperature is fitted and the rejection threshold is set to the score that REJECT of its right answers
-fall below. A language of which no row is drawn (there are more languages than sample rows) is not learned.
+fall below. Languages beyond the SAMPLE most frequent, for which the sample has no row, are not learned.
 
 The model is bounded by its parameters. Texts are read as one array of code points, in blocks of about BLOCK; each different
 word of a block is hashed once, in numpy. A longer text is cut into blocks, after white space where 1,000 code points hold some.
@@ -171,12 +171,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
     """Trains on at most SAMPLE rows with a language, of each language the same number where it has as many, in one task."""
     known = docs.select(F.col("doc_id").cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # The sample has no room for more than SAMPLE languages; the most frequent ones are drawn from.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE)
     languages = sizes.count()
     if not languages:
         return None
     share = F.lit(0.9 * SAMPLE / languages) / F.col("n")
-    drawn = known.join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "id", "text").limit(SAMPLE)
+    drawn = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "id", "text").limit(SAMPLE)
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("lang").to_pylist(), table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True))
