@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in one process alone, a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 @cache
@@ -99,6 +102,20 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with the least `value` of their key as column `name`; rows whose key is null have none and are left out.
+
+    Keys that hold a thousandth of all rows or more, of which there are a thousand at most, are broadcast, so that no hot key's
+    rows meet in one task; keys of one row are their own; only the others are joined by a shuffle.
+    """
+    rows = rows.where(F.col(key).isNotNull())
+    least = save(rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n")).where("_n > 1"), "least")
+    total = rows.count()
+    hot = F.broadcast(least.where(F.col("_n") * 1_000 >= F.lit(total)).limit(1_001).drop("_n"))
+    rest = rows.join(hot.select(key), key, "left_anti").join(least.where(F.col("_n") * 1_000 < F.lit(total)).drop("_n"), key, "left")
+    return rows.join(hot, key).unionByName(rest.withColumn(name, F.coalesce(name, value)))
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) reaches.
 
