@@ -102,14 +102,14 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """rows with the least `value` of their key as column `name`; rows whose key is null have none and are left out.
+def with_least(rows: DataFrame, key: str, value: str, name: str, pick=F.min) -> DataFrame:
+    """rows with the least (or what pick takes) `value` of their key as column `name`; rows whose key is null are left out.
 
     Keys that hold a thousandth of all rows or more, of which there are a thousand at most, are broadcast, so that no hot key's
     rows meet in one task; keys of one row are their own; only the others are joined by a shuffle.
     """
     rows = rows.where(F.col(key).isNotNull())
-    least = save(rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("_n")).where("_n > 1"), "least")
+    least = save(rows.groupBy(key).agg(pick(value).alias(name), F.count("*").alias("_n")).where("_n > 1"), "least")
     total = rows.count()
     hot = F.broadcast(least.where(F.col("_n") * 1_000 >= F.lit(total)).limit(1_001).drop("_n"))
     rest = rows.join(hot.select(key), key, "left_anti").join(least.where(F.col("_n") * 1_000 < F.lit(total)).drop("_n"), key, "left")

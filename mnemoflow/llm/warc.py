@@ -10,8 +10,9 @@ starts inside its range, reading past the end for the last one. Bytes of which n
 
 Files are opened through pyarrow's file systems by URI, so any store that Spark and pyarrow share will do.
 
-Defined cases: a null payload is written as empty; repeated rows give a record each; empty input gives no records; an
-archive without records is empty and gives none; other columns are ignored.
+Defined cases: a null payload is written as empty; repeated rows give a record each, and so do rows that share a page_id, each
+with its own payload; a row without a page_id refers to none and is referred to by none; empty input gives no records; an archive
+without records is empty and gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, save, with_least
 
 SPLIT, LEVEL, HEAD, REVISIT_FROM = 16 << 20, 4, 4096, 1000
 MAGIC = b"\x1f\x8b\x08"
@@ -172,13 +173,14 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT) -> DataFra
 def plan_revisits(pages: DataFrame, payload: str = "html") -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the largest page_id of an equal payload of REVISIT_FROM bytes or more.
 
-    Digests are grouped with partial sums, and only ids and digests meet in the join of a hot group; payloads move once.
+    Digests are grouped with partial sums, and only ids and digests meet in the join of a group; payloads move once, by their own id
+    and digest. Rows that share a page_id are records of their own.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(payload, "UTF-8"), F.lit(b"")).alias("payload"))
-    digests = own.where(F.octet_length("payload") >= REVISIT_FROM).select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("bytes"))
-    response = digests.groupBy("digest", "bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = digests.join(response, ["digest", "bytes"]).where("page_id < response").select("page_id", F.col("response").alias("refers_to")).distinct()
-    return own.join(revisits, "page_id", "left").select("page_id", "url", "payload", "refers_to")
+    own = own.withColumn("digest", F.when(F.octet_length("payload") >= REVISIT_FROM, F.concat(F.sha1("payload"), F.octet_length("payload").cast("string"))))
+    digests = save(own.select("page_id", "digest").where("digest is not null and page_id is not null"), "digests")
+    revisits = with_least(digests, "digest", "page_id", "refers_to", F.max).where("page_id < refers_to").distinct()
+    return own.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
