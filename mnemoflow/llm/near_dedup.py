@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, save, table, window_hashes, WordHashes, words
+from .common import components, mix, save, table, window_hashes, with_least, WordHashes, words
 
 SKETCHES, BANDS, BLOCK = 6, 48, 4_000
 _rng = np.random.default_rng(20_10)
@@ -158,8 +158,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     drawn = save(sketches(docs, text, size), "sketches")
     some = drawn.where("class_key is not null and doc_id is not null")
-    classes = some.groupBy("class_key").agg(F.min("doc_id").alias("rep"))
-    member = save(some.select("doc_id", "class_key", "n_shingles").join(classes, "class_key").select("doc_id", "rep", "n_shingles"), "members")
+    member = save(with_least(some.select("doc_id", "class_key", "n_shingles"), "class_key", "doc_id", "rep").select("doc_id", "rep", "n_shingles"), "members")
 
     reps = member.where("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("n_min"))
     bands = save(some.join(reps, some["doc_id"] == reps["rep"]).select("rep", "n", "n_min", F.explode("bands").alias("key")).distinct(), "bands")
