@@ -1,12 +1,14 @@
 """Exact substring deduplication: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
 Documents are dealt into groups of about GROUP_BYTES of text by a hash. Each group hashes all of its windows (64 bits),
-and sends every distinct hash once to the bucket that its top bits name, packed seven or eight bytes each; a bucket counts
-over all groups and answers each group with one bit per hash: seen in another group or not. The group, grouped again with
-its answers, marks the windows that are repeated within it or elsewhere and merges them into maximal intervals. Packing
-keeps the shuffle near eight bytes a window, and a passage that a third of all rows share sends one hash per group.
+and sends every distinct hash once to the bucket that its top bits name, with 32 bits of a second hash of another base; a bucket
+counts over all groups and answers each group with one bit per hash: seen in another group or not. The group, grouped again
+with its answers, marks the windows that are repeated within it or elsewhere and merges them into maximal intervals. Hashes are
+packed in order, as differences of six bytes, so that a window costs ten bytes of shuffle, and a passage that a third of all
+rows share sends one hash per group.
 
-Two different windows are taken for equal with probability of about 2 ** -57 a pair, the chance that their hashes agree.
+Two different windows of different groups are taken for equal with a chance of about 2 ** -96 a pair, and within a group of
+about a million windows, where one hash decides, of 2 ** -64.
 
 Defined cases: null or empty texts and those of fewer words than the window have nothing removed; repeated rows are
 documents of their own, so their windows repeat; a null doc_id is kept as such; columns other than doc_id and the text are
@@ -26,14 +28,33 @@ from .common import mix, next_power, table, text_bytes, window_hashes, WordHashe
 GROUP_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 
 
-def _windows(table: pa.Table, size: int):
-    """Of a group, in a fixed order of rows: row order, words of each row, hashes of all windows in row order."""
+def _windows(table: pa.Table, size: int, twice: bool = False):
+    """Of a group, in a fixed order of rows: row order, words of each row, hashes of each row's windows and of all windows in row order,
+    and, if wanted, second hashes of the latter."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or ""))
     hashes = WordHashes()
     found = [words(texts[i]) for i in order]
-    each = [mix(window_hashes(hashes.of(w), size)) for w in found]
-    return order, found, each, np.concatenate([*each, np.empty(0, np.uint64)])
+    own = [hashes.of(w) for w in found]
+    each = [mix(window_hashes(h, size)) for h in own]
+    others = [mix(window_hashes(h, size, 0xD1342543DE82EF95)) for h in own] if twice else []
+    return order, found, each, np.concatenate([*each, np.empty(0, np.uint64)]), np.concatenate([*others, np.empty(0, np.uint64)])
+
+
+def _pack(own: np.ndarray, second: np.ndarray) -> bytes:
+    """Ascending hashes with their second ones: the first, then differences of six bytes where all fit, else of eight; then the second."""
+    steps = np.diff(own)
+    wide = 8 if len(steps) and steps.max() >> np.uint64(48) else 6
+    return bytes([wide]) + own[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() + second.tobytes()
+
+
+def _unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = int(data[0])
+    n = (len(data) - 9 - 4) // (wide + 4)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide] = data[9 : 9 + n * wide].reshape(n, wide)
+    own = np.cumsum(np.r_[data[1:9].copy().view(np.uint64), steps.view(np.uint64).ravel()], dtype=np.uint64)
+    return own, data[9 + n * wide :].copy().view(np.uint32)
 
 
 def intervals(marks: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -55,23 +76,32 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, keep:
     fields = [(f.name, f.dataType.simpleString()) for f in dealt.schema.fields if f.name.startswith("keep_")]
 
     def send(table: pa.Table) -> pa.Table:
-        _, _, _, every = _windows(table, size)
-        own = np.unique(every)
+        _, _, _, every, others = _windows(table, size, True)
+        own, first = np.unique(every, return_index=True)
+        second = (others[first] >> np.uint64(32)).astype(np.uint32)
         cuts = np.searchsorted(own >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(own)])
         full = np.flatnonzero(np.diff(cuts))
         part = table.column("part")[0].as_py()
-        packed = [own[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+        packed = [_pack(own[cuts[b] : cuts[b + 1]], second[cuts[b] : cuts[b + 1]]) for b in full]
         return pa.table({"bucket": pa.array(full, pa.int64()), "part": pa.array([part] * len(full), pa.int64()), "hashes": pa.array(packed, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-        every = np.sort(np.concatenate(each))
-        again = np.unique(every[1:][every[1:] == every[:-1]])
-        bits = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in each]
+        both = [_unpack(np.frombuffer(x.as_buffer(), np.uint8)) for x in table.column("hashes")]
+        each, second = [x for x, _ in both], np.concatenate([y for _, y in both])
+        every = np.concatenate(each)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        same = ordered[1:] == ordered[:-1]
+        # Of the hashes that occur again, those whose second hash does too.
+        at = order[np.r_[same, False] | np.r_[False, same]]
+        _, kind, n = np.unique(np.stack([every[at], second[at].astype(np.uint64)], 1), axis=0, return_inverse=True, return_counts=True)
+        again = np.zeros(len(every), bool)
+        again[at] = n[kind.ravel()] > 1
+        bits = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum([len(x) for x in each])[:-1])]
         return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary()), "n": pa.array([len(x) for x in each], pa.int64())})
 
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
-        order, found, each, every = _windows(table, size)
+        order, found, each, every, _ = _windows(table, size)
         own, n = np.unique(every, return_counts=True)
         answers = answers.sort_by("bucket")
         seen = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=k.as_py()) for b, k in zip(answers.column("bits"), answers.column("n"), strict=True)]
