@@ -1,10 +1,11 @@
 """Toxicity: misspelled lexicon terms by Levenshtein automata over a trie, weighed by their context window.
 
 1. Lexicon. From at most SAMPLE labelled documents the words and word beginnings (stems) that mark toxic documents are
-   counted in Spark; the best LEXICON of them, by smoothed log odds, go into a trie. A stem matches any word that begins
-   with it.
-2. Matching. The automaton of a word (its rows of edit distances) is stepped along the trie, and branches whose row
-   exceeds one edit are left; terms under 5 letters allow none. Results are remembered by word.
+   counted in Spark; the best LEXICON of them, by smoothed log odds less ERRORS of their standard errors, go into a trie. A stem
+   matches any word that begins with it.
+2. Matching. The Levenshtein automaton of a word is intersected with the trie; terms under 5 letters allow no edit, those of 10
+   or more allow two. Results are remembered by word. A word of many runs of letters is read run by run, or as one word where
+   it spells letters out; a run of over LONG letters is searched for terms and stems at every place.
 3. Context. A window of WINDOW words around a hit tells quotation (quote marks around it, or a reporting word before it)
    from abuse. Six counts (exact, stem and fuzzy hits, each quoted or not) enter a logistic model fitted on the same
    sample by Newton steps; weights of quoted hits have a prior near zero, so that unseen quotation does not accuse.
@@ -12,7 +13,7 @@
 The model is bounded (LEXICON terms, seven weights) and goes to the tasks with the function. Labels, lang, source and
 doc_id are no inputs of a score.
 
-Defined cases: null and empty texts score as texts without hits; without labelled rows every score is 0.1; rows with a null
+Defined cases: a document with labels of both kinds counts as toxic; an empty table gives no rows; null and empty texts score as texts without hits; without labelled rows every score is 0.1; rows with a null
 doc_id or a null label are not learned from; repeated rows are scored alike; other columns are ignored.
 """
 
@@ -29,67 +30,120 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
-SAMPLE, LEXICON, SUPPORT, WINDOW, STEMS = 20_000, 1_000, 5, 4, (4, 5, 6, 7, 8)
+SAMPLE, LEXICON, WINDOW, STEMS, RUNS, LONG = 20_000, 1_000, 4, (4, 5, 6, 7, 8), 8, 40
+#: Least log odds over the sample's own, less their error, of a term and of a stem.
+ODDS, ERRORS = (1.6, 2.6), 1.64
 #: Words that report another's speech.
 REPORTING = frozenset(b"said says say saying called calls wrote writes quoted quote quotes cited cites reported term word sagte schrieb dit dijo".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTES = ('"', "'", "“", "”", "«", "»", "„", "`")
 
 
-def core(word: bytes) -> str:
-    """The lower-cased letters of a word, from its first letter to its last."""
+def cores(word: bytes) -> list[str]:
+    """The lower-cased letters of a word: joined where it has few runs of letters or spells letters out, else each run by itself."""
     found = _LETTERS.findall(word.decode("utf-8", "replace").lower())
-    return "".join(found) if len(found) < 8 else ""
+    joined = "".join(found)
+    return [joined] if found and (len(found) < RUNS or len(joined) <= 2 * len(found)) else found
+
+
+def edits(term: str) -> int:
+    """How many edits of a term are forgiven."""
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+
+
+def less(word: str) -> list[str]:
+    """The word, and with one letter left out."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
+def thirds(term: str) -> list[str]:
+    """Three parts of a term, one of which two edits leave whole."""
+    a, b = len(term) // 3, 2 * len(term) // 3
+    return [term[:a], term[a:b], term[b:]]
 
 
 class Matcher(dict):
-    """kind of hit by word (bytes): 0 none, 1 exact term, 2 stem, 3 fuzzy term; remembers a bounded number of words."""
+    """kind of hit by word (bytes): 0 none, 1 exact term, 2 stem, 3 fuzzy term, -1 if it is to be searched by `inside`; remembers a
+    bounded number of words."""
 
     def __init__(self, terms: list[str], stems: list[str], most: int = 150_000):
         super().__init__()
         self.most, self.terms, self.stems = most, set(terms), set(stems)
         self.sizes = sorted({len(s) for s in stems})
-        self.less = {t[:i] + t[i + 1 :] for t in terms if len(t) >= 5 for i in range(len(t) + 1)}
+        self.spans = sorted({len(x) for x in (*terms, *stems) if len(x) >= 5}, reverse=True)
+        self.forms = {x for t in terms if edits(t) for x in less(t)}
+        self.parts = {x for t in terms if edits(t) > 1 for x in thirds(t)}
+        self.lengths = {len(x) for x in self.parts}
         self.trie: dict = {}
         for term in terms:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
-            node[""] = term
+            node[""] = edits(term)
 
     def fuzzy(self, word: str) -> bool:
-        """Is a trie term of at least 5 letters within one edit of the word? Words that share no form with one letter less
-        with any term are left at once; the others' automaton is stepped along the trie."""
-        if word not in self.less and self.less.isdisjoint([word[:i] + word[i + 1 :] for i in range(len(word))]):
+        """Is a trie term within its edits of the word?
+
+        A word one edit from a term shares a form with one letter left out, a word two edits from it one of its thirds; words that
+        share neither are left at once. For the others the Levenshtein automaton of the word, whose states are sets of (letters read, edits) held as bits, is
+        intersected with the trie: it steps along the branches as long as it has a state.
+        """
+        near = not self.forms.isdisjoint(less(word)), len(word) >= 8 and any(not self.parts.isdisjoint([word[i : i + n] for i in range(len(word) - n + 1)]) for n in self.lengths)
+        if not any(near):
             return False
-        todo = [(self.trie, list(range(len(word) + 1)))]
+        end, place = 1 << len(word), {}
+        for i, c in enumerate(word):
+            place[c] = place.get(c, 0) | 1 << i
+        every = 2 * end - 1
+        todo = [(self.trie, 1, 3 & every, 7 & every if near[1] else 0)]
         while todo:
-            node, row = todo.pop()
+            node, r0, r1, r2 = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    if len(child) >= 5 and row[-1] <= 1:
-                        return True
                     continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(new) <= 1:
-                    todo.append((child, new))
+                at = place.get(c, 0)
+                n0 = (r0 & at) << 1
+                n1 = ((r1 & at) << 1 | r0 | r0 << 1 | n0 << 1) & every
+                n2 = ((r2 & at) << 1 | r1 | r1 << 1 | n1 << 1) & every if near[1] else 0
+                allowed = child.get("", 0)
+                if allowed and n1 & end or allowed > 1 and n2 & end:
+                    return True
+                if n1 or n2:
+                    todo.append((child, n0, n1, n2))
         return False
 
+    def kind(self, w: str) -> int:
+        if w in self.terms:
+            return 1
+        if any(w[:n] in self.stems for n in self.sizes if n <= len(w)):
+            return 2
+        return 3 if len(w) >= 4 and self.fuzzy(w) else 0
+
+    def inside(self, word: bytes) -> list[int]:
+        """Kinds of the hits in a word of many runs or of very many letters, from left to right; of a run of over LONG letters those of
+        its beginning and the exact terms and stems of 5 letters or more anywhere in it."""
+        out = []
+        for run in cores(word):
+            if len(run) <= LONG:
+                out.append(self.kind(run))
+                continue
+            at = 0
+            while at < len(run):
+                n = next((n for n in self.spans if run[at : at + n] in self.terms or run[at : at + n] in self.stems), 0)
+                if n:
+                    out.append(1 if run[at : at + n] in self.terms else 2)
+                elif at == 0 and any(run[:k] in self.stems for k in self.sizes):
+                    out.append(2)
+                at += n or 1
+        return [k for k in out if k]
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        w = core(word)
-        kind = 0
-        if w and len(w) <= 40:
-            if w in self.terms:
-                kind = 1
-            elif any(w[:n] in self.stems for n in self.sizes if n <= len(w)):
-                kind = 2
-            elif len(w) >= 4 and self.fuzzy(w):
-                kind = 3
-        self[word] = kind
+        own = cores(word)
+        if len(own) > 1 or own and len(own[0]) > LONG:
+            return -1
+        kind = self[word] = self.kind(own[0]) if own else 0
         return kind
 
 
@@ -105,7 +159,8 @@ def features(text: str | None, match: Matcher) -> list[int]:
                 here = min(i, WINDOW)
                 left, right = b" ".join(around[: here + 1]).decode("utf-8", "replace"), b" ".join(around[here:]).decode("utf-8", "replace")
                 quoted = any(q in left for q in _QUOTES) and any(q in right for q in _QUOTES) or any(w.strip(b".,:;!?").lower() in REPORTING for w in around[:here])
-                out[kind - 1 + 3 * quoted] += 1
+                for k in (kind,) if kind > 0 else match.inside(found[i]):
+                    out[k - 1 + 3 * quoted] += 1
     return out
 
 
@@ -119,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
     n = known.count()
     share = min(1.0, 0.9 * SAMPLE / max(1, n))
-    drawn = known.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))).dropDuplicates(["id"]).limit(SAMPLE)
+    drawn = known.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))).groupBy("id").agg(F.max("y").alias("y")).limit(SAMPLE)
     sample = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "y")
 
     def tally(batches):
@@ -129,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
                 total[y] += 1
-                own = {c for c in map(core, set(words(t))) if c}
-                every.update(((0, w, y) for w in own if 3 <= len(w) <= 40))
+                own = {c for w in set(words(t)) for c in cores(w)}
+                every.update(((0, w, y) for w in own if 3 <= len(w) <= LONG))
                 every.update(((1, s, y) for s in {w[:k] for w in own for k in STEMS if len(w) > k}))
         rows = [*((k, w, y, c) for (k, w, y), c in every.items()), *((2, "", y, total[y]) for y in (0, 1))]
         for i in range(0, len(rows), 50_000):
@@ -138,13 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(c, pa.int64())], ["kind", "word", "y", "n"])
 
     sums = sample.mapInArrow(tally, "kind int, word string, y int, n long").groupBy("kind", "word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
-    best = sums.where(f"kind = 2 or pos >= {SUPPORT} * (1 + kind)").withColumn("odds", odds).orderBy((F.col("kind") == 2).desc(), F.col("odds").desc(), F.col("pos").desc(), "word").limit(3 * LEXICON + 1).collect()
-    total = next((r for r in best if r["kind"] == 2), None)
-    if total is None or not total["pos"]:
+    whole = sums.where("kind = 2").select("pos", "neg").first()
+    if whole is None or not whole["pos"]:
         return [], [], np.array([math.log(0.1 / 0.9), 0, 0, 0, 0, 0, 0], float)
-    prior = math.log((total["pos"] + 0.5) / (total["neg"] + 0.5))
-    marked = [r for r in best if r["kind"] < 2 and r["odds"] - prior > 3 and r["odds"] > 1]
+    prior = math.log((whole["pos"] + 0.5) / (whole["neg"] + 0.5))
+    odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
+    sure = odds - prior - ERRORS * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    fits = (F.col("kind") < 2) & (odds > 1) & (sure > F.when(F.col("kind") == 0, ODDS[0]).otherwise(ODDS[1]))
+    marked = sums.where(fits).orderBy(sure.desc(), "kind", "word").limit(3 * LEXICON).collect()
     terms, stems = ([r["word"] for r in marked if r["kind"] == k][:LEXICON] for k in (0, 1))
     stems = [s for s in stems if not any(s != p and s.startswith(p) for p in stems)]
 

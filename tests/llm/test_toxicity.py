@@ -2,7 +2,7 @@
 
 import random
 
-from mnemoflow.llm.toxicity import Matcher, features, fit, score_toxicity
+from mnemoflow.llm.toxicity import edits, Matcher, features, fit, score_toxicity
 
 
 def distance(a, b):
@@ -23,6 +23,36 @@ def test_fuzzy_is_edit_distance_one():
         assert match.fuzzy(w) == any(len(t) >= 5 and distance(w, t) <= 1 for t in terms), w
 
 
+def test_two_edits_of_long_terms():
+    rng = random.Random(2)
+    terms = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 14))) for _ in range(40)]
+    match = Matcher(terms, [])
+    for _ in range(3000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["", *"abcd"])
+        w = "".join(w)
+        if len(w) >= 4:
+            assert match.fuzzy(w) == any(distance(w, t) <= edits(t) for t in terms if edits(t)), w
+
+
+def test_no_word_is_too_long_or_too_parted():
+    match = Matcher(["idiotic", "nincompoop"], ["scum"])
+    assert features("i.d.i.o.t.i.c", match)[0] == features("i.d.i.o.t.i.c.", match)[0] == 1
+    assert features("you/are/all/so/very/much/of/an/idiotic/lot", match)[0] == 1
+    assert features("scum" + "x" * 40, match)[1] == 1
+    assert features("x" * 500_000 + "idiotic" + "y" * 500_000 + "nincompoop", match)[0] == 2
+    assert features("nimcompoup", match)[2] == 1 and features("nimconpoup", match) == [0] * 6
+
+
+def test_labels_of_both_kinds_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "plain words" if i % 2 else "plain vermin", 1.0, "a") for i in range(60)], "doc_id long, text string, score double, y string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)] + [(0, 0), (0, 1)], "doc_id long, toxic int")
+    models = [fit(docs, labels.repartition(n)) for n in (1, 3)]
+    assert models[0][0] == models[1][0] == ["vermin"] and (models[0][2] == models[1][2]).all()
+
+
 def test_context():
     match = Matcher(["idiotic"], ["scum"])
     assert features("you idiotic scumbag, idiotlc!", match) == [1, 1, 1, 0, 0, 0]
