@@ -8,24 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.scalars import round_to
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight) in both directions, parallel edges by their greatest weight."""
-    pair = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight")
-    return pair.union(pair.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+def step(level: DataFrame, edges: DataFrame, *columns) -> DataFrame:
+    """What the frontier level(id, ...) meets, in both directions of the edges: id of the other end, and the given columns.
+
+    The frontier is joined as it is; nothing is grouped or turned round beforehand.
+    """
+    out = level.join(edges, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), *columns)
+    back = level.join(edges, F.col("id") == F.col("target_id")).select(F.col("source_id").alias("id"), *columns)
+    return out.union(back)
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, least_weight: float = 0.1, hop_decay: float = 0.7, least_score: float = 0.05) -> DataFrame:
     """(id, score, hops) from seeds(id, score): best product of weight * hop_decay over walks of at most `hops` edges.
 
     Each level joins the frontier with the edges and keeps the best score of a node, so that a frontier has at most one row a
-    node; a node is carried on only where the level improved it. `edges` has weights up to 1.
+    node. `edges` has weights up to 1.
     """
-    both = undirected(edges.where(F.col("weight") >= least_weight))
+    own = edges.where(F.col("weight") >= least_weight).select("source_id", "target_id", "weight")
     level = seeds.groupBy("id").agg(F.max("score").alias("score"))
     reached = level.select("id", "score", F.lit(0).alias("hops"))
     for hop in range(1, hops + 1):
-        step = level.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("score") * F.col("weight") * hop_decay).alias("score")).where(F.col("score") >= least_score)
-        level = step.groupBy("id").agg(F.max("score").alias("score"))
+        met = step(level, own, (F.col("score") * F.col("weight") * hop_decay).alias("score")).where(F.col("score") >= least_score)
+        level = met.groupBy("id").agg(F.max("score").alias("score"))
         reached = reached.union(level.select("id", "score", F.lit(hop).alias("hops")))
     best = reached.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "hops")).alias("b"))
     return best.select("id", round_to(-F.col("b.s")).alias("score"), F.col("b.hops").alias("hops"))
@@ -33,11 +37,10 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, least_weight: fl
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, depth): least number of edges from a seed, up to `hops`."""
-    both = undirected(edges).select("src", "dst")
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    level = seen
+    own = edges.select("source_id", "target_id")
+    seen = level = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     for hop in range(1, hops + 1):
-        level = level.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(hop))
+        level = step(level.select("id"), own).distinct().withColumn("depth", F.lit(hop))
         seen = seen.union(level)
     return seen.groupBy("id").agg(F.min("depth").alias("depth"))
 
@@ -61,7 +64,7 @@ def best_per_source(edges: DataFrame, k: int) -> DataFrame:
 
 def expand(anchors: DataFrame, edges: DataFrame, least: float = 0.1, per_anchor: int = 5, k: int = 50) -> DataFrame:
     """(id, score): leaves of scored anchors(id, score), anchor score times edge weight, best per leaf."""
-    top = best_per_source(edges.where(F.col("weight") >= least).join(F.broadcast(anchors.select(F.col("id").alias("source_id"), "score")), "source_id"), per_anchor)
+    top = best_per_source(edges.where(F.col("weight") >= least).join(anchors.select(F.col("id").alias("source_id"), "score"), "source_id"), per_anchor)
     best = top.groupBy(F.col("target_id").alias("id")).agg(F.max(F.col("score") * F.col("weight")).alias("score"))
     return best.select("id", round_to(F.col("score")).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 

@@ -46,11 +46,6 @@ def at_depth(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.select(*(c for d, own in DEPTHS.items() if d <= depth for c in own))
 
 
-def in_list(column: str, values: list, or_null: bool = False) -> Column:
-    found = F.col(column).isin(*values)
-    return found | F.col(column).isNull() if or_null else found
-
-
 def stale(rows: DataFrame, embeddings: DataFrame, key: str = "id") -> DataFrame:
     """(key, stale): rows whose text hash is not that of embeddings(key, hash); a row without one is stale."""
     known = embeddings.select(key, "hash").distinct()

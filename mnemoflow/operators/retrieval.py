@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, cosine, event_decay, fts_tokens, overlap, round_to, term_set
+from ..functions.scalars import clamp, cosine, event_decay, fts_tokens, overlap, rerank_terms, round_to
 from .graph import expand_results
 
 K1, B, COLUMN_WEIGHTS = 1.2, 0.75, {"frontmatter": 2.0, "keywords": 10.0, "summary": 1.0}
@@ -20,15 +20,6 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10, least: flo
     return found.select("id", round_to(F.col("similarity") if score is None else F.col("similarity") * score).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def postings(nodes: DataFrame, weights: dict[str, float] = COLUMN_WEIGHTS, key: str = "id") -> DataFrame:
-    """(id, term, tf, length): weighted occurrences, and the tokens of all indexed columns of the row."""
-    tokens = [fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in weights]
-    length = sum((F.size(t) for t in tokens), F.lit(0))
-    each = F.concat(*(F.transform(t, lambda x, w=w: F.struct(x.alias("term"), F.lit(w).alias("w"))) for t, w in zip(tokens, weights.values(), strict=True)))
-    flat = nodes.select(F.col(key).alias("id"), length.alias("length"), F.explode(each).alias("t"))
-    return flat.groupBy("id", "length", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("tf"))
-
-
 def bm25(nodes: DataFrame, terms: list[str], every: bool = False, weights: dict[str, float] = COLUMN_WEIGHTS, keep: Column | None = None) -> DataFrame:
     """(id, rank) of the rows that hold a term (or every term); rank is negative, better is less.
 
@@ -77,6 +68,18 @@ def hybrid(nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[f
     return scored.select("id", score.alias("score")).where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
 
 
+def match_hubs(hubs: DataFrame, nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], least: float = 0.85, enough: int = 3, k: int = 5) -> DataFrame:
+    """(id, score) of the hubs at least `least` similar: with `enough` text hits among hubs, 0.2 * text + 0.8 * similarity of these, else
+    the similarity of all hubs."""
+    found = normalized(best(bm25(nodes, terms, keep=F.col("node_role") == "hub"), 50))
+    hits = F.broadcast(found.agg(F.count("*").alias("n")))
+    near = cosine(F.col("embedding"), F.array(*map(F.lit, map(float, query))))
+    all_ = hubs.select("id").join(vectors.select("id", near.alias("near")), "id").where(F.col("near") >= least).join(found, "id", "left").join(hits)
+    few = F.col("n") < enough
+    scored = all_.where(few | F.col("fts_score").isNotNull())
+    return scored.select("id", round_to(F.when(few, F.col("near")).otherwise(0.2 * F.col("fts_score") + 0.8 * F.col("near"))).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
 def merge_paths(vector: DataFrame, graph: DataFrame, weight: float = 0.6, bonus: float = 0.1, minmax: bool = True, least: float = 0.05, k: int = 20) -> DataFrame:
     """Two scored paths (id, score) by full outer join; items of both get a bonus; (id, score, n_sources)."""
 
@@ -97,8 +100,8 @@ def rerank(items: DataFrame, graph: DataFrame, query: str) -> DataFrame:
     """0.5 coarse + 0.35 graph (by its maximum) + 0.15 term overlap; unchanged where both are 0. items(id, score, content)."""
     top = graph.agg(F.max("score").alias("top"))
     scaled = graph.join(F.broadcast(top)).select("id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("graph"))
-    terms = term_set(F.lit(query))
-    joined = items.join(scaled, "id", "left").withColumn("graph", F.coalesce("graph", F.lit(0.0))).withColumn("content_score", overlap(terms, term_set(F.col("content"))))
+    terms = rerank_terms(F.lit(query))
+    joined = items.join(scaled, "id", "left").withColumn("graph", F.coalesce("graph", F.lit(0.0))).withColumn("content_score", overlap(terms, rerank_terms(F.col("content"))))
     new = 0.5 * F.col("score") + 0.35 * F.col("graph") + 0.15 * F.col("content_score")
     return joined.select("id", round_to(F.when((F.col("graph") == 0) & (F.col("content_score") == 0), F.col("score")).otherwise(new)).alias("score"))
 
@@ -110,10 +113,10 @@ def blend(items: DataFrame, relevance: DataFrame, alpha: float = 0.7, least: flo
 
 
 def with_depth(items: DataFrame, nodes: DataFrame, full: int = 5) -> DataFrame:
-    """(id, depth): the best `full` known items L2, other known ones L1, unknown ones L0. Items are a bounded result list."""
-    ranked = items.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
-    known = ranked.join(nodes.select("id", F.lit(True).alias("known")), "id", "left")
-    return known.select("id", F.when(F.col("known").isNull(), "L0").when(F.col("place") <= full, "L2").otherwise("L1").alias("depth"))
+    """(id, depth): of the best `full` items those that are known L2, other known ones L1, unknown ones L0."""
+    top = items.orderBy(F.col("score").desc(), "id").limit(full).select("id", F.lit(True).alias("top"))
+    known = items.select("id").join(nodes.select("id", F.lit(True).alias("known")), "id", "left").join(top, "id", "left")
+    return known.select("id", F.when(F.col("known").isNull(), "L0").when(F.col("top"), "L2").otherwise("L1").alias("depth"))
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, block: int = 8192) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -39,6 +39,14 @@ def query(sql: str | None = None):
     return register
 
 
+#: Decay of an anchor by the time since its last access and by its uses.
+_EFF = "least(greatest(pow(CASE WHEN idle_seconds <= 0 THEN 1.0 ELSE exp(-ln(2) * idle_seconds * (0.02 / 0.01) / 2592000.0) END, 0.7) * pow(1 - 0.5 / (1 + label), 0.3), 0), 1)"
+
+
+def effective_weight() -> Column:
+    return S.edge_decay(F.col("current_weight"), F.col("idle_seconds"), F.lit(0.02), F.col("label"))
+
+
 def first_vector(spark, sf) -> list[float]:
     row = V.read(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0]) if row else [0.0]
@@ -130,9 +138,9 @@ def l2_norms(spark, sf):
     return V.read(spark, sf, "embeddings").select("vec_id", F.round(S.l2_norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(f"{V.with_views('anchors')}, {Q0} SELECT id, {r4(f'{COS} * current_weight')} AS score FROM anchors, q WHERE {COS} >= 0.1 ORDER BY score DESC, id LIMIT 10")
+@query(f"{V.with_views('anchors')}, {Q0} SELECT id, {r4(f'{COS} * greatest(0.01, least(1, current_weight * {_EFF}))')} AS score FROM anchors, q WHERE {COS} >= 0.3 ORDER BY score DESC, id LIMIT 10")
 def anchor_search(spark, sf):
-    return R.vector_top_k(V.anchors(spark, sf), first_vector(spark, sf), 10, 0.1, F.col("current_weight"))
+    return R.vector_top_k(V.anchors(spark, sf), first_vector(spark, sf), 10, 0.3, effective_weight())
 
 
 @query(f"""{V.with_views('anchors', 'edges')}, {Q0},
@@ -212,12 +220,25 @@ def hybrid_search(spark, sf):
     return _hybrid(spark, sf)
 
 
-@query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W, 'node_role = ' + chr(39) + 'hub' + chr(39), 50)}, f AS (SELECT id, {_NORM} AS fts_score FROM hits, (SELECT min(rank) AS lo, max(rank) AS hi FROM hits)), {Q0} SELECT f.id, {r4(f'0.2 * fts_score + 0.8 * {COS}')} AS score FROM f JOIN embeddings e ON e.vec_id = f.id, q ORDER BY score DESC, id LIMIT 5")
+_HUBS = f"{_bm25_sql(TERMS, False, _W, 'node_role = ' + chr(39) + 'hub' + chr(39), 50)}, f AS (SELECT id, {_NORM} AS fts_score FROM hits, (SELECT min(rank) AS lo, max(rank) AS hi FROM hits))"
+
+
+def _hub_sql(least: float) -> str:
+    return f"""{V.with_views('nodes')}, {_HUBS}, {Q0}, c AS (SELECT n.id, fts_score, {COS} AS near FROM nodes n JOIN embeddings e ON e.vec_id = n.id LEFT JOIN f ON f.id = n.id, q WHERE node_role = 'hub'),
+ k AS (SELECT count(*) AS n FROM f) SELECT c.id, {r4('CASE WHEN k.n >= 3 THEN 0.2 * fts_score + 0.8 * near ELSE near END')} AS score FROM c, k WHERE near >= {least} AND (k.n < 3 OR fts_score IS NOT NULL) ORDER BY score DESC, c.id LIMIT 5"""
+
+
+@query(_hub_sql(0.85))
 def hub_match(spark, sf):
-    found = R.normalized(R.best(R.bm25(V.memory_nodes(spark, sf), TERMS, keep=F.col("node_role") == "hub"), 50))
-    q = F.array(*map(F.lit, map(float, first_vector(spark, sf))))
-    scored = found.join(V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
-    return by(scored.select("id", S.round_to(0.2 * F.col("fts_score") + 0.8 * S.cosine(F.col("embedding"), q)).alias("score")), "-score", "id", k=5)
+    vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return R.match_hubs(V.memory_nodes(spark, sf).where("node_role = 'hub'"), V.memory_nodes(spark, sf), vectors, TERMS, first_vector(spark, sf))
+
+
+@query(_hub_sql(0.1))
+def hub_match_wide(spark, sf):
+    """The same with a low threshold, under which the tables' vectors match."""
+    vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return R.match_hubs(V.memory_nodes(spark, sf).where("node_role = 'hub'"), V.memory_nodes(spark, sf), vectors, TERMS, first_vector(spark, sf), least=0.1)
 
 
 _TOP = f"vt AS (SELECT vec_id AS id, {r4(COS)} AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 30)"

@@ -49,8 +49,13 @@ def hybrid_fallback(spark, sf):
     return R.hybrid_or_all(V.memory_nodes(spark, sf), _vectors(spark, sf), TERMS, first_vector(spark, sf), NOW, least=0.01, every=True)
 
 
-_TERM_SET = "list_filter(list_distinct(string_split_regex(trim(regexp_replace(lower({}), '[^a-z0-9\\s\\-_]', ' ', 'g')), '\\s+')), lambda t: len(t) > 2 AND NOT list_contains([{}], t))"
-_STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
+_TERM_SET = "list_filter(list_distinct(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\\s\\-_]', ' ', 'g'), '\\s+')), lambda t: len(t) > 2 AND NOT list_contains([{}], t))"
+_RERANK = "list_filter(list_distinct(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9가-힣\\s]', ' ', 'g'), '\\s+')), lambda t: len(t) > 2 AND NOT list_contains([{}], t))"
+_quoted = lambda text: ", ".join(f"'{w}'" for w in text.split())
+# Literal, as the contract names them, so that a wrong list of the library shows.
+_STOP = _quoted("the and for are but not you all can had her was one our out has have been from its they were will with this that what when which would there their about each make like than them then these some could other into more also back after only come made most over such just use used using does did")
+_RERANK_STOP = _quoted("the is at in on and or to a an of for with that this was are has have had been will can not but from they its does how what when where which who why")
+_ENTITY_STOP = _quoted("about above after again against also been before being below between both cannot could does doing down during each from further have having here into itself just more most myself once only other over same should some such than that their them then there these they this those through under until very want were what when where which while whom will with would your because how many much need the and for are but not you all any can had her was one our out has his its let may new now old see way who did got use used using like make made know tell work take come help think look")
 _TRAVERSE = f"""{_UND}, l0 AS (SELECT * FROM (VALUES (1, CAST(1.0 AS DOUBLE)), (7, CAST(0.8 AS DOUBLE))) t(id, s)),
  l1 AS (SELECT dst AS id, max(s * w * 0.7) AS s FROM l0 JOIN u ON u.src = l0.id WHERE w >= 0.1 AND s * w * 0.7 >= 0.05 GROUP BY 1),
  l2 AS (SELECT dst AS id, max(s * w * 0.7) AS s FROM l1 JOIN u ON u.src = l1.id WHERE w >= 0.1 AND s * w * 0.7 >= 0.05 GROUP BY 1),
@@ -58,7 +63,7 @@ _TRAVERSE = f"""{_UND}, l0 AS (SELECT * FROM (VALUES (1, CAST(1.0 AS DOUBLE)), (
 
 
 @query(f"""{V.with_views('edges')}, {Q0}, {_TRAVERSE}, i AS (SELECT vec_id AS id, {r4(COS)} AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 30),
- j AS (SELECT i.id, i.score, coalesce(tr.score / (SELECT max(score) FROM tr), 0) AS g, len(list_intersect(['license', 'northern', 'market'], {_TERM_SET.format("d.text", _STOP)})) / 3.0 AS c FROM i JOIN documents d ON d.doc_id = i.id LEFT JOIN tr ON tr.id = i.id)
+ j AS (SELECT i.id, i.score, coalesce(tr.score / (SELECT max(score) FROM tr), 0) AS g, len(list_intersect(['license', 'northern', 'market'], {_RERANK.format("d.text", _RERANK_STOP)})) / 3.0 AS c FROM i JOIN documents d ON d.doc_id = i.id LEFT JOIN tr ON tr.id = i.id)
  SELECT id, {r4('CASE WHEN g = 0 AND c = 0 THEN score ELSE 0.5 * score + 0.35 * g + 0.15 * c END')} AS score FROM j""")
 def rerank_graph_content(spark, sf):
     items = R.vector_top_k(_vectors(spark, sf), first_vector(spark, sf), 30)
@@ -149,7 +154,7 @@ _JAC = lambda a, b: f"CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 TH
  p AS (SELECT a.id AS a, b.id AS b, abs(a.last_event - b.last_event) * 86400 AS s, a.t AS ta, b.t AS tb, a.k AS ka, b.k AS kb, a.e AS ea, b.e AS eb FROM n a JOIN n b ON b.id = a.id + 1),
  x AS (SELECT a, b, 0.2 * exp(-ln(2) * s / 604800.0) + 0.4 * {_JAC('ta', 'tb')} + 0.2 * least(1, least(ka, kb) / CAST(ka + kb - least(ka, kb) AS DOUBLE)) + 0.2 * {_JAC('ea', 'eb')} AS c FROM p) SELECT a, b, least(greatest(floor(c * 1e3 + 0.5) / 1e3, 0), 1) AS score FROM x WHERE floor(c * 1e3 + 0.5) / 1e3 >= 0.1""")
 def edge_score(spark, sf):
-    own = V.memory_nodes(spark, sf).select("id", "last_event", (F.col("activation_count") % 7 + 1).alias("k"), S.term_set(F.col("frontmatter")).alias("t"), F.split("keywords", " ").alias("e"))
+    own = V.memory_nodes(spark, sf).select("id", "last_event", (F.col("activation_count") % 7 + 1).alias("k"), S.edge_terms(F.col("frontmatter")).alias("t"), F.split("keywords", " ").alias("e"))
     other = own.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("last_event").alias("last_b"), F.col("k").alias("only_b"), F.col("t").alias("terms_b"), F.col("e").alias("entities_b"))
     pairs = own.join(other, "id").select(F.col("id").alias("a"), "b", (F.abs(F.col("last_event") - F.col("last_b")) * 86400).alias("seconds"), F.col("t").alias("terms_a"), "terms_b", F.least("k", "only_b").alias("shared"), F.col("k").alias("only_a"), "only_b", F.col("e").alias("entities_a"), "entities_b")
     return W.edge_scores(pairs)
@@ -162,7 +167,7 @@ _ENT = f"""c AS (SELECT conv_id, turn, coalesce(text, '') AS x, regexp_replace(c
  ent AS (SELECT conv_id, turn, list_distinct(list_concat(f, list_filter(ws, lambda s: regexp_full_match(s, '[A-Z][a-zA-Z0-9]+')))) AS e, ws FROM w)"""
 
 
-@query(f"""WITH {_ENT} SELECT conv_id, turn, array_to_string(list_sort(e), '|') AS entities, array_to_string(list_sort(list_filter(list_distinct(list_transform(list_filter(ws, lambda s: NOT regexp_full_match(s, '[A-Z][a-zA-Z0-9]+') AND len(s) >= 4 AND NOT list_contains([{_STOP}], lower(s))), lambda s: lower(s))), lambda s: NOT list_contains(list_transform(e, lambda z: lower(z)), s))), '|') AS key_terms FROM ent""")
+@query(f"""WITH {_ENT} SELECT conv_id, turn, array_to_string(list_sort(e), '|') AS entities, array_to_string(list_sort(list_filter(list_distinct(list_transform(list_filter(ws, lambda s: NOT regexp_full_match(s, '[A-Z][a-zA-Z0-9]+') AND len(s) >= 4 AND NOT list_contains([{_ENTITY_STOP}], lower(s))), lambda s: lower(s))), lambda s: NOT list_contains(list_transform(e, lambda z: lower(z)), s))), '|') AS key_terms FROM ent""")
 def entity_extract(spark, sf):
     entities, terms = E.extract_entities(F.col("text"))
     joined = lambda c: F.array_join(F.array_sort(c), "|")
@@ -187,7 +192,13 @@ def hub_link(spark, sf):
     return E.link_hubs(_mentions(spark, sf), hubs)
 
 
-@query()
+_NAMED = "len(trim(label)) >= 2 AND CASE WHEN regexp_matches(label, '[가-힯]') THEN len(regexp_extract_all(label, '[가-힯]')) >= 2 ELSE regexp_matches(trim(label), '^[A-Z]') OR regexp_matches(trim(label), '[.+#]') OR contains(trim(label), ' ') END"
+
+
+@query(f"""WITH {_MENTION}, k AS (SELECT m.entity, n, nodes, label, {_NAMED} AS named FROM m JOIN l ON l.entity = m.entity)
+ SELECT entity, label, CASE WHEN regexp_matches(label, '(?i)\\b(20[0-9][0-9]|q[1-4]|january|february|march|april|may|june|july|august|september|october|november|december)\\b') OR regexp_matches(label, '월|년|분기|기간') THEN 'temporal' WHEN named AND regexp_matches(label, '^[A-Z][a-z]') THEN 'entity'
+ WHEN regexp_matches(split_part(label, ' ', 1), '^[A-Z][a-zA-Z0-9.+#]*$') THEN 'entity' WHEN NOT regexp_matches(label, '^[가-힯]{{2,4}}$') AND contains(label, ' ') AND label = lower(label) THEN 'topic' WHEN named THEN 'entity' ELSE 'topic' END AS hub_type,
+ floor(least(1, 0.5 + CASE WHEN named THEN 0.2 ELSE 0 END + CASE WHEN nodes >= 3 THEN 0.15 WHEN nodes >= 2 THEN 0.1 ELSE 0 END + CASE WHEN n >= 3 THEN 0.1 ELSE 0 END) * 1e4 + 0.5) / 1e4 AS confidence FROM k ORDER BY confidence DESC, entity LIMIT 20""")
 def hub_candidates(spark, sf):
     return E.hub_candidates(_mentions(spark, sf))
 
@@ -273,11 +284,11 @@ def recall(spark, sf):
 _ALL = "s AS (SELECT user_id, session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 21600000000 THEN 1 ELSE 0 END AS cut FROM events)) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_ALL} SELECT user_id, started_us, last_us, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session DESC) AS p FROM s) WHERE p > 1")
+@query(f"WITH {_ALL} SELECT user_id, started_us, last_us, n, (SELECT max(epoch_us(ts)) FROM events) - last_us >= 21600000000 AS ended FROM s")
 def session_stream(spark, sf):
     return T.merged_sessions(T.run_to_end(T.session_parts(T.event_stream(spark, sf), 21_600), "sessions"), 21_600)
 
 
-@query()
+@query("WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), w AS (SELECT user_id, p, event_id, epoch_us(ts) AS first, 1 AS n FROM r WHERE p = 1 UNION ALL SELECT r.user_id, r.p, r.event_id, CASE WHEN epoch_us(r.ts) >= w.first + 86400000000 THEN epoch_us(r.ts) ELSE w.first END, CASE WHEN epoch_us(r.ts) >= w.first + 86400000000 THEN 1 ELSE w.n + 1 END FROM w JOIN r ON r.user_id = w.user_id AND r.p = w.p + 1) SELECT event_id, user_id AS key, n <= 2 AS allowed, CAST(greatest(0, 2 - n) AS BIGINT) AS remaining FROM w")
 def rate_limit(spark, sf):
     return T.rate_limit(V.read(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts"), 2, 86_400)

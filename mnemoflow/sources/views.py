@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_keywords
 
 NODE_TYPES = ("semantic", "episodic", "procedural", "prospective", "emotional")
+#: A node's frontmatter is its first sentence.
+FIRST = "^[^.]*"
 EDGE_TYPES = ("about", "related", "caused", "precedes", "refines", "contradicts")
 
 
@@ -22,8 +24,8 @@ def memory_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     kind = F.element_at(F.array(*map(F.lit, NODE_TYPES), F.lit(None)), (F.col("doc_id") % 6 + 1).cast("int"))
     return d.select(
-        F.col("doc_id").alias("id"), kind.alias("node_type"), F.when(F.col("doc_id") % 20 == 0, "hub").otherwise("leaf").alias("node_role"), F.substring("text", 1, 80).alias("frontmatter"),
-        normalize_keywords(F.concat_ws(" ", "lang", "source")).alias("keywords"), F.substring("text", 1, 400).alias("summary"), F.col("text").alias("content"), "lang", "source",
+        F.col("doc_id").alias("id"), kind.alias("node_type"), F.when(F.col("doc_id") % 20 == 0, "hub").otherwise("leaf").alias("node_role"), F.regexp_extract("text", FIRST, 0).alias("frontmatter"),
+        normalize_keywords(F.concat_ws(" ", "lang", "source")).alias("keywords"), F.col("text").alias("summary"), F.col("text").alias("content"), "lang", "source",
         (F.col("doc_id") % 200).cast("double").alias("last_event"), (F.col("n_chars") % 50).alias("activation_count"),
     )
 
@@ -50,8 +52,8 @@ _TYPES = ", ".join(f"'{t}'" for t in NODE_TYPES)
 _KINDS = ", ".join(f"'{t}'" for t in EDGE_TYPES)
 #: DuckDB SQL of the same tables, as the body of a WITH entry.
 SQL = {
-    "nodes": f"""nodes AS (SELECT doc_id AS id, [{_TYPES}, NULL][doc_id % 6 + 1] AS node_type, CASE WHEN doc_id % 20 = 0 THEN 'hub' ELSE 'leaf' END AS node_role, left(text, 80) AS frontmatter,
-      array_to_string(list_sort(list_distinct([lang, source])), ' ') AS keywords, left(text, 400) AS summary, text AS content, lang, source, CAST(doc_id % 200 AS DOUBLE) AS last_event, n_chars % 50 AS activation_count FROM documents)""",
+    "nodes": f"""nodes AS (SELECT doc_id AS id, [{_TYPES}, NULL][doc_id % 6 + 1] AS node_type, CASE WHEN doc_id % 20 = 0 THEN 'hub' ELSE 'leaf' END AS node_role, regexp_extract(text, '{FIRST}') AS frontmatter,
+      array_to_string(list_sort(list_distinct([lang, source])), ' ') AS keywords, text AS summary, text AS content, lang, source, CAST(doc_id % 200 AS DOUBLE) AS last_event, n_chars % 50 AS activation_count FROM documents)""",
     "edges": f"""edges AS (SELECT *, [{_KINDS}][(source_id + target_id) % 6 + 1] AS edge_type FROM (SELECT l_partkey AS source_id, l_suppkey AS target_id, max(l_quantity) * 2 AS weight, max(l_discount) * 100 AS shield,
       max(l_tax) AS decay_rate, CAST(min(l_orderkey) % 200 AS DOUBLE) AS last_event, count(*) AS activation_count FROM lineitem GROUP BY ALL))""",
     "anchors": "anchors AS (SELECT vec_id AS id, embedding, label, (label + 1) / 10.0 AS current_weight, CAST(vec_id % 90 * 86400 AS DOUBLE) AS idle_seconds FROM embeddings)",

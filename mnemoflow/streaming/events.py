@@ -1,7 +1,7 @@
-"""Streams of events: sessions and running clocks as keyed state, and a rate limiter.
+"""Streams of events: sessions as mergeable intervals, and a rate limiter.
 
-Sources are file streams over a folder of Parquet; sinks are Parquet with a checkpoint in the shared folder. State holds a few
-numbers a key and never the events of one.
+Sources are file streams over a folder of Parquet; sinks are Parquet with a checkpoint in the shared folder. No state of a key is
+held between micro-batches, so that late events and the order of files do not matter.
 """
 
 from __future__ import annotations
@@ -10,11 +10,9 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 SESSION = "user_id long, started_us long, last_us long, n long"
 
@@ -25,30 +23,6 @@ def event_stream(spark: SparkSession, sf_dir: str, table: str = "events", files_
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/{table}.parquet*")
 
 
-def closed_sessions(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
-    """Sessions that a later event of their user ended by a gap of at least the timeout; the last one stays in the state.
-
-    A group's rows come in batches sorted here by time, so that memory is bounded by a micro-batch's rows of one user. Micro-batches
-    must follow each other in time; session_parts and merged_sessions do without that.
-    """
-    timeout = timeout_s * 1_000_000
-
-    def step(key, frames, state):
-        start, last, n = state.get if state.exists else (None, None, 0)
-        rows = []
-        for ts in pd.concat([f["us"] for f in frames]).sort_values():
-            if start is not None and ts - last >= timeout:
-                rows.append((key[0], start, last, n))
-                start, n = ts, 0
-            start, last, n = ts if start is None else start, ts, n + 1
-        if n:
-            state.update((int(start), int(last), int(n)))
-        yield pd.DataFrame(rows, columns=["user_id", "started_us", "last_us", "n"])
-
-    keyed = events.where("user_id is not null and ts is not null").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return keyed.groupBy("user_id").applyInPandasWithState(step, SESSION, "start long, last long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def session_parts(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
     """Mergeable intervals (user_id, started_us, last_us, n): runs of a user's events within an Arrow batch, with gaps under the
     timeout. They need no order of files or micro-batches and no shuffle, so that a user of any size costs no task more."""
@@ -68,26 +42,24 @@ def session_parts(events: DataFrame, timeout_s: int = 1800) -> DataFrame:
 
 
 def merged_sessions(parts: DataFrame, timeout_s: int = 1800) -> DataFrame:
-    """Sessions of the intervals of session_parts, but each user's last one, which no later event has ended."""
+    """Sessions of the intervals of session_parts, with the mark whether each has ended: whether the newest event of all lies the
+    timeout or more after its last one."""
     timeout = timeout_s * 1_000_000
     each = Window.partitionBy("user_id").orderBy("started_us", "last_us")
     reached = F.max("last_us").over(each.rowsBetween(Window.unboundedPreceding, -1))
     number = F.sum(F.coalesce((F.col("started_us") - F.col("reached") >= timeout).cast("long"), F.lit(0))).over(each.rowsBetween(Window.unboundedPreceding, 0))
     own = parts.withColumn("reached", reached).withColumn("session", number).groupBy("user_id", "session").agg(F.min("started_us").alias("started_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"))
-    after = F.lead("session").over(Window.partitionBy("user_id").orderBy("session"))
-    return own.withColumn("after", after).where("after is not null").select("user_id", "started_us", "last_us", "n")
-
-
-def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n) per tumbling window of event time, with late data up to the watermark."""
-    own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return own.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    newest = F.broadcast(parts.agg(F.max("last_us").alias("newest")))
+    return own.join(newest).select("user_id", "started_us", "last_us", "n", (F.col("newest") - F.col("last_us") >= timeout).alias("ended"))
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Reads what the source has now, and returns what was written."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mnemoflow-')}").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = (named or f"file://{tempfile.mkdtemp(prefix='mnemoflow-')}").rstrip("/")
     path = f"{base}/mnemoflow/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
