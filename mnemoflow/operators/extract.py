@@ -1,44 +1,169 @@
-"""Tolerant parsing of model answers: JSON within fences or braces, coerced to typed columns; nothing raises."""
+"""Tolerant parsing of model answers: JSON within fences or braces, coerced to typed columns; nothing raises.
+
+A number where a text is wanted is read as its text. What an answer cannot be read as is null; a null or blank answer has no items.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The categories of facts.
+#: Categories of facts, types of nodes, episodes and anchors, grades of importance, and the fence of an answer.
 CATEGORIES = ("preference", "technical", "requirement", "decision", "context", "instruction", "knowledge", "relationship", "other")
+NODE_TYPES = ("semantic", "episodic", "procedural", "prospective", "emotional")
+ANCHOR_TYPES = ("entity", "topic", "temporal", "composite")
+IMPORTANCE = ("high", "medium", "low")
+FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
+
 FACT = "struct<content:string,category:string,confidence:double,entities:array<string>,subject:string,predicate:string,object:string>"
+#: Metadata by type of node: texts, lists and shares.
+METADATA = {
+    "semantic": {"subject": "string", "predicate": "string", "object": "string"},
+    "episodic": {"episodeType": "string", "actors": "array<string>", "outcome": "string"},
+    "procedural": {"steps": "array<string>", "prerequisites": "array<string>"},
+    "prospective": {"dueDate": "string", "priority": "string", "status": "string"},
+    "emotional": {"emotion": "string", "trigger": "string", "intensity": "double"},
+}
+NODE = f"struct<nodeType:string,frontmatter:string,summary:string,searchKeywords:array<string>,relatedEntities:array<string>,metadata:struct<category:string,confidence:double,entities:array<string>,salience:double,{','.join(f'{n}:{k}' for own in METADATA.values() for n, k in own.items())}>>"
+EPISODE = "struct<type:string,title:string,description:string,startTurnIndex:double,endTurnIndex:double,actors:array<string>,outcome:string>"
+SUMMARY = "struct<id:string,frontmatter:string,summary:string>"
+FRONTMATTER = "struct<frontmatter:struct<label:string,category:string,keywords:array<string>,domain:string,importance:string>,summary:string>"
+DECISION = "struct<connect:array<struct<anchorId:string,weight:double,reason:string>>,create:array<struct<label:string,description:string,anchorType:string,aliases:array<string>,weight:double,reason:string>>>"
+JUDGMENT = "struct<isolated:boolean,decisions:array<struct<action:string,anchorId:string,label:string,description:string,anchorType:string,strength:double,reason:string>>>"
+SCORES = "struct<scores:array<struct<id:string,relevance:double,reason:string>>>"
 
 
 def json_part(raw: Column) -> Column:
     """The JSON of an answer: what a fence holds, else from the first brace or bracket to its last partner."""
-    s = F.trim(raw)
-    fence = F.regexp_extract(s, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
-    brace, bracket = F.instr(s, "{"), F.instr(s, "[")
-    to_brace, to_bracket = F.regexp_extract(s, r"(?s)\{.*\}", 0), F.regexp_extract(s, r"(?s)\[.*\]", 0)
-    bare = F.when((brace > 0) & (to_brace != "") & ~((bracket > 0) & (bracket < brace) & (to_bracket != "")), to_brace).when(to_bracket != "", to_bracket).otherwise(s)
-    return F.when(fence != "", F.trim(fence)).otherwise(bare)
+    s, filled = F.trim(raw), lambda c: F.when(c != "", c)
+    braces, brackets = (filled(F.regexp_extract(s, p, 0)) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
+    list_first = F.regexp_extract(s, r"[\[{]", 0) == "["
+    return F.coalesce(filled(F.trim(F.regexp_extract(s, FENCE, 1))), F.when(list_first, brackets), braces, brackets, s)
+
+
+def items(raw: Column, key: str, kind: str) -> Column:
+    """array<kind>: the answer's array, or the array under `key` of its object; null where it is neither."""
+    text = json_part(raw)
+    found = F.when(text.startswith("["), F.from_json(text, f"array<{kind}>")).otherwise(F.from_json(text, f"struct<{key}:array<{kind}>>")[key])
+    return F.when(blank(raw), F.array().cast(f"array<{kind}>")).otherwise(found)
+
+
+def blank(s: Column) -> Column:
+    return s.isNull() | (F.trim(s) == "")
+
+
+def filled(s: Column) -> Column:
+    """The trimmed text, or null where nothing is left."""
+    return F.when(~blank(s), F.trim(s))
+
+
+def listed(a: Column) -> Column:
+    """The trimmed texts of a list that are not blank; a null list is empty."""
+    return F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda e: ~blank(e)), lambda e: F.trim(e))
+
+
+def one_of(s: Column, known: tuple[str, ...], other: str | None) -> Column:
+    own = F.lower(F.trim(s))
+    return F.when(own.isin(*known), own).otherwise(F.lit(other))
+
+
+def share(x: Column, other: float | None) -> Column:
+    """x between 0 and 1; `other` for what is no number."""
+    return F.when(x.isNull() | F.isnan(x), F.lit(other).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
+def _each(found: Column, keep: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
+    return F.transform(F.filter(found, lambda x: F.coalesce(keep(x), F.lit(False))), made)
 
 
 def facts(raw: Column) -> Column:
-    """array<struct> of the facts of an answer, {"facts": [...]} or a bare array; null when it holds neither.
+    """array<struct> of the facts of an answer. A fact without content is left out; an unknown category is `other`, a missing
+    confidence 0.5, entities are trimmed."""
+    made = lambda f: F.struct(
+        F.trim(f["content"]).alias("content"), one_of(f["category"], CATEGORIES, "other").alias("category"), share(f["confidence"], 0.5).alias("confidence"),
+        listed(f["entities"]).alias("entities"), *(filled(f[c]).alias(c) for c in ("subject", "predicate", "object")),
+    )
+    return _each(items(raw, "facts", FACT), lambda f: ~blank(f["content"]), made)
 
-    A fact without content is left out; an unknown category is `other`, a missing confidence 0.5, entities are trimmed. A null
-    or blank answer gives no facts.
-    """
-    text = json_part(raw)
-    found = F.when(text.startswith("["), F.from_json(text, f"array<{FACT}>")).otherwise(F.from_json(text, f"struct<facts:array<{FACT}>>")["facts"])
-    filled = lambda s: F.when(F.trim(s) != "", F.trim(s))
 
-    def coerce(f: Column) -> Column:
-        category = F.lower(F.trim(f["category"]))
+def nodes(raw: Column) -> Column:
+    """array<struct> of the memory nodes of an answer: type (semantic if unknown), frontmatter and summary (each stands in for the
+    other), keywords, and the metadata of its type; related entities join those of the metadata. One without both texts is left out."""
+
+    def made(n: Column) -> Column:
+        kind, m = one_of(n["nodeType"], NODE_TYPES, "semantic"), n["metadata"]
+        read = {"string": filled, "array<string>": listed, "double": lambda x: share(x, None)}
+        own = [F.when((kind == t) & m.isNotNull(), read[k](m[c])).alias(c) for t, fields in METADATA.items() for c, k in fields.items()]
+        front, summary = filled(n["frontmatter"]), filled(n["summary"])
+        category = F.when(m["category"] != "", one_of(m["category"], CATEGORIES, "other"))
+        entities = F.array_union(listed(m["entities"]), listed(n["relatedEntities"]))
         return F.struct(
-            F.trim(f["content"]).alias("content"), F.when(category.isin(*CATEGORIES), category).otherwise("other").alias("category"),
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(f["confidence"], F.lit(0.5)))).alias("confidence"),
-            F.transform(F.filter(F.coalesce(f["entities"], F.array().cast("array<string>")), lambda e: F.trim(e) != ""), lambda e: F.trim(e)).alias("entities"),
-            *(filled(f[c]).alias(c) for c in ("subject", "predicate", "object")),
+            kind.alias("node_type"), F.coalesce(front, F.substring(summary, 1, 80)).alias("frontmatter"), F.coalesce(summary, front).alias("summary"), F.array_join(listed(n["searchKeywords"]), " ").alias("keywords"),
+            F.struct(category.alias("category"), share(m["confidence"], None).alias("confidence"), entities.alias("entities"), share(m["salience"], None).alias("salience"), *own).alias("metadata"),
         )
 
-    kept = F.filter(found, lambda f: F.coalesce(F.trim(f["content"]) != "", F.lit(False)))
-    none = F.array().cast(f"array<{FACT}>")
-    return F.when(raw.isNull() | (F.trim(raw) == ""), none).otherwise(F.transform(kept, coerce))
+    return _each(items(raw, "nodes", NODE), lambda n: ~blank(n["frontmatter"]) | ~blank(n["summary"]), made)
+
+
+def episodes(raw: Column, last_turn: Column, kinds: tuple[str, ...]) -> Column:
+    """array<struct> of the episodes of an answer, an array alone, by their first turn. One is left out whole unless its type is of
+    `kinds`, title, description and an actor are given, and its turns are whole numbers in order, from 0 to last_turn."""
+    start, end = (lambda e, c=c: e[c] for c in ("startTurnIndex", "endTurnIndex"))
+    whole = lambda x: (F.floor(x) == x) & (x >= 0)
+    keep = lambda e: e["type"].isin(*kinds) & ~blank(e["title"]) & ~blank(e["description"]) & whole(start(e)) & whole(end(e)) & (start(e) <= end(e)) & (end(e) <= last_turn) & (F.size(listed(e["actors"])) > 0)
+    made = lambda e: F.struct(start(e).cast("long").alias("start_turn"), end(e).cast("long").alias("end_turn"), e["type"].alias("type"), F.trim(e["title"]).alias("title"), F.trim(e["description"]).alias("description"), F.filter(e["actors"], lambda a: ~blank(a)).alias("actors"), filled(e["outcome"]).alias("outcome"))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*\n?", ""), r"\n?```\s*$", ""))
+    return F.array_sort(_each(F.from_json(text, f"array<{EPISODE}>"), keep, made), lambda a, b: F.when(a["start_turn"] < b["start_turn"], -1).when(a["start_turn"] > b["start_turn"], 1).otherwise(0))
+
+
+def summaries(raw: Column) -> Column:
+    """array<struct<id, frontmatter, summary>>: texts stand in for each other; one without an id or both texts is left out."""
+    made = lambda s: F.struct(F.trim(s["id"]).alias("id"), F.coalesce(filled(s["frontmatter"]), filled(s["summary"])).alias("frontmatter"), F.coalesce(filled(s["summary"]), filled(s["frontmatter"])).alias("summary"))
+    return _each(items(raw, "summaries", SUMMARY), lambda s: ~blank(s["id"]) & (~blank(s["frontmatter"]) | ~blank(s["summary"])), made)
+
+
+def frontmatter(raw: Column, content: Column) -> Column:
+    """struct of label (80 characters at most), category, keywords (10 at most, each once), domain, importance and summary; what is
+    missing comes from the fact's content."""
+    found = F.from_json(json_part(raw), FRONTMATTER)
+    f = found["frontmatter"]
+    label = F.substring(F.coalesce(filled(f["label"]), content, F.lit("Untitled fact")), 1, 80)
+    keywords = F.slice(F.array_distinct(F.transform(listed(f["keywords"]), F.lower)), 1, 10)
+    return F.struct(label.alias("label"), one_of(f["category"], CATEGORIES, "other").alias("category"), keywords.alias("keywords"), F.lower(filled(f["domain"])).alias("domain"), one_of(f["importance"], IMPORTANCE, None).alias("importance"), F.coalesce(filled(found["summary"]), content, F.lit("")).alias("summary"))
+
+
+def decision(raw: Column, known: Column) -> Column:
+    """struct<connect, create>: links to known anchor ids only (weight 0.5 if none is given), and new anchors with label and description
+    (type `topic` if unknown). Null where the answer is no object."""
+    found = F.from_json(json_part(raw), DECISION)
+    connect = _each(found["connect"], lambda c: F.array_contains(known, c["anchorId"]), lambda c: F.struct(c["anchorId"].alias("anchor_id"), share(c["weight"], 0.5).alias("weight"), c["reason"].alias("reason")))
+    kind = lambda c: F.when(c["anchorType"].isin(*ANCHOR_TYPES), c["anchorType"]).otherwise("topic")
+    create = _each(found["create"], lambda c: ~blank(c["label"]) & ~blank(c["description"]), lambda c: F.struct(F.trim(c["label"]).alias("label"), F.trim(c["description"]).alias("description"), kind(c).alias("anchor_type"), c["aliases"].alias("aliases"), share(c["weight"], None).alias("weight")))
+    return F.when(found.isNotNull(), F.struct(F.coalesce(connect, F.array()).alias("connect"), F.coalesce(create, F.array()).alias("create")))
+
+
+def judgment(raw: Column, known: Column) -> Column:
+    """struct<isolated, decisions> with links to known anchors only and new anchors that have a label; strengths between 0 and 1."""
+    found = F.from_json(json_part(raw), JUDGMENT)
+    link = lambda d: (d["action"] == "connect") & F.array_contains(known, d["anchorId"])
+    new = lambda d: (d["action"] == "create") & ~blank(d["label"])
+    kind = lambda d: F.when(d["anchorType"].isin(*ANCHOR_TYPES), d["anchorType"]).otherwise("topic")
+    made = lambda d: F.struct(d["action"].alias("action"), F.when(link(d), d["anchorId"]).alias("anchor_id"), F.when(new(d), F.trim(d["label"])).alias("label"), F.when(new(d), kind(d)).alias("anchor_type"), share(d["strength"], 0.5).alias("strength"))
+    return F.when(found.isNotNull(), F.struct(F.coalesce(found["isolated"], F.lit(False)).alias("isolated"), _each(found["decisions"], lambda d: link(d) | new(d), made).alias("decisions")))
+
+
+def rerank_scores(raw: Column, known: Column) -> Column:
+    """array<struct<id, relevance>> of the candidates that an answer scores; what is no number counts 0, unknown ids are left out."""
+    found = F.from_json(json_part(raw), SCORES)["scores"]
+    return _each(found, lambda s: F.array_contains(known, s["id"]), lambda s: F.struct(s["id"].alias("id"), share(s["relevance"], 0.0).alias("relevance")))
+
+
+def heuristic_judgment(candidates: Column, label: Column, least: float = 0.6, strength: float = 0.5) -> Column:
+    """struct<isolated, decisions> without a model, of candidates array<struct<anchor_id, similarity>>: links to all that are similar
+    enough, else a new anchor of that label, if there is one."""
+    links = F.transform(F.filter(candidates, lambda c: c["similarity"] >= least), lambda c: F.struct(F.lit("connect").alias("action"), c["anchor_id"].cast("string").alias("anchor_id"), F.lit(None).cast("string").alias("label"), F.least(c["similarity"].cast("double"), F.lit(1.0)).alias("strength")))
+    new = F.array(F.struct(F.lit("create").alias("action"), F.lit(None).cast("string").alias("anchor_id"), filled(label).alias("label"), F.lit(strength).alias("strength")))
+    made = F.when(F.size(links) > 0, links).when(~blank(label), new).otherwise(F.slice(new, 1, 0))
+    return F.struct((F.size(made) == 0).alias("isolated"), made.alias("decisions"))

@@ -64,3 +64,34 @@ SQL = {
 def with_views(*names: str, recursive: bool = False) -> str:
     """The head of a statement that defines these tables."""
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(SQL[n] for n in names)
+
+
+# Facts, episodes and concepts over the given tables, and their SQL.
+_CATEGORIES = ("preference", "technical", "requirement", "decision", "context", "instruction", "knowledge", "relationship", "other")
+_EPISODES = ("action", "decision", "event", "discovery")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, old = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("gone")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, _CATEGORIES)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return d.join(old, "doc_id", "left").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("conv_id"), (F.col("doc_id") % 8).alias("turn"), kind.alias("category"), F.col("text").alias("content"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("summary"), F.coalesce("gone", F.lit(False)).alias("superseded"))
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns of a conversation each; ids are negative."""
+    kind = F.element_at(F.array(*map(F.lit, _EPISODES)), (F.col("conv_id") % 4 + 1).cast("int"))
+    half = F.floor(F.col("turn") / 2)
+    return read(spark, sf_dir, "conversations").groupBy("conv_id", half.alias("half")).agg(F.min("turn").alias("start_turn"), F.max("turn").alias("end_turn"), F.min("text").alias("content")).select((-(F.col("conv_id") * 1000 + F.col("half") + 1)).alias("id"), "conv_id", kind.alias("type"), "start_turn", "end_turn", "content")
+
+
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("c_acctbal") / 10000)).alias("relevance"), F.array_distinct(F.array(F.col("c_nationkey"), F.col("c_custkey") % 7)).alias("sources"), F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_name")).alias("content"))
+
+
+SQL |= {
+    "facts": f"""facts AS (SELECT doc_id AS id, doc_id % 100 AS conv_id, doc_id % 8 AS turn, [{", ".join(f"'{c}'" for c in _CATEGORIES)}][doc_id % 9 + 1] AS category, text AS content, CASE WHEN doc_id % 3 <> 0 THEN source END AS summary,
+      doc_id IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL) AS superseded FROM documents)""",
+    "episodes": f"""episodes AS (SELECT -(conv_id * 1000 + half + 1) AS id, conv_id, [{", ".join(f"'{c}'" for c in _EPISODES)}][conv_id % 4 + 1] AS type, start_turn, end_turn, content FROM (SELECT conv_id, turn // 2 AS half, min(turn) AS start_turn, max(turn) AS end_turn, min(text) AS content FROM conversations GROUP BY 1, 2))""",
+    "concepts": "concepts AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS category, greatest(0.0, least(1.0, c_acctbal / 10000)) AS relevance, CASE WHEN c_nationkey = c_custkey % 7 THEN [c_nationkey] ELSE [c_nationkey, c_custkey % 7] END AS sources, c_mktsegment || ' ' || c_name AS content FROM customer)",
+}

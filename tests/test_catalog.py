@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import mnemoflow.plans.more  # noqa: F401  registers its queries
+import mnemoflow.plans.answers
+import mnemoflow.plans.memory  # noqa: F401  they register their queries
 from mnemoflow.plans.catalog import ORACLES, QUERIES
 
 
