@@ -3,7 +3,7 @@
 1. Lexicon. From at most SAMPLE labelled documents the words and word beginnings (stems) that mark toxic documents are
    counted in Spark; the best LEXICON of them, by smoothed log odds less ERRORS of their standard errors, go into a trie. A stem
    matches any word that begins with it.
-2. Matching. The Levenshtein automaton of a word is intersected with the trie; terms under 5 letters allow no edit, those of 10
+2. Matching. The Levenshtein automaton of a word is intersected with the trie; terms under 5 letters allow no edit, those of 12
    or more allow two. Results are remembered by word. A word of many runs of letters is read run by run, or as one word where
    it spells letters out; a run of over LONG letters is searched for terms and stems at every place.
 3. Context. A window of WINDOW words around a hit tells quotation (quote marks around it, or a reporting word before it)
@@ -32,7 +32,7 @@ from .common import table, words
 
 SAMPLE, LEXICON, WINDOW, STEMS, RUNS, LONG = 20_000, 1_000, 4, (4, 5, 6, 7, 8), 8, 40
 #: Least log odds over the sample's own, less their error, of a term and of a stem.
-ODDS, ERRORS = (1.6, 2.6), 1.64
+ODDS, ERRORS = (1.77, 2.6), 1.64
 #: Words that report another's speech.
 REPORTING = frozenset(b"said says say saying called calls wrote writes quoted quote quotes cited cites reported term word sagte schrieb dit dijo".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,7 +48,7 @@ def cores(word: bytes) -> list[str]:
 
 def edits(term: str) -> int:
     """How many edits of a term are forgiven."""
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 def less(word: str) -> list[str]:
@@ -56,10 +56,21 @@ def less(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
-def thirds(term: str) -> list[str]:
-    """Three parts of a term, one of which two edits leave whole."""
+def thirds(term: str) -> list[tuple[int, str]]:
+    """Three parts of a term with their places, one of which two edits leave whole."""
     a, b = len(term) // 3, 2 * len(term) // 3
-    return [term[:a], term[a:b], term[b:]]
+    return [(0, term[:a]), (a, term[a:b]), (b, term[b:])]
+
+
+def trie(terms: list[str]) -> dict:
+    """Nested by letter; the empty key holds the edits that the term ending there allows."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = edits(term)
+    return root
 
 
 class Matcher(dict):
@@ -72,30 +83,37 @@ class Matcher(dict):
         self.sizes = sorted({len(s) for s in stems})
         self.spans = sorted({len(x) for x in (*terms, *stems) if len(x) >= 5}, reverse=True)
         self.forms = {x for t in terms if edits(t) for x in less(t)}
-        self.parts = {x for t in terms if edits(t) > 1 for x in thirds(t)}
-        self.lengths = {len(x) for x in self.parts}
-        self.trie: dict = {}
-        for term in terms:
-            node = self.trie
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = edits(term)
+        #: Of the terms of two edits: (letters of the word, place, third), in every form in which two edits can leave a third whole.
+        self.parts = {(len(t) + d, at + k, x) for t in terms if edits(t) > 1 for at, x in thirds(t) for d in range(-2, 3) for k in range(-2, 3)}
+        self.places: dict = {}
+        for n, at, x in self.parts:
+            self.places.setdefault(n, set()).add((at, len(x)))
+        self.twice = {x for t in terms if edits(t) > 1 for y in less(t) for x in less(y)}
+        self.trie, self.long = trie(terms), trie([t for t in terms if edits(t) > 1])
 
     def fuzzy(self, word: str) -> bool:
         """Is a trie term within its edits of the word?
 
-        A word one edit from a term shares a form with one letter left out, a word two edits from it one of its thirds; words that
-        share neither are left at once. For the others the Levenshtein automaton of the word, whose states are sets of (letters read, edits) held as bits, is
+        A word one edit from a term shares a form with one letter left out, a word two edits from it one of its thirds, at most two
+        places off, and a form with two letters left out; words without these are left at once. For the others the Levenshtein
+        automaton of the word, whose states are sets of (letters read, edits) held as bits, is
         intersected with the trie: it steps along the branches as long as it has a state.
         """
-        near = not self.forms.isdisjoint(less(word)), len(word) >= 8 and any(not self.parts.isdisjoint([word[i : i + n] for i in range(len(word) - n + 1)]) for n in self.lengths)
-        if not any(near):
+        n = len(word)
+        if not self.forms.isdisjoint(less(word)) and self.walk(word, self.trie, 1):
+            return True
+        if n not in self.places or not any((n, at, word[at : at + k]) in self.parts for at, k in self.places[n]):
             return False
+        return any(not self.twice.isdisjoint(less(x)) for x in less(word)) and self.walk(word, self.long, 2)
+
+    @staticmethod
+    def walk(word: str, root: dict, most: int) -> bool:
+        """Does the automaton of the word, of at most `most` edits, accept a term of the trie with no more edits than it allows?"""
         end, place = 1 << len(word), {}
         for i, c in enumerate(word):
             place[c] = place.get(c, 0) | 1 << i
         every = 2 * end - 1
-        todo = [(self.trie, 1, 3 & every, 7 & every if near[1] else 0)]
+        todo = [(root, 1, 3 & every, 7 & every if most > 1 else 0)]
         while todo:
             node, r0, r1, r2 = todo.pop()
             for c, child in node.items():
@@ -104,7 +122,7 @@ class Matcher(dict):
                 at = place.get(c, 0)
                 n0 = (r0 & at) << 1
                 n1 = ((r1 & at) << 1 | r0 | r0 << 1 | n0 << 1) & every
-                n2 = ((r2 & at) << 1 | r1 | r1 << 1 | n1 << 1) & every if near[1] else 0
+                n2 = ((r2 & at) << 1 | r1 | r1 << 1 | n1 << 1) & every if most > 1 else 0
                 allowed = child.get("", 0)
                 if allowed and n1 & end or allowed > 1 and n2 & end:
                     return True
