@@ -56,10 +56,22 @@ def less(word: str) -> list[str]:
     return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
 
-def thirds(term: str) -> list[tuple[int, str]]:
-    """Three parts of a term with their places, one of which two edits leave whole."""
-    a, b = len(term) // 3, 2 * len(term) // 3
-    return [(0, term[:a]), (a, term[a:b]), (b, term[b:])]
+def parts(term: str, n: int) -> list[tuple[int, str]]:
+    """n parts of a term with their places, one of which n - 1 edits leave whole."""
+    cuts = [len(term) * k // n for k in range(n + 1)]
+    return [(x, term[x:y]) for x, y in zip(cuts, cuts[1:])]
+
+
+def places(terms: list[str], most: int) -> dict[int, list[tuple[int, int, set[str]]]]:
+    """By the letters of a word: from, to, and the parts of terms that it can hold there with `most` edits."""
+    found: dict = {}
+    for t in terms:
+        for at, x in parts(t, most + 1):
+            for d in range(-most, most + 1):
+                for k in range(-most, most + 1):
+                    if at + k >= 0:
+                        found.setdefault(len(t) + d, {}).setdefault((at + k, at + k + len(x)), set()).add(x)
+    return {n: [(a, b, own) for (a, b), own in by.items()] for n, by in found.items()}
 
 
 def trie(terms: list[str]) -> dict:
@@ -83,28 +95,24 @@ class Matcher(dict):
         self.sizes = sorted({len(s) for s in stems})
         self.spans = sorted({len(x) for x in (*terms, *stems) if len(x) >= 5}, reverse=True)
         self.forms = {x for t in terms if edits(t) for x in less(t)}
-        #: Of the terms of two edits: (letters of the word, place, third), in every form in which two edits can leave a third whole.
-        self.parts = {(len(t) + d, at + k, x) for t in terms if edits(t) > 1 for at, x in thirds(t) for d in range(-2, 3) for k in range(-2, 3)}
-        self.places: dict = {}
-        for n, at, x in self.parts:
-            self.places.setdefault(n, set()).add((at, len(x)))
+        self.places = {k: places([t for t in terms if edits(t) >= k], k) for k in (1, 2)}
         self.twice = {x for t in terms if edits(t) > 1 for y in less(t) for x in less(y)}
         self.trie, self.long = trie(terms), trie([t for t in terms if edits(t) > 1])
 
     def fuzzy(self, word: str) -> bool:
         """Is a trie term within its edits of the word?
 
-        A word one edit from a term shares a form with one letter left out, a word two edits from it one of its thirds, at most two
-        places off, and a form with two letters left out; words without these are left at once. For the others the Levenshtein
+        A word n edits from a term holds one of its n + 1 parts, at most n places off, and shares a form with n letters left out; words
+        without these are left at once. For the others the Levenshtein
         automaton of the word, whose states are sets of (letters read, edits) held as bits, is
         intersected with the trie: it steps along the branches as long as it has a state.
         """
-        n = len(word)
-        if not self.forms.isdisjoint(less(word)) and self.walk(word, self.trie, 1):
+        if self.may(word, 1) and not self.forms.isdisjoint(less(word)) and self.walk(word, self.trie, 1):
             return True
-        if n not in self.places or not any((n, at, word[at : at + k]) in self.parts for at, k in self.places[n]):
-            return False
-        return any(not self.twice.isdisjoint(less(x)) for x in less(word)) and self.walk(word, self.long, 2)
+        return self.may(word, 2) and any(not self.twice.isdisjoint(less(x)) for x in less(word)) and self.walk(word, self.long, 2)
+
+    def may(self, word: str, most: int) -> bool:
+        return any(word[a:b] in own for a, b, own in self.places[most].get(len(word), ()))
 
     @staticmethod
     def walk(word: str, root: dict, most: int) -> bool:
@@ -197,27 +205,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     def tally(batches):
         every: Counter = Counter()
-        total = [0, 0]
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 y = int(y > 0)
-                total[y] += 1
                 own = {c for w in set(words(t)) for c in cores(w)}
                 every.update(((0, w, y) for w in own if 3 <= len(w) <= LONG))
                 every.update(((1, s, y) for s in {w[:k] for w in own for k in STEMS if len(w) > k}))
-        rows = [*((k, w, y, c) for (k, w, y), c in every.items()), *((2, "", y, total[y]) for y in (0, 1))]
+        rows = [(k, w, y, c) for (k, w, y), c in every.items()]
         for i in range(0, len(rows), 50_000):
             k, w, y, c = zip(*rows[i : i + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(w, pa.string()), pa.array(y, pa.int32()), pa.array(c, pa.int64())], ["kind", "word", "y", "n"])
 
     sums = sample.mapInArrow(tally, "kind int, word string, y int, n long").groupBy("kind", "word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    whole = sums.where("kind = 2").select("pos", "neg").first()
-    if whole is None or not whole["pos"]:
+    whole = sample.agg(F.coalesce(F.sum((F.col("y") > 0).cast("long")), F.lit(0)).alias("pos"), F.coalesce(F.sum((F.col("y") <= 0).cast("long")), F.lit(0)).alias("neg")).first()
+    if not whole["pos"]:
         return [], [], np.array([math.log(0.1 / 0.9), 0, 0, 0, 0, 0, 0], float)
     prior = math.log((whole["pos"] + 0.5) / (whole["neg"] + 0.5))
     odds = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5))
     sure = odds - prior - ERRORS * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    fits = (F.col("kind") < 2) & (odds > 1) & (sure > F.when(F.col("kind") == 0, ODDS[0]).otherwise(ODDS[1]))
+    fits = (odds > 1) & (sure > F.when(F.col("kind") == 0, ODDS[0]).otherwise(ODDS[1]))
     marked = sums.where(fits).orderBy(sure.desc(), "kind", "word").limit(3 * LEXICON).collect()
     terms, stems = ([r["word"] for r in marked if r["kind"] == k][:LEXICON] for k in (0, 1))
     stems = [s for s in stems if not any(s != p and s.startswith(p) for p in stems)]
