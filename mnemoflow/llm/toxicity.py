@@ -36,12 +36,17 @@ ODDS, ERRORS = (1.77, 2.6), 1.64
 #: Words that report another's speech.
 REPORTING = frozenset(b"said says say saying called calls wrote writes quoted quote quotes cited cites reported term word sagte schrieb dit dijo".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MARKS = ".,;:!?()'\""
 _QUOTES = ('"', "'", "“", "”", "«", "»", "„", "`")
 
 
 def cores(word: bytes) -> list[str]:
     """The lower-cased letters of a word: joined where it has few runs of letters or spells letters out, else each run by itself."""
-    found = _LETTERS.findall(word.decode("utf-8", "replace").lower())
+    plain = word.decode("utf-8", "replace").lower()
+    inner = plain.strip(_MARKS)
+    if inner.isalpha():
+        return [inner]
+    found = _LETTERS.findall(plain)
     joined = "".join(found)
     return [joined] if found and (len(found) < RUNS or len(joined) <= 2 * len(found)) else found
 
@@ -62,15 +67,24 @@ def parts(term: str, n: int) -> list[tuple[int, str]]:
     return [(x, term[x:y]) for x, y in zip(cuts, cuts[1:])]
 
 
-def places(terms: list[str], most: int) -> dict[int, list[tuple[int, int, set[str]]]]:
-    """By the letters of a word: from, to, and the parts of terms that it can hold there with `most` edits."""
+def places(terms: list[str], most: int) -> dict[int, list[tuple[int, int, dict[str, dict]]]]:
+    """By the letters of a word: from, to, and the parts of terms that it can hold there with `most` edits, each with a trie of
+    these terms. Places that hold the same terms share one."""
     found: dict = {}
     for t in terms:
         for at, x in parts(t, most + 1):
             for d in range(-most, most + 1):
                 for k in range(-most, most + 1):
                     if at + k >= 0:
-                        found.setdefault(len(t) + d, {}).setdefault((at + k, at + k + len(x)), set()).add(x)
+                        found.setdefault(len(t) + d, {}).setdefault((at + k, at + k + len(x)), {}).setdefault(x, set()).add(t)
+    tries: dict = {}
+    for by in found.values():
+        for own in by.values():
+            for x, those in own.items():
+                key = frozenset(those)
+                if key not in tries:
+                    tries[key] = trie(sorted(key))
+                own[x] = tries[key]
     return {n: [(a, b, own) for (a, b), own in by.items()] for n, by in found.items()}
 
 
@@ -89,30 +103,32 @@ class Matcher(dict):
     """kind of hit by word (bytes): 0 none, 1 exact term, 2 stem, 3 fuzzy term, -1 if it is to be searched by `inside`; remembers a
     bounded number of words."""
 
-    def __init__(self, terms: list[str], stems: list[str], most: int = 150_000):
+    def __init__(self, terms: list[str], stems: list[str], most: int = 600_000):
         super().__init__()
         self.most, self.terms, self.stems = most, set(terms), set(stems)
         self.sizes = sorted({len(s) for s in stems})
+        self.least = self.sizes[0] if stems else 0
+        self.heads = {s[: self.least] for s in stems}
         self.spans = sorted({len(x) for x in (*terms, *stems) if len(x) >= 5}, reverse=True)
         self.forms = {x for t in terms if edits(t) for x in less(t)}
         self.places = {k: places([t for t in terms if edits(t) >= k], k) for k in (1, 2)}
-        self.twice = {x for t in terms if edits(t) > 1 for y in less(t) for x in less(y)}
-        self.trie, self.long = trie(terms), trie([t for t in terms if edits(t) > 1])
 
     def fuzzy(self, word: str) -> bool:
-        """Is a trie term within its edits of the word?
+        """Is a term within its edits of the word?
 
-        A word n edits from a term holds one of its n + 1 parts, at most n places off, and shares a form with n letters left out; words
-        without these are left at once. For the others the Levenshtein
-        automaton of the word, whose states are sets of (letters read, edits) held as bits, is
-        intersected with the trie: it steps along the branches as long as it has a state.
+        A word n edits from a term holds one of its n + 1 parts, at most n places off; a word without any is left at once, and one
+        with a part meets the terms of that part alone. One edit from a term it also shares a form with a letter left out. For the
+        words that are left the Levenshtein automaton of the word, whose states are sets of (letters read, edits) held as bits, is
+        intersected with the trie of these terms: it steps along the branches as long as it has a state.
         """
-        if self.may(word, 1) and not self.forms.isdisjoint(less(word)) and self.walk(word, self.trie, 1):
+        tries = self.held(word, 1)
+        if tries and not self.forms.isdisjoint(less(word)) and any(self.walk(word, t, 1) for t in tries):
             return True
-        return self.may(word, 2) and any(not self.twice.isdisjoint(less(x)) for x in less(word)) and self.walk(word, self.long, 2)
+        return any(self.walk(word, t, 2) for t in self.held(word, 2))
 
-    def may(self, word: str, most: int) -> bool:
-        return any(word[a:b] in own for a, b, own in self.places[most].get(len(word), ()))
+    def held(self, word: str, most: int) -> list[dict]:
+        """The tries of the parts that the word holds where `most` edits can put them."""
+        return [own[x] for a, b, own in self.places[most].get(len(word), ()) if (x := word[a:b]) in own]
 
     @staticmethod
     def walk(word: str, root: dict, most: int) -> bool:
@@ -141,7 +157,7 @@ class Matcher(dict):
     def kind(self, w: str) -> int:
         if w in self.terms:
             return 1
-        if any(w[:n] in self.stems for n in self.sizes if n <= len(w)):
+        if w[: self.least] in self.heads and any(w[:n] in self.stems for n in self.sizes):
             return 2
         return 3 if len(w) >= 4 and self.fuzzy(w) else 0
 
