@@ -1,13 +1,13 @@
 """Exact substring deduplication: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
 Documents are dealt into groups of about GROUP_BYTES of text by a hash. Each group hashes all of its windows (64 bits),
-and sends every distinct hash once to the bucket that its top bits name, with 32 bits of a second hash of another base; a bucket
+and sends every distinct hash once to the bucket that its top bits name, with 16 bits of a second hash of another base; a bucket
 counts over all groups and answers each group with one bit per hash: seen in another group or not. The group, grouped again
 with its answers, marks the windows that are repeated within it or elsewhere and merges them into maximal intervals. Hashes are
-packed in order, as differences of six bytes, so that a window costs ten bytes of shuffle, and a passage that a third of all
+packed in order, as differences of six bytes, so that a window costs eight bytes of shuffle, and a passage that a third of all
 rows share sends one hash per group.
 
-Two different windows of different groups are taken for equal with a chance of about 2 ** -96 a pair, and within a group of
+Two different windows of different groups are taken for equal with a chance of about 2 ** -80 a pair, and within a group of
 about a million windows, where one hash decides, of 2 ** -64.
 
 Defined cases: null or empty texts and those of fewer words than the window have nothing removed; repeated rows are
@@ -50,11 +50,11 @@ def _pack(own: np.ndarray, second: np.ndarray) -> bytes:
 
 def _unpack(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = int(data[0])
-    n = (len(data) - 9 - 4) // (wide + 4)
+    n = (len(data) - 9 - 2) // (wide + 2)
     steps = np.zeros((n, 8), np.uint8)
     steps[:, :wide] = data[9 : 9 + n * wide].reshape(n, wide)
     own = np.cumsum(np.r_[data[1:9].copy().view(np.uint64), steps.view(np.uint64).ravel()], dtype=np.uint64)
-    return own, data[9 + n * wide :].copy().view(np.uint32)
+    return own, data[9 + n * wide :].copy().view(np.uint16)
 
 
 def intervals(marks: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -78,7 +78,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, keep:
     def send(table: pa.Table) -> pa.Table:
         _, _, _, every, others = _windows(table, size, True)
         own, first = np.unique(every, return_index=True)
-        second = (others[first] >> np.uint64(32)).astype(np.uint32)
+        second = (others[first] >> np.uint64(48)).astype(np.uint16)
         cuts = np.searchsorted(own >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(own)])
         full = np.flatnonzero(np.diff(cuts))
         part = table.column("part")[0].as_py()
