@@ -1,6 +1,7 @@
-"""Tolerant parsing of model answers: JSON within fences or braces, coerced to typed columns; nothing raises.
+"""Tolerant parsing of model answers: JSON within fences or braces, read as VARIANT value by value; nothing raises.
 
-A number where a text is wanted is read as its text. What an answer cannot be read as is null; a null or blank answer has no items.
+A value of another kind than is wanted counts as missing, and an item that is no object is left out: neither touches the items beside it.
+What an answer cannot be read as is null; a null or blank answer has no items.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ ANCHOR_TYPES = ("entity", "topic", "temporal", "composite")
 IMPORTANCE = ("high", "medium", "low")
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
 
-FACT = "struct<content:string,category:string,confidence:double,entities:array<string>,subject:string,predicate:string,object:string>"
+#: What separates words and is trimmed: the white space of JSON's home language.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Metadata by type of node: texts, lists and shares.
 METADATA = {
     "semantic": {"subject": "string", "predicate": "string", "object": "string"},
@@ -26,46 +28,105 @@ METADATA = {
     "prospective": {"dueDate": "string", "priority": "string", "status": "string"},
     "emotional": {"emotion": "string", "trigger": "string", "intensity": "double"},
 }
-NODE = f"struct<nodeType:string,frontmatter:string,summary:string,searchKeywords:array<string>,relatedEntities:array<string>,metadata:struct<category:string,confidence:double,entities:array<string>,salience:double,{','.join(f'{n}:{k}' for own in METADATA.values() for n, k in own.items())}>>"
-EPISODE = "struct<type:string,title:string,description:string,startTurnIndex:double,endTurnIndex:double,actors:array<string>,outcome:string>"
-SUMMARY = "struct<id:string,frontmatter:string,summary:string>"
-FRONTMATTER = "struct<frontmatter:struct<label:string,category:string,keywords:array<string>,domain:string,importance:string>,summary:string>"
-DECISION = "struct<connect:array<struct<anchorId:string,weight:double,reason:string>>,create:array<struct<label:string,description:string,anchorType:string,aliases:array<string>,weight:double,reason:string>>>"
-JUDGMENT = "struct<isolated:boolean,decisions:array<struct<action:string,anchorId:string,label:string,description:string,anchorType:string,strength:double,reason:string>>>"
-SCORES = "struct<scores:array<struct<id:string,relevance:double,reason:string>>>"
 
 
-def json_part(raw: Column) -> Column:
-    """The JSON of an answer: what a fence holds, else from the first brace or bracket to its last partner."""
-    s, filled = F.trim(raw), lambda c: F.when(c != "", c)
-    braces, brackets = (filled(F.regexp_extract(s, p, 0)) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
-    list_first = F.regexp_extract(s, r"[\[{]", 0) == "["
-    return F.coalesce(filled(F.trim(F.regexp_extract(s, FENCE, 1))), F.when(list_first, brackets), braces, brackets, s)
-
-
-def items(raw: Column, key: str, kind: str) -> Column:
-    """array<kind>: the answer's array, or the array under `key` of its object; null where it is neither."""
-    text = json_part(raw)
-    found = F.when(text.startswith("["), F.from_json(text, f"array<{kind}>")).otherwise(F.from_json(text, f"struct<{key}:array<{kind}>>")[key])
-    return F.when(blank(raw), F.array().cast(f"array<{kind}>")).otherwise(found)
+def trim(s: Column) -> Column:
+    return F.btrim(s, F.lit(WHITE))
 
 
 def blank(s: Column) -> Column:
-    return s.isNull() | (F.trim(s) == "")
+    return s.isNull() | (trim(s) == "")
 
 
 def filled(s: Column) -> Column:
     """The trimmed text, or null where nothing is left."""
-    return F.when(~blank(s), F.trim(s))
+    return F.when(~blank(s), trim(s))
+
+
+# Values of an answer: a VARIANT is read by the kind that it has, so that a value of another kind spoils itself alone.
+def at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, f"$.{path}", "variant")
+
+
+def kind(v: Column) -> Column:
+    """STRING, BOOLEAN, VOID (null), BIGINT, DOUBLE, DECIMAL(..), ARRAY<..> or OBJECT<..>; null where there is no value."""
+    return F.schema_of_variant(v)
+
+
+def is_object(v: Column) -> Column:
+    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+
+
+def is_number(v: Column) -> Column:
+    return F.coalesce(kind(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))
+
+
+def text(v: Column) -> Column:
+    """A text; null for a value of another kind."""
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def number(v: Column) -> Column:
+    return F.when(is_number(v), F.try_variant_get(v, "$", "double"))
+
+
+def scalar(v: Column) -> Column:
+    """A text, number or truth value as text; null for what is missing, null or made of parts."""
+    return F.when(~kind(v).rlike("^(OBJECT|ARRAY|VOID)"), F.try_variant_get(v, "$", "string"))
 
 
-def listed(a: Column) -> Column:
-    """The trimmed texts of a list that are not blank; a null list is empty."""
-    return F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda e: ~blank(e)), lambda e: F.trim(e))
+def as_number(v: Column) -> Column:
+    """A number, or what a text, truth value or null counts as: a blank text, false and null 0, true 1; null for anything else."""
+    s = trim(text(v))
+    return F.when(is_number(v), number(v)).when(kind(v) == "VOID", 0.0).when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(s == "", 0.0).otherwise(s.try_cast("double"))
+
+
+def truthy(v: Column) -> Column:
+    """Everything but false, null, 0, an empty text and what is missing."""
+    k = kind(v)
+    own = F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(k == "STRING", text(v) != "").when(k == "VOID", False).when(is_number(v), number(v) != 0).otherwise(True)
+    return F.coalesce(F.when(k.isNotNull(), own), F.lit(False))
+
+
+def each(v: Column) -> Column:
+    """array<variant>: the items of a list; null for a value of another kind."""
+    return F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def texts(v: Column, whole: bool = False) -> Column:
+    """The texts of a list that are not blank, trimmed (`whole`: as they are); other items are left out, no list is an empty one."""
+    own = F.filter(F.transform(each(v), text), lambda e: ~blank(e))
+    return F.coalesce(own if whole else F.transform(own, trim), F.array().cast("array<string>"))
+
+
+def fenced(raw: Column) -> Column:
+    """What a fence holds, else the whole answer."""
+    s, inner = trim(raw), trim(F.regexp_extract(trim(raw), FENCE, 1))
+    return F.when(s.rlike(FENCE), inner).otherwise(s)
+
+
+def json_part(raw: Column) -> Column:
+    """The JSON of an answer: what a fence holds, else from the first brace or bracket to its last partner."""
+    s, some = trim(raw), lambda c: F.when(c != "", c)
+    braces, brackets = (some(F.regexp_extract(s, p, 0)) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
+    list_first = F.regexp_extract(s, r"[\[{]", 0) == "["
+    return F.when(s.rlike(FENCE), fenced(raw)).otherwise(F.coalesce(F.when(list_first, brackets), braces, brackets, s))
+
+
+def unfenced(raw: Column) -> Column:
+    """The answer without the fence that begins and that ends a line."""
+    return trim(F.regexp_replace(F.regexp_replace(raw, r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```\s*$", ""))
+
+
+def items(raw: Column, key: str) -> Column:
+    """array<variant>: the answer's array, or the array under `key` of its object; null where it is neither or no JSON, empty where the
+    answer is blank. Of an object that names a key twice nothing is read."""
+    v = F.try_parse_json(json_part(raw))
+    return F.when(blank(raw), F.array().cast("array<variant>")).otherwise(F.coalesce(F.when(is_object(v), each(at(v, key))), each(v)))
 
 
 def one_of(s: Column, known: tuple[str, ...], other: str | None) -> Column:
-    own = F.lower(F.trim(s))
+    own = F.lower(trim(s))
     return F.when(own.isin(*known), own).otherwise(F.lit(other))
 
 
@@ -75,89 +136,119 @@ def share(x: Column, other: float | None) -> Column:
 
 
 def _each(found: Column, keep: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
-    return F.transform(F.filter(found, lambda x: F.coalesce(keep(x), F.lit(False))), made)
+    """`made` of the objects of a list that `keep` holds for; items that are no objects are left out."""
+    return F.transform(F.filter(found, lambda x: is_object(x) & F.coalesce(keep(x), F.lit(False))), made)
 
 
 def facts(raw: Column) -> Column:
     """array<struct> of the facts of an answer. A fact without content is left out; an unknown category is `other`, a missing
     confidence 0.5, entities are trimmed."""
     made = lambda f: F.struct(
-        F.trim(f["content"]).alias("content"), one_of(f["category"], CATEGORIES, "other").alias("category"), share(f["confidence"], 0.5).alias("confidence"),
-        listed(f["entities"]).alias("entities"), *(filled(f[c]).alias(c) for c in ("subject", "predicate", "object")),
+        trim(text(at(f, "content"))).alias("content"), one_of(text(at(f, "category")), CATEGORIES, "other").alias("category"), share(number(at(f, "confidence")), 0.5).alias("confidence"),
+        texts(at(f, "entities")).alias("entities"), *(filled(text(at(f, c))).alias(c) for c in ("subject", "predicate", "object")),
     )
-    return _each(items(raw, "facts", FACT), lambda f: ~blank(f["content"]), made)
+    return _each(items(raw, "facts"), lambda f: ~blank(text(at(f, "content"))), made)
 
 
 def nodes(raw: Column) -> Column:
     """array<struct> of the memory nodes of an answer: type (semantic if unknown), frontmatter and summary (each stands in for the
     other), keywords, and the metadata of its type; related entities join those of the metadata. One without both texts is left out."""
+    front, summary = (lambda n, c=c: filled(text(at(n, c))) for c in ("frontmatter", "summary"))
 
     def made(n: Column) -> Column:
-        kind, m = one_of(n["nodeType"], NODE_TYPES, "semantic"), n["metadata"]
-        read = {"string": filled, "array<string>": listed, "double": lambda x: share(x, None)}
-        own = [F.when((kind == t) & m.isNotNull(), read[k](m[c])).alias(c) for t, fields in METADATA.items() for c, k in fields.items()]
-        front, summary = filled(n["frontmatter"]), filled(n["summary"])
-        category = F.when(m["category"] != "", one_of(m["category"], CATEGORIES, "other"))
-        entities = F.array_union(listed(m["entities"]), listed(n["relatedEntities"]))
+        kind_, m = one_of(text(at(n, "nodeType")), NODE_TYPES, "semantic"), at(n, "metadata")
+        there = is_object(m)
+        read = {"string": lambda v: filled(text(v)), "array<string>": texts, "double": lambda v: share(number(v), None)}
+        own = [F.when((kind_ == t) & there, read[k](at(m, c))).alias(c) for t, fields in METADATA.items() for c, k in fields.items()]
+        category = F.when(truthy(at(m, "category")), one_of(text(at(m, "category")), CATEGORIES, "other"))
+        confidence = F.when(kind(at(m, "confidence")).isNotNull(), share(number(at(m, "confidence")), 0.5))
+        named, related = texts(at(m, "entities")), texts(at(n, "relatedEntities"))
+        entities = F.when(F.size(related) > 0, F.array_union(named, related)).otherwise(named)
         return F.struct(
-            kind.alias("node_type"), F.coalesce(front, F.substring(summary, 1, 80)).alias("frontmatter"), F.coalesce(summary, front).alias("summary"), F.array_join(listed(n["searchKeywords"]), " ").alias("keywords"),
-            F.struct(category.alias("category"), share(m["confidence"], None).alias("confidence"), entities.alias("entities"), share(m["salience"], None).alias("salience"), *own).alias("metadata"),
+            kind_.alias("node_type"), F.coalesce(front(n), F.substring(summary(n), 1, 80)).alias("frontmatter"), F.coalesce(summary(n), front(n)).alias("summary"), F.array_join(texts(at(n, "searchKeywords")), " ").alias("keywords"),
+            F.struct(category.alias("category"), confidence.alias("confidence"), entities.alias("entities"), share(number(at(m, "salience")), None).alias("salience"), *own).alias("metadata"),
         )
 
-    return _each(items(raw, "nodes", NODE), lambda n: ~blank(n["frontmatter"]) | ~blank(n["summary"]), made)
+    return _each(items(raw, "nodes"), lambda n: front(n).isNotNull() | summary(n).isNotNull(), made)
 
 
 def episodes(raw: Column, last_turn: Column, kinds: tuple[str, ...]) -> Column:
     """array<struct> of the episodes of an answer, an array alone, by their first turn. One is left out whole unless its type is of
     `kinds`, title, description and an actor are given, and its turns are whole numbers in order, from 0 to last_turn."""
-    start, end = (lambda e, c=c: e[c] for c in ("startTurnIndex", "endTurnIndex"))
+    start, end = (lambda e, c=c: number(at(e, c)) for c in ("startTurnIndex", "endTurnIndex"))
     whole = lambda x: (F.floor(x) == x) & (x >= 0)
-    keep = lambda e: e["type"].isin(*kinds) & ~blank(e["title"]) & ~blank(e["description"]) & whole(start(e)) & whole(end(e)) & (start(e) <= end(e)) & (end(e) <= last_turn) & (F.size(listed(e["actors"])) > 0)
-    made = lambda e: F.struct(start(e).cast("long").alias("start_turn"), end(e).cast("long").alias("end_turn"), e["type"].alias("type"), F.trim(e["title"]).alias("title"), F.trim(e["description"]).alias("description"), F.filter(e["actors"], lambda a: ~blank(a)).alias("actors"), filled(e["outcome"]).alias("outcome"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*\n?", ""), r"\n?```\s*$", ""))
-    return F.array_sort(_each(F.from_json(text, f"array<{EPISODE}>"), keep, made), lambda a, b: F.when(a["start_turn"] < b["start_turn"], -1).when(a["start_turn"] > b["start_turn"], 1).otherwise(0))
+    actors = lambda e: texts(at(e, "actors"), True)
+    keep = lambda e: text(at(e, "type")).isin(*kinds) & ~blank(text(at(e, "title"))) & ~blank(text(at(e, "description"))) & whole(start(e)) & whole(end(e)) & (start(e) <= end(e)) & (end(e) <= last_turn) & (F.size(actors(e)) > 0)
+    made = lambda e: F.struct(start(e).cast("long").alias("start_turn"), end(e).cast("long").alias("end_turn"), text(at(e, "type")).alias("type"), *(trim(text(at(e, c))).alias(c) for c in ("title", "description")), actors(e).alias("actors"), filled(text(at(e, "outcome"))).alias("outcome"))
+    part = F.regexp_replace(F.regexp_replace(trim(raw), r"^```(?:json)?\s*\n?", ""), r"\n?```\s*$", "")
+    return F.array_sort(_each(each(F.try_parse_json(part)), keep, made), lambda a, b: F.when(a["start_turn"] < b["start_turn"], -1).when(a["start_turn"] > b["start_turn"], 1).otherwise(0))
 
 
 def summaries(raw: Column) -> Column:
     """array<struct<id, frontmatter, summary>>: texts stand in for each other; one without an id or both texts is left out."""
-    made = lambda s: F.struct(F.trim(s["id"]).alias("id"), F.coalesce(filled(s["frontmatter"]), filled(s["summary"])).alias("frontmatter"), F.coalesce(filled(s["summary"]), filled(s["frontmatter"])).alias("summary"))
-    return _each(items(raw, "summaries", SUMMARY), lambda s: ~blank(s["id"]) & (~blank(s["frontmatter"]) | ~blank(s["summary"])), made)
+    own = lambda s, c: filled(text(at(s, c)))
+    made = lambda s: F.struct(own(s, "id").alias("id"), F.coalesce(own(s, "frontmatter"), own(s, "summary")).alias("frontmatter"), F.coalesce(own(s, "summary"), own(s, "frontmatter")).alias("summary"))
+    return _each(items(raw, "summaries"), lambda s: own(s, "id").isNotNull() & (own(s, "frontmatter").isNotNull() | own(s, "summary").isNotNull()), made)
 
 
 def frontmatter(raw: Column, content: Column) -> Column:
     """struct of label (80 characters at most), category, keywords (10 at most, each once), domain, importance and summary; what is
-    missing comes from the fact's content."""
-    found = F.from_json(json_part(raw), FRONTMATTER)
-    f = found["frontmatter"]
-    label = F.substring(F.coalesce(filled(f["label"]), content, F.lit("Untitled fact")), 1, 80)
-    keywords = F.slice(F.array_distinct(F.transform(listed(f["keywords"]), F.lower)), 1, 10)
-    return F.struct(label.alias("label"), one_of(f["category"], CATEGORIES, "other").alias("category"), keywords.alias("keywords"), F.lower(filled(f["domain"])).alias("domain"), one_of(f["importance"], IMPORTANCE, None).alias("importance"), F.coalesce(filled(found["summary"]), content, F.lit("")).alias("summary"))
+    missing or of another kind comes from the fact's content."""
+    v = F.try_parse_json(json_part(raw))
+    f = at(v, "frontmatter")
+    label = F.substring(F.coalesce(filled(text(at(f, "label"))), F.when(content != "", content), F.lit("Untitled fact")), 1, 80)
+    keywords = F.slice(F.array_distinct(F.transform(texts(at(f, "keywords")), F.lower)), 1, 10)
+    return F.struct(label.alias("label"), one_of(text(at(f, "category")), CATEGORIES, "other").alias("category"), keywords.alias("keywords"), F.lower(filled(text(at(f, "domain")))).alias("domain"), one_of(text(at(f, "importance")), IMPORTANCE, None).alias("importance"), F.coalesce(filled(text(at(v, "summary"))), content, F.lit("")).alias("summary"))
 
 
 def decision(raw: Column, known: Column) -> Column:
     """struct<connect, create>: links to known anchor ids only (weight 0.5 if none is given), and new anchors with label and description
-    (type `topic` if unknown). Null where the answer is no object."""
-    found = F.from_json(json_part(raw), DECISION)
-    connect = _each(found["connect"], lambda c: F.array_contains(known, c["anchorId"]), lambda c: F.struct(c["anchorId"].alias("anchor_id"), share(c["weight"], 0.5).alias("weight"), c["reason"].alias("reason")))
-    kind = lambda c: F.when(c["anchorType"].isin(*ANCHOR_TYPES), c["anchorType"]).otherwise("topic")
-    create = _each(found["create"], lambda c: ~blank(c["label"]) & ~blank(c["description"]), lambda c: F.struct(F.trim(c["label"]).alias("label"), F.trim(c["description"]).alias("description"), kind(c).alias("anchor_type"), c["aliases"].alias("aliases"), share(c["weight"], None).alias("weight")))
-    return F.when(found.isNotNull(), F.struct(F.coalesce(connect, F.array()).alias("connect"), F.coalesce(create, F.array()).alias("create")))
+    (type `topic` if unknown). Both are empty where the answer, fenced or whole, is no object."""
+    v = F.try_parse_json(fenced(raw))
+    connect = _each(each(at(v, "connect")), lambda c: F.array_contains(known, text(at(c, "anchorId"))), lambda c: F.struct(text(at(c, "anchorId")).alias("anchor_id"), share(number(at(c, "weight")), 0.5).alias("weight"), text(at(c, "reason")).alias("reason")))
+    own = lambda c, n: filled(text(at(c, n)))
+    aliases = lambda c: F.filter(F.transform(each(at(c, "aliases")), text), lambda a: a.isNotNull())
+    create = _each(each(at(v, "create")), lambda c: own(c, "label").isNotNull() & own(c, "description").isNotNull(), lambda c: F.struct(own(c, "label").alias("label"), own(c, "description").alias("description"), _anchor_type(text(at(c, "anchorType"))).alias("anchor_type"), F.when(F.size(aliases(c)) > 0, aliases(c)).alias("aliases"), share(number(at(c, "weight")), None).alias("weight")))
+    return F.struct(F.coalesce(connect, F.array()).alias("connect"), F.coalesce(create, F.array()).alias("create"))
+
+
+def _anchor_type(s: Column) -> Column:
+    return F.when(s.isin(*ANCHOR_TYPES), s).otherwise("topic")
 
 
 def judgment(raw: Column, known: Column) -> Column:
-    """struct<isolated, decisions> with links to known anchors only and new anchors that have a label; strengths between 0 and 1."""
-    found = F.from_json(json_part(raw), JUDGMENT)
-    link = lambda d: (d["action"] == "connect") & F.array_contains(known, d["anchorId"])
-    new = lambda d: (d["action"] == "create") & ~blank(d["label"])
-    kind = lambda d: F.when(d["anchorType"].isin(*ANCHOR_TYPES), d["anchorType"]).otherwise("topic")
-    made = lambda d: F.struct(d["action"].alias("action"), F.when(link(d), d["anchorId"]).alias("anchor_id"), F.when(new(d), F.trim(d["label"])).alias("label"), F.when(new(d), kind(d)).alias("anchor_type"), share(d["strength"], 0.5).alias("strength"))
-    return F.when(found.isNotNull(), F.struct(F.coalesce(found["isolated"], F.lit(False)).alias("isolated"), _each(found["decisions"], lambda d: link(d) | new(d), made).alias("decisions")))
+    """struct<isolated, decisions> with links to known anchors only and new anchors that have a label; strengths between 0 and 1, 0.5
+    for what counts as no number. Null where the answer, without its fence, is neither object nor list."""
+    v = F.try_parse_json(unfenced(raw))
+    action = lambda d: text(at(d, "action"))
+    link = lambda d: F.coalesce((action(d) == "connect") & F.array_contains(known, scalar(at(d, "anchorId"))), F.lit(False))
+    new = lambda d: F.coalesce((action(d) == "create") & ~blank(scalar(at(d, "label"))), F.lit(False))
+    made = lambda d: F.struct(action(d).alias("action"), F.when(link(d), scalar(at(d, "anchorId"))).alias("anchor_id"), F.when(new(d), trim(scalar(at(d, "label")))).alias("label"), F.when(new(d), _anchor_type(scalar(at(d, "anchorType")))).alias("anchor_type"), share(as_number(at(d, "strength")), 0.5).alias("strength"))
+    decisions = F.coalesce(_each(each(at(v, "decisions")), lambda d: link(d) | new(d), made), F.array())
+    return F.when(kind(v).rlike("^(OBJECT|ARRAY)"), F.struct(truthy(at(v, "isolated")).alias("isolated"), decisions.alias("decisions")))
 
 
 def rerank_scores(raw: Column, known: Column) -> Column:
-    """array<struct<id, relevance>> of the candidates that an answer scores; what is no number counts 0, unknown ids are left out."""
-    found = F.from_json(json_part(raw), SCORES)["scores"]
-    return _each(found, lambda s: F.array_contains(known, s["id"]), lambda s: F.struct(s["id"].alias("id"), share(s["relevance"], 0.0).alias("relevance")))
+    """array<struct<id, relevance>> of the candidates that an answer scores; what is no number counts 0, unknown ids are left out. Null
+    where the answer, without its fence, is neither object nor list."""
+    v = F.try_parse_json(unfenced(raw))
+    made = lambda s: F.struct(scalar(at(s, "id")).alias("id"), share(as_number(at(s, "relevance")), 0.0).alias("relevance"))
+    found = _each(each(at(v, "scores")), lambda s: F.array_contains(known, scalar(at(s, "id"))), made)
+    return F.when(kind(v).rlike("^(OBJECT|ARRAY)"), F.coalesce(found, F.array()))
+
+
+#: Categories of concepts.
+CONCEPT_CATEGORIES = ("technology", "architecture", "domain", "methodology", "preference", "project", "platform", "standard", "other")
+
+
+def concepts(raw: Column) -> Column:
+    """array<struct<name, description, aliases, category, relevance, related>> of the concepts of an answer, in its order; empty where it
+    cannot be read. One without name, description (a text, blank even) or relevance is left out."""
+    v = F.try_parse_json(fenced(raw))
+    keep = lambda c: ~blank(text(at(c, "name"))) & text(at(c, "description")).isNotNull() & number(at(c, "relevance")).isNotNull()
+    category = lambda c: F.when(text(at(c, "category")).isin(*CONCEPT_CATEGORIES), text(at(c, "category"))).otherwise("other")
+    made = lambda c: F.struct(trim(text(at(c, "name"))).alias("name"), trim(text(at(c, "description"))).alias("description"), texts(at(c, "aliases")).alias("aliases"), category(c).alias("category"), share(number(at(c, "relevance")), 0.0).alias("relevance"), texts(at(c, "relatedConcepts")).alias("related"))
+    return F.coalesce(_each(each(at(v, "concepts")), keep, made), F.array())
 
 
 def heuristic_judgment(candidates: Column, label: Column, least: float = 0.6, strength: float = 0.5) -> Column:
