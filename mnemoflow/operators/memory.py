@@ -109,27 +109,18 @@ def create_hubs(mentioned: DataFrame, hubs: DataFrame, weight: float = 0.5) -> t
 
 
 def link_anchors(decided: DataFrame, anchors: DataFrame, weight: float = 0.5) -> DataFrame:
-    """(fact_id, anchor_id, label, weight, is_new) of decided(fact_id, decision): links to known anchors, and new ones; a new one whose
-    label an anchor has, case aside, is a link to that."""
-    old = decided.select("fact_id", F.explode("decision.connect").alias("c")).select("fact_id", F.col("c.anchor_id").cast("long").alias("anchor_id"), "c.weight")
-    made = decided.select("fact_id", F.explode("decision.create").alias("c")).select("fact_id", "c.label", F.coalesce("c.weight", F.lit(weight)).alias("weight"), F.lower("c.label").alias("key"))
-    known = anchors.groupBy(F.lower("label").alias("key")).agg(F.min("id").alias("anchor_id"))
-    new = made.join(known, "key", "left").select("fact_id", "anchor_id", "label", "weight", F.col("anchor_id").isNull().alias("is_new"))
-    return old.select("fact_id", "anchor_id", F.lit(None).cast("string").alias("label"), "weight", F.lit(False).alias("is_new")).unionByName(new)
+    """(fact_id, anchor_id, label, weight, is_new) of decided(fact_id, decision): links to known anchors, and to new ones.
 
-
-def extract_concepts(found: DataFrame, known: DataFrame, least: float = 0.4, most: int = 20) -> DataFrame:
-    """found(conv_id, name, relevance, aliases) without irrelevant and known ones, the best `most` of a conversation, each name once.
-
-    A name that is an alias of a better concept of the conversation is that concept.
+    A label that an anchor has, case aside, is a link to that (the smallest id). A label that none has makes one anchor, whose id is its hash,
+    for the first answer and place that names it (is_new); every other one with that label is a link to it.
     """
-    key = F.lower(F.trim("name"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("relevance").desc(), "key"))
-    once = found.where(F.col("relevance") >= least).withColumn("key", key).groupBy("conv_id", "key").agg(F.max_by("name", F.struct("relevance", "name")).alias("name"), F.max("relevance").alias("relevance"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"))
-    top = once.withColumn("place", place).where(F.col("place") <= most)
-    alias = top.select("conv_id", F.col("place").alias("better"), F.explode("aliases").alias("alias")).select("conv_id", "better", F.lower("alias").alias("key")).groupBy("conv_id", "key").agg(F.min("better").alias("better"))
-    own = top.join(alias, ["conv_id", "key"], "left").where("better is null or better >= place")
-    return own.join(known.select(F.lower(F.trim("name")).alias("key")).distinct(), "key", "left_anti").select("conv_id", "name", "relevance", "aliases")
+    old = decided.select("fact_id", F.explode("decision.connect").alias("c")).select("fact_id", F.col("c.anchor_id").cast("long").alias("anchor_id"), F.lit(None).cast("string").alias("label"), "c.weight", F.lit(False).alias("is_new"))
+    made = decided.select("fact_id", F.posexplode("decision.create").alias("place", "c")).select("fact_id", "place", "c.label", F.coalesce("c.weight", F.lit(weight)).alias("weight"), F.lower("c.label").alias("key"))
+    known = anchors.groupBy(F.lower("label").alias("key")).agg(F.min("id").alias("known_id"))
+    first = made.groupBy("key").agg(F.min(F.struct("fact_id", "place")).alias("first"))
+    new = made.join(known, "key", "left").join(first, "key")
+    is_new = F.col("known_id").isNull() & (F.struct("fact_id", "place") == F.col("first"))
+    return old.unionByName(new.select("fact_id", F.coalesce("known_id", F.xxhash64("key")).alias("anchor_id"), "label", "weight", is_new.alias("is_new")))
 
 
 def decay_summary(factors: DataFrame, least: float = 0.05) -> DataFrame:

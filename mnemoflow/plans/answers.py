@@ -65,10 +65,15 @@ def parse_decisions(spark, sf):
     return _decisions(spark, sf).select("event_id", F.array_join(F.transform(d["connect"], lambda c: c["anchor_id"]), ",").alias("connected"), d["connect"][0]["weight"].alias("weight"), d["connect"][1]["weight"].alias("other_weight"), d["create"][0]["label"].alias("label"), d["create"][0]["anchor_type"].alias("anchor_type"))
 
 
-@query("SELECT event_id AS fact_id, CAST(3 AS BIGINT) AS anchor_id, NULL AS label, CAST(least(1, event_id % 4) AS DOUBLE) AS weight, FALSE AS is_new FROM events UNION ALL SELECT event_id, 8, NULL, 0.5, FALSE FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 77 END, 'New' || (event_id % 3), 0.5, event_id % 3 <> 1 FROM events")
+@query("""WITH c AS (SELECT event_id, 'New' || (event_id % 3) AS label, CASE WHEN event_id % 3 = 1 THEN 77 END AS known FROM events), f AS (SELECT label, min(event_id) AS first FROM c WHERE known IS NULL GROUP BY 1)
+ SELECT event_id AS fact_id, 'old' AS anchor, CAST(NULL AS VARCHAR) AS label, CAST(least(1, event_id % 4) AS DOUBLE) AS weight, FALSE AS is_new FROM events UNION ALL SELECT event_id, '8', NULL, 0.5, FALSE FROM events
+ UNION ALL SELECT event_id, coalesce('NEW1', c.label), c.label, 0.5, FALSE FROM c WHERE known IS NOT NULL UNION ALL SELECT event_id, c.label, c.label, 0.5, event_id = first FROM c JOIN f ON f.label = c.label""")
 def anchor_link(spark, sf):
     anchors = spark.createDataFrame([(77, "NEW1"), (78, "new1"), (3, "old")], "id long, label string")
-    return M.link_anchors(_decisions(spark, sf).withColumnRenamed("event_id", "fact_id"), anchors)
+    linked = M.link_anchors(_decisions(spark, sf).withColumnRenamed("event_id", "fact_id"), anchors)
+    # Ids of new anchors are hashes: labels stand for them here.
+    anchor = F.coalesce(F.element_at(F.create_map(F.lit(77), F.lit("NEW1"), F.lit(3), F.lit("old"), F.lit(8), F.lit("8")), F.col("anchor_id").try_cast("int")), F.col("label"))
+    return linked.select("fact_id", anchor.alias("anchor"), "label", "weight", "is_new")
 
 
 @query("SELECT event_id, event_id % 2 = 0 AS isolated, 'connect:3:0.0,create:n:0.5' AS decisions FROM events")

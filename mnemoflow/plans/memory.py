@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import conversations as C
+from ..operators import concepts as KC
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import memory as M
@@ -410,13 +411,7 @@ def hub_edges(spark, sf):
 def concept_extract(spark, sf):
     c = V.concepts(spark, sf)
     found = c.where("id % 3 <> 0").select((F.col("id") % 20).alias("conv_id"), "name", "relevance", F.array("content").alias("aliases"))
-    return M.extract_concepts(found, c.where("id % 7 = 0")).select("conv_id", "name", "relevance")
-
-
-@query(f"{_CO} SELECT id, CASE WHEN id % 2 = 0 THEN greatest(relevance, 0.5) ELSE relevance END AS relevance FROM concepts")
-def concept_persist(spark, sf):
-    c = V.concepts(spark, sf).select("id", "relevance")
-    return c.unionByName(c.where("id % 2 = 0").withColumn("relevance", F.lit(0.5))).groupBy("id").agg(F.max("relevance").alias("relevance"))
+    return KC.extract_concepts(found, c.where("id % 7 = 0")).select("conv_id", "name", "relevance")
 
 
 # --- sessions and jobs -------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import mnemoflow.plans.answers
+import mnemoflow.plans.linking
 import mnemoflow.plans.memory  # noqa: F401  they register their queries
 from mnemoflow.plans.catalog import ORACLES, QUERIES
 
