@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, cosine, event_decay, fts_tokens, overlap, rerank_terms, round_to
+from ..functions.scalars import clamp, cosine, event_decay, overlap, rerank_terms, round_to
+from ..sources.shared import written
+from .fulltext import Postings, Scan
 from .graph import expand_results
 
-K1, B, COLUMN_WEIGHTS = 1.2, 0.75, {"frontmatter": 2.0, "keywords": 10.0, "summary": 1.0}
-
+Text = Scan | Postings
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10, least: float = 0.0, score: Column | None = None) -> DataFrame:
     """vectors(id, embedding, ...) by similarity to a query vector, rounded to four places; ties by id. Takes k per task first."""
@@ -20,38 +21,6 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10, least: flo
     return found.select("id", round_to(F.col("similarity") if score is None else F.col("similarity") * score).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def bm25(nodes: DataFrame, terms: list[str], every: bool = False, weights: dict[str, float] = COLUMN_WEIGHTS, keep: Column | None = None) -> DataFrame:
-    """(id, rank) of the rows that hold a term (or every term); rank is negative, better is less.
-
-    One scan: a row's term counts are array lookups, corpus statistics are one aggregate row joined back by broadcast (its
-    size is that of the query). `keep` filters rows after the statistics, which stay those of the whole corpus.
-    """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    tokens = {c: fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in weights}
-    own = nodes.select("id", (keep if keep is not None else F.lit(True)).alias("keep"), *(t.alias(f"_{c}") for c, t in tokens.items()))
-    length = sum((F.size(f"_{c}") for c in weights), F.lit(0))
-    count = lambda c, t: F.size(F.filter(f"_{c}", lambda x: x == t))
-    tf = [sum((w * count(c, t) for c, w in weights.items()), F.lit(0.0)) for t in terms]
-    has = [sum((count(c, t) for c in weights), F.lit(0)) > 0 for t in terms]
-    rows = own.select("id", "keep", length.alias("length"), *(x.alias(f"tf{i}") for i, x in enumerate(tf)), *(x.alias(f"has{i}") for i, x in enumerate(has)))
-    stats = rows.agg(F.count("*").alias("N"), F.avg("length").alias("avgdl"), *(F.sum(F.col(f"has{i}").cast("long")).alias(f"n{i}") for i in range(len(terms))))
-    both = rows.join(F.broadcast(stats))
-    rank = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        norm = F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))
-        rank = rank - F.when(F.col(f"has{i}"), idf * F.col(f"tf{i}") * (K1 + 1) / norm).otherwise(0.0)
-    hit = F.lit(every)
-    for i in range(len(terms)):
-        hit = hit & F.col(f"has{i}") if every else hit | F.col(f"has{i}")
-    return both.where(hit & F.col("keep")).select("id", round_to(rank, 6).alias("rank"))
-
-
-def best(hits: DataFrame, k: int, by: str = "rank", descending: bool = False) -> DataFrame:
-    return hits.orderBy(F.col(by).desc() if descending else F.col(by), "id").limit(k)
-
-
 def normalized(hits: DataFrame, score: str = "rank") -> DataFrame:
     """Best rank to 1, worst to 0, a single one to 1; the bounds are one broadcast row."""
     bounds = hits.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
@@ -59,25 +28,25 @@ def normalized(hits: DataFrame, score: str = "rank") -> DataFrame:
     return hits.join(F.broadcast(bounds)).select("id", round_to(share).alias("fts_score"))
 
 
-def hybrid(nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20, candidates: int = 200, least: float = 0.1) -> DataFrame:
+def hybrid(text: Text, vectors: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20, candidates: int = 200, least: float = 0.1) -> DataFrame:
     """0.3 * text + 0.7 * similarity of the text candidates, with event decay; (id, score)."""
-    found = normalized(best(bm25(nodes, terms), candidates))
-    scored = found.join(nodes.select("id", "last_event"), "id").join(vectors.select("id", "embedding"), "id", "left")
+    found = normalized(text.best(terms, candidates))
+    scored = found.join(text.nodes.select("id", "last_event"), "id").join(vectors.select("id", "embedding"), "id", "left")
     similarity = F.coalesce(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, query)))), F.lit(0.0))
     score = round_to((0.3 * F.col("fts_score") + 0.7 * similarity) * event_decay(now - F.col("last_event")))
     return scored.select("id", score.alias("score")).where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def match_hubs(hubs: DataFrame, nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], least: float = 0.85, enough: int = 3, k: int = 5) -> DataFrame:
-    """(id, score) of the hubs at least `least` similar: with `enough` text hits among hubs, 0.2 * text + 0.8 * similarity of these, else
-    the similarity of all hubs."""
-    found = normalized(best(bm25(nodes, terms, keep=F.col("node_role") == "hub"), 50))
+def match_hubs(text: Text, vectors: DataFrame, terms: list[str], query: list[float], least: float = 0.85, enough: int = 3, k: int = 5, every: bool = False) -> DataFrame:
+    """(id, score) of the hubs at least `least` similar, by 0.2 * text + 0.8 * similarity: of the text's hits among hubs where it has `enough`, else
+    of all hubs, those that the text does not hit with 0 for it."""
+    hub = F.col("node_role") == "hub"
+    found = normalized(text.best(terms, 50, keep=hub, every=every))
     hits = F.broadcast(found.agg(F.count("*").alias("n")))
     near = cosine(F.col("embedding"), F.array(*map(F.lit, map(float, query))))
-    all_ = hubs.select("id").join(vectors.select("id", near.alias("near")), "id").where(F.col("near") >= least).join(found, "id", "left").join(hits)
-    few = F.col("n") < enough
-    scored = all_.where(few | F.col("fts_score").isNotNull())
-    return scored.select("id", round_to(F.when(few, F.col("near")).otherwise(0.2 * F.col("fts_score") + 0.8 * F.col("near"))).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+    all_ = text.nodes.where(hub).select("id").join(vectors.select("id", near.alias("near")), "id").where(F.col("near") >= least).join(found, "id", "left").join(hits)
+    scored = all_.where((F.col("n") < enough) | F.col("fts_score").isNotNull())
+    return scored.select("id", round_to(0.2 * F.coalesce("fts_score", F.lit(0.0)) + 0.8 * F.col("near")).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
 def merge_paths(vector: DataFrame, graph: DataFrame, weight: float = 0.6, bonus: float = 0.1, minmax: bool = True, least: float = 0.05, k: int = 20) -> DataFrame:
@@ -157,15 +126,15 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: floa
     return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "score")
 
 
-def hybrid_or_all(nodes: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20, enough: int = 5, least: float = 0.1, every: bool = False) -> DataFrame:
+def hybrid_or_all(text: Text, vectors: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20, enough: int = 5, least: float = 0.1, every: bool = False) -> DataFrame:
     """hybrid() where the text finds `enough` rows; else all vectors at 0.7 * similarity too, the better score by id."""
-    hits = best(bm25(nodes, terms, every=every), 200)
+    hits = written(text.best(terms, 200, every=every), "hits")
     found = normalized(hits).join(vectors.select("id", "embedding"), "id", "left")
     near = F.coalesce(cosine(F.col("embedding"), F.array(*map(F.lit, map(float, query)))), F.lit(0.0))
     scored = found.select("id", (0.3 * F.col("fts_score") + 0.7 * near).alias("score"))
     if hits.limit(enough).count() < enough:
         scored = scored.union(vectors.select("id", (0.7 * near).alias("score"))).groupBy("id").agg(F.max("score").alias("score"))
-    aged = scored.join(nodes.select("id", "last_event"), "id").select("id", round_to(F.col("score") * event_decay(now - F.col("last_event"))).alias("score"))
+    aged = scored.join(text.nodes.select("id", "last_event"), "id").select("id", round_to(F.col("score") * event_decay(now - F.col("last_event"))).alias("score"))
     return aged.where(F.col("score") >= least).orderBy(F.col("score").desc(), "id").limit(k)
 
 
@@ -174,10 +143,10 @@ def chunk_search(vectors: DataFrame, superseded: DataFrame, query: list[float],
     return vector_top_k(vectors, query, k, least).join(superseded.select("id").distinct(), "id", "left_anti")
 
 
-def recall(nodes: DataFrame, vectors: DataFrame, edges: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20) -> DataFrame:
+def recall(text: Text, vectors: DataFrame, edges: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20) -> DataFrame:
     """Both paths: similar rows and what the graph reaches from the text's best rows, merged; (id, score, n_sources, depth)."""
     near = vector_top_k(vectors, query, 30)
-    seeds = hybrid(nodes, vectors, terms, query, now, k=10, least=0.01)
+    seeds = hybrid(text, vectors, terms, query, now, k=10, least=0.01)
     reached = expand_results(edges, seeds, seeds.limit(0)).orderBy(F.col("score").desc(), "id").limit(50)
     merged = merge_paths(near, seeds.unionByName(reached), k=k)
-    return merged.join(with_depth(merged, nodes), "id")
+    return merged.join(with_depth(merged, text.nodes), "id")

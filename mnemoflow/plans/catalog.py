@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import conversations as C
+from ..operators import fulltext as FT
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import weights as W
@@ -22,7 +23,7 @@ TERMS = ["the", "licensed"]
 R4 = "floor(({}) * 1e4 + 0.5) / 1e4"
 Q0 = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 COS = "greatest(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 0)"
-TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def r4(x: str) -> str:
@@ -153,10 +154,10 @@ def anchor_expand(spark, sf):
 
 
 # --- full text and hybrid --------------------------------------------------------------------------------------------
-def _bm25_sql(terms: list[str], every: bool, weights: dict[str, float], where: str = "TRUE", limit: int | None = None) -> str:
+def _bm25_sql(terms: list[str], every: bool, weights: dict[str, float], where: str = "TRUE", limit: int | None = None, first_in: str | None = None) -> str:
     toks = {c: TOKENS.format(f"coalesce({c}, '')") for c in weights}
     count = lambda c, t: f"len(list_filter({toks[c]}, lambda x: x = '{t}'))"
-    cols = ", ".join(f"{' + '.join(f'{w} * {count(c, t)}' for c, w in weights.items())} AS tf{i}" for i, t in enumerate(terms))
+    cols = ", ".join(f"{' + '.join(f'{w} * {count(c, t)}' for c, w in weights.items() if i or first_in in (None, c))} AS tf{i}" for i, t in enumerate(terms))
     length = " + ".join(f"len({x})" for x in toks.values())
     n = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS n{i}" for i in range(len(terms)))
     idf = lambda i: f"CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n{i} + 0.5) / (n{i} + 0.5)) END"
@@ -166,22 +167,33 @@ def _bm25_sql(terms: list[str], every: bool, weights: dict[str, float], where: s
  hits AS (SELECT id, floor(({rank}) * 1e6 + 0.5) / 1e6 AS rank FROM t, s WHERE ({hit}) AND {where}{f' ORDER BY rank, id LIMIT {limit}' if limit else ''})"""
 
 
-_W = R.COLUMN_WEIGHTS
+_W = FT.COLUMN_WEIGHTS
+_INDEXES: dict[tuple, FT.Postings] = {}
+
+
+def text_index(spark, sf) -> FT.Postings:
+    """The postings of the nodes' texts; they are built once for a state of the table's files."""
+    seen = V.read(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    state = seen.agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size"), F.sum(F.hash("file_path", "file_modification_time").cast("long"))).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _INDEXES:
+        _INDEXES[key] = FT.Postings.build(V.memory_nodes(spark, sf))
+    return _INDEXES[key]
 
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W, limit=50)} SELECT id, rank FROM hits")
 def fts_search(spark, sf):
-    return R.best(R.bm25(V.memory_nodes(spark, sf), TERMS), 50)
+    return text_index(spark, sf).best(TERMS, 50)
 
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, True, _W, limit=50)} SELECT id, rank FROM hits")
 def fts_and(spark, sf):
-    return R.best(R.bm25(V.memory_nodes(spark, sf), TERMS, every=True), 50)
+    return text_index(spark, sf).best(TERMS, 50, every=True)
 
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(['en', 'src1'], False, {'keywords': 10.0}, limit=50)} SELECT id, rank FROM hits")
 def fts_keyword(spark, sf):
-    return R.best(R.bm25(V.memory_nodes(spark, sf), ["en", "src1"], weights={"keywords": 10.0}), 50)
+    return text_index(spark, sf).best(["en", "src1"], 50, weights={"keywords": 10.0})
 
 
 _KEEP = "(node_type IN ('semantic', 'procedural') OR node_type IS NULL) AND node_role = 'leaf'"
@@ -189,12 +201,12 @@ _KEEP = "(node_type IN ('semantic', 'procedural') OR node_type IS NULL) AND node
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W, _KEEP, 50)} SELECT id, rank FROM hits")
 def fts_filtered(spark, sf):
-    return R.best(R.bm25(V.memory_nodes(spark, sf), TERMS, keep=F.expr(_KEEP)), 50)
+    return text_index(spark, sf).best(TERMS, 50, keep=F.expr(_KEEP))
 
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W)} SELECT count(*) AS n FROM hits")
 def fts_count(spark, sf):
-    return R.bm25(V.memory_nodes(spark, sf), TERMS).agg(F.count("*").alias("n"))
+    return text_index(spark, sf).hits(TERMS).agg(F.count("*").alias("n"))
 
 
 _NORM = r4("CASE WHEN hi > lo THEN (hi - rank) / (hi - lo) ELSE 1.0 END")
@@ -203,7 +215,7 @@ _FTS200 = f"{_bm25_sql(TERMS, False, _W, limit=200)}, f AS (SELECT id, {_NORM} A
 
 @query(f"{V.with_views('nodes')}, {_FTS200} SELECT id, fts_score FROM f")
 def fts_normalized(spark, sf):
-    return R.normalized(R.best(R.bm25(V.memory_nodes(spark, sf), TERMS), 200))
+    return R.normalized(text_index(spark, sf).best(TERMS, 200))
 
 
 _HYBRID = f"""{_FTS200}, {Q0}, h AS (SELECT f.id, {r4(f'(0.3 * fts_score + 0.7 * coalesce({COS}, 0)) * pow(2, -greatest(0, {NOW} - last_event) / 50)')} AS score
@@ -212,7 +224,7 @@ _HYBRID = f"""{_FTS200}, {Q0}, h AS (SELECT f.id, {r4(f'(0.3 * fts_score + 0.7 *
 
 def _hybrid(spark, sf):
     vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.hybrid(V.memory_nodes(spark, sf), vectors, TERMS, first_vector(spark, sf), NOW, least=0.01)
+    return R.hybrid(text_index(spark, sf), vectors, TERMS, first_vector(spark, sf), NOW, least=0.01)
 
 
 @query(f"{V.with_views('nodes')}, {_HYBRID} SELECT id, score FROM hy")
@@ -223,22 +235,52 @@ def hybrid_search(spark, sf):
 _HUBS = f"{_bm25_sql(TERMS, False, _W, 'node_role = ' + chr(39) + 'hub' + chr(39), 50)}, f AS (SELECT id, {_NORM} AS fts_score FROM hits, (SELECT min(rank) AS lo, max(rank) AS hi FROM hits))"
 
 
-def _hub_sql(least: float) -> str:
-    return f"""{V.with_views('nodes')}, {_HUBS}, {Q0}, c AS (SELECT n.id, fts_score, {COS} AS near FROM nodes n JOIN embeddings e ON e.vec_id = n.id LEFT JOIN f ON f.id = n.id, q WHERE node_role = 'hub'),
- k AS (SELECT count(*) AS n FROM f) SELECT c.id, {r4('CASE WHEN k.n >= 3 THEN 0.2 * fts_score + 0.8 * near ELSE near END')} AS score FROM c, k WHERE near >= {least} AND (k.n < 3 OR fts_score IS NOT NULL) ORDER BY score DESC, c.id LIMIT 5"""
+def _hub_sql(least: float, hubs: str = _HUBS) -> str:
+    return f"""{V.with_views('nodes')}, {hubs}, {Q0}, c AS (SELECT n.id, fts_score, {COS} AS near FROM nodes n JOIN embeddings e ON e.vec_id = n.id LEFT JOIN f ON f.id = n.id, q WHERE node_role = 'hub'),
+ k AS (SELECT count(*) AS n FROM f) SELECT c.id, {r4('0.2 * coalesce(fts_score, 0) + 0.8 * near')} AS score FROM c, k WHERE near >= {least} AND (k.n < 3 OR fts_score IS NOT NULL) ORDER BY score DESC, c.id LIMIT 5"""
 
 
 @query(_hub_sql(0.85))
 def hub_match(spark, sf):
     vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.match_hubs(V.memory_nodes(spark, sf).where("node_role = 'hub'"), V.memory_nodes(spark, sf), vectors, TERMS, first_vector(spark, sf))
+    return R.match_hubs(text_index(spark, sf), vectors, TERMS, first_vector(spark, sf))
 
 
 @query(_hub_sql(0.1))
 def hub_match_wide(spark, sf):
     """The same with a low threshold, under which the tables' vectors match."""
     vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.match_hubs(V.memory_nodes(spark, sf).where("node_role = 'hub'"), V.memory_nodes(spark, sf), vectors, TERMS, first_vector(spark, sf), least=0.1)
+    return R.match_hubs(text_index(spark, sf), vectors, TERMS, first_vector(spark, sf), least=0.1)
+
+
+_FEW_TERMS = ["src3", "en"]
+
+
+@query(_hub_sql(0.1, f"{_bm25_sql(_FEW_TERMS, True, _W, 'node_role = ' + chr(39) + 'hub' + chr(39), 50)}, f AS (SELECT id, {_NORM} AS fts_score FROM hits, (SELECT min(rank) AS lo, max(rank) AS hi FROM hits))"))
+def hub_match_few(spark, sf):
+    """The text hits fewer than three hubs, so that all hubs are compared."""
+    vectors = V.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return R.match_hubs(text_index(spark, sf), vectors, _FEW_TERMS, first_vector(spark, sf), least=0.1, every=True)
+
+
+_FIRST = _bm25_sql(["en", "the"], False, _W, limit=50, first_in="keywords")
+
+
+@query(f"{V.with_views('nodes')}, {_FIRST} SELECT id, rank FROM hits")
+def fts_first_scoped(spark, sf):
+    """A column before a list of terms holds for the first of them alone."""
+    return text_index(spark, sf).best(["en", "the"], 50, first_in="keywords")
+
+
+@query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W, limit=50)} SELECT id, rank FROM hits")
+def fts_scan(spark, sf):
+    """The same as fts_search, without postings."""
+    return FT.Scan(V.memory_nodes(spark, sf)).best(TERMS, 50)
+
+
+@query("SELECT conv_id, turn, CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' AND ') END AS expression FROM (SELECT conv_id, turn, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]')) AS t FROM conversations)")
+def fts_match_expression(spark, sf):
+    return V.read(spark, sf, "conversations").select("conv_id", "turn", S.match_expression(F.col("text"), every=True).alias("expression"))
 
 
 _TOP = f"vt AS (SELECT vec_id AS id, {r4(COS)} AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 30)"

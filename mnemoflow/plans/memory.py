@@ -13,7 +13,7 @@ from ..operators import memory as M
 from ..operators import retrieval as R
 from ..operators import weights as W
 from ..sources import views as V
-from .catalog import _bm25_sql, _EFF, _seeds, _W, by, COS, effective_weight, first_vector, Q0, query, r4, TERMS, unit_edges
+from .catalog import _bm25_sql, _EFF, _seeds, _W, by, COS, effective_weight, first_vector, Q0, query, r4, TERMS, text_index, unit_edges
 from .more import _TRAVERSE, _vectors
 
 
@@ -223,14 +223,14 @@ def edge_labels_like(spark, sf):
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W)} SELECT t.i AS id, rank FROM (VALUES (9), (3), (123), (-5)) t(i) LEFT JOIN hits ON hits.id = t.i")
 def fts_match_one(spark, sf):
     ids = spark.createDataFrame([(i,) for i in (9, 3, 123, -5)], "id long")
-    return ids.join(R.bm25(V.memory_nodes(spark, sf), TERMS), "id", "left")
+    return ids.join(text_index(spark, sf).hits(TERMS), "id", "left")
 
 
 @query(f"{V.with_views('nodes')}, {_bm25_sql(TERMS, False, _W)}, m AS (SELECT * FROM hits WHERE id % 10 = 3) SELECT id, {r4('CASE WHEN hi > lo THEN (hi - rank) / (hi - lo) ELSE 1.0 END')} AS fts_score FROM m, (SELECT min(rank) AS lo, max(rank) AS hi FROM m)")
 def fts_match_batch(spark, sf):
     """Of wanted ids, those that match, by rank among themselves."""
     wanted = V.memory_nodes(spark, sf).where("id % 10 = 3").select("id")
-    return R.normalized(R.bm25(V.memory_nodes(spark, sf), TERMS).join(wanted, "id", "left_semi"))
+    return R.normalized(text_index(spark, sf).hits(TERMS).join(wanted, "id", "left_semi"))
 
 
 @query(f"{V.with_views('edges')}, {Q0}, {_TRAVERSE}, a AS (SELECT vec_id AS id, {r4(COS)} AS s FROM embeddings, q ORDER BY s DESC, id LIMIT 10) SELECT coalesce(a.id, tr.id) AS id, coalesce(a.s, tr.score) AS score FROM tr FULL JOIN a ON a.id = tr.id")

@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import weights as W
 from ..sources import views as V
 from ..streaming import events as T
-from .catalog import _FTS200, _HYBRID, _UND, _bm25_sql, _hybrid, _seeds, _W, by, COS, first_vector, NOW, Q0, query, r4, TERMS, unit_edges
+from .catalog import _FTS200, _HYBRID, _UND, _bm25_sql, _hybrid, _seeds, _W, by, COS, first_vector, NOW, Q0, query, r4, TERMS, text_index, unit_edges
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -46,7 +46,7 @@ _FEW = f"{_bm25_sql(TERMS, True, _W, limit=200)}, b AS (SELECT min(rank) AS lo,
 @query(f"""{V.with_views('nodes')}, {_FEW}, {Q0}, sc AS (SELECT id, 0.3 * fts_score + 0.7 * coalesce({COS}, 0) AS score FROM f LEFT JOIN embeddings e ON e.vec_id = f.id, q UNION ALL SELECT vec_id, 0.7 * {COS} FROM embeddings, q, b WHERE b.n < 5),
  a AS (SELECT sc.id, {r4(f'max(sc.score) * pow(2, -greatest(0, {NOW} - any_value(last_event)) / 50)')} AS score FROM sc JOIN nodes ON nodes.id = sc.id GROUP BY 1) SELECT id, score FROM a WHERE score >= 0.01 ORDER BY score DESC, id LIMIT 20""")
 def hybrid_fallback(spark, sf):
-    return R.hybrid_or_all(V.memory_nodes(spark, sf), _vectors(spark, sf), TERMS, first_vector(spark, sf), NOW, least=0.01, every=True)
+    return R.hybrid_or_all(text_index(spark, sf), _vectors(spark, sf), TERMS, first_vector(spark, sf), NOW, least=0.01, every=True)
 
 
 _TERM_SET = "list_filter(list_distinct(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\\s\\-_]', ' ', 'g'), '\\s+')), lambda t: len(t) > 2 AND NOT list_contains([{}], t))"
@@ -277,7 +277,7 @@ def context_text(spark, sf):
 
 @query()
 def recall(spark, sf):
-    return R.recall(V.memory_nodes(spark, sf), _vectors(spark, sf), unit_edges(spark, sf), TERMS, first_vector(spark, sf), NOW)
+    return R.recall(text_index(spark, sf), _vectors(spark, sf), unit_edges(spark, sf), TERMS, first_vector(spark, sf), NOW)
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------
