@@ -109,3 +109,86 @@ def seeds_by_terms(nodes: DataFrame, terms: list[str]) -> DataFrame:
     text = F.lower("content")
     first = F.coalesce(*(F.when(text.contains(t.lower()), F.lit(t)) for t in terms))
     return nodes.select("id", first.alias("term")).where("term is not null")
+
+
+def bounded_subgraph(edges: DataFrame, center: int, hops: int = 2, most: int = 200, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around a node: nodes(id, depth, place) of at most `most`, and edges(source_id, target_id, weight) between them.
+
+    Nodes are taken up in the order of a search in breadth: by the place of the node they are met from, then by the edge's weight, then by id;
+    the search ends with the node that fills the budget, and edges met after it are left out. A level's frontier, of `most` ids at most, goes
+    through the driver; the edges it meets do not.
+    """
+    spark, kind = edges.sparkSession, edges.schema["source_id"].dataType.simpleString()
+    own = edges.where(F.col("weight") >= least).select("source_id", "target_id", "weight")
+    visited, frontier, met = {center: (0, 0)}, [(center, 0)], None
+    for hop in range(1, hops + 1):
+        if not frontier or len(visited) >= most:
+            break
+        level = spark.createDataFrame(frontier, f"id {kind}, place int")
+        way = F.struct("place", (-F.col("weight")).alias("w"), "other", "source_id", "target_id").alias("way")
+        out = level.join(own, F.col("id") == F.col("source_id")).withColumn("other", F.col("target_id"))
+        back = level.join(own, (F.col("id") == F.col("target_id")) & (F.col("source_id") != F.col("target_id"))).withColumn("other", F.col("source_id"))
+        found = out.union(back).select("other", way)
+        # As many rows as are still wanted come back.
+        new = found.where(~F.col("other").isin(list(visited))).groupBy("other").agg(F.min("way").alias("way")).orderBy("way").limit(most - len(visited))
+        rows = new.select("other", "way.place", "way.w", "way.source_id", "way.target_id").collect()
+        full = len(rows) == most - len(visited)
+        if full:
+            last = rows[-1]
+            end = F.struct(F.lit(last["place"]).alias("place"), F.lit(last["w"]).cast(own.schema["weight"].dataType).alias("w"), F.lit(last["other"]).cast(kind).alias("other"), F.lit(last["source_id"]).cast(kind).alias("source_id"), F.lit(last["target_id"]).cast(kind).alias("target_id"))
+            found = found.where(F.col("way") <= end)
+        seen = found.select("way.source_id", "way.target_id", (-F.col("way.w")).alias("weight"))
+        met = seen if met is None else met.union(seen)
+        frontier = [(r["other"], i) for i, r in enumerate(rows)]
+        visited |= {r["other"]: (hop, len(visited) + i) for i, r in enumerate(rows)}
+    nodes = spark.createDataFrame([(i, *v) for i, v in visited.items()], f"id {kind}, depth int, place int")
+    ids = list(visited)
+    none = own.limit(0) if met is None else met
+    return nodes, none.where(F.col("source_id").isin(ids) & F.col("target_id").isin(ids)).distinct()
+
+
+def local_graph(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): reach() from the seeds, and each edge once that has an end nearer than `hops` edges."""
+    nodes = reach(edges, seeds, hops)
+    inner = nodes.where(F.col("depth") < hops).select("id")
+    own = edges.select("source_id", "target_id", "weight")
+    return nodes, own.join(inner, F.col("id") == F.col("source_id"), "left_semi").union(own.join(inner, F.col("id") == F.col("target_id"), "left_semi")).distinct()
+
+
+def traverse_bounded(edges: DataFrame, seeds: DataFrame, leaves: DataFrame, hops: int = 2, least_weight: float = 0.1, most: int = 50, kinds: list[str] | None = None) -> DataFrame:
+    """(id, score, depth, source) of the leaves(id) that seeds(id, score[, place]) reach along edges, by products of weights, until `most` are
+    collected.
+
+    Nodes are expanded in the order of a search in breadth, seeds by their place or id, each once and whole; the one that brings the number of leaves to `most` or beyond
+    is the last. Of a leaf's products the greatest stays, with its depth and seed. At most `most` rows of counts a level reach the driver.
+    """
+    own = edges.where(F.col("weight") >= least_weight)
+    own = (own.where(F.col("edge_type").isin(*kinds)) if kinds else own).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight")
+    wanted = leaves.select("id").distinct()
+    # A seed's place is its number in their order; the seeds are a bounded list.
+    order = seeds.orderBy("place" if "place" in seeds.columns else "id").select("id", "score").collect()
+    kinds_ = f"id {seeds.schema['id'].dataType.simpleString()}, score double, place array<double>"
+    level = seeds.sparkSession.createDataFrame([(r["id"], float(r["score"]), [float(i)]) for i, r in enumerate(order)], kinds_).withColumn("source", F.col("id"))
+    done, collected, left = level.select("id"), None, most
+    for hop in range(1, hops + 1):
+        child = F.concat("place", F.array(-F.col("weight").cast("double"), F.col("dst").cast("double")))
+        found = level.join(own, F.col("id") == F.col("src")).select("place", child.alias("child"), F.col("dst").alias("id"), (F.col("score") * F.col("weight")).alias("score"), "source")
+        leaf = found.join(wanted, "id", "left_semi")
+        fresh = leaf if collected is None else leaf.join(collected.select("id").distinct(), "id", "left_anti")
+        counts = fresh.groupBy("id").agg(F.min("place").alias("place")).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").limit(left).collect()
+        end = None
+        for r in counts:
+            left -= r["n"]
+            if left <= 0:
+                end = F.array(*map(F.lit, r["place"]))
+                break
+        within = (lambda df: df.where(F.col("place") <= end)) if end is not None else (lambda df: df)  # noqa: B023
+        new = within(leaf).select("id", "score", F.lit(hop).alias("depth"), "source", "child")
+        collected = new if collected is None else collected.union(new)
+        if end is not None or hop == hops:
+            break
+        first = found.groupBy("id").agg(F.min(F.struct("child", "score", "source")).alias("f"))
+        level = first.join(done, "id", "left_anti").select("id", "f.score", "f.source", F.col("f.child").alias("place"))
+        done = done.union(level.select("id"))
+    best = collected.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "depth", "child", "source")).alias("b"))
+    return best.select("id", (-F.col("b.s")).alias("score"), F.col("b.depth").alias("depth"), F.col("b.source").alias("source"))

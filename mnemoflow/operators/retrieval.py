@@ -81,6 +81,13 @@ def blend(items: DataFrame, relevance: DataFrame, alpha: float = 0.7, least: flo
     return joined.select("id", round_to(F.when(F.col("relevance").isNull(), F.col("score")).otherwise(alpha * F.col("relevance") + (1 - alpha) * F.col("score"))).alias("score"))
 
 
+def blend_top(items: DataFrame, relevance: DataFrame, most: int = 20, alpha: float = 0.7, least: float = 0.1) -> DataFrame:
+    """blend() of the best `most` of items(id, score), a bounded list; the others are not judged and stay as they are."""
+    top = items.orderBy(F.col("score").desc(), "id").limit(most)
+    rest = items.join(top.select("id"), "id", "left_anti").select("id", "score")
+    return blend(top, relevance, alpha, least).unionByName(rest)
+
+
 def with_depth(items: DataFrame, nodes: DataFrame, full: int = 5) -> DataFrame:
     """(id, depth): of the best `full` items those that are known L2, other known ones L1, unknown ones L0."""
     top = items.orderBy(F.col("score").desc(), "id").limit(full).select("id", F.lit(True).alias("top"))

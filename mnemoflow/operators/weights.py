@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import absorb, activation_level, clamp, edge_decay, effective_shield, hebbian_delta, jaccard, lazy_weight, overflow, reinforce, round_to, shield_cap, temporal_proximity
@@ -37,6 +37,34 @@ def upsert(edges: DataFrame, updates: DataFrame, strategy: str = "max", keys: tu
     return joined.select(*keys, round_to(F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)).alias("weight"))
 
 
+def merge_updates(edges: DataFrame, updates: DataFrame, strategy: str = "average", keys: tuple[str, ...] = ("source_id", "target_id")) -> DataFrame:
+    """edges after any number of updates(keys, weight, seq) of a key, one after the other by seq; the first of a new key makes the edge.
+
+    replace and max need no order or one comparison, hebbian is a product; an average of averages weighs an update by half for each that comes
+    after it. Updates are summed up before they meet the edges; averages number a key's updates first, the oldest of more than a
+    thousand weigh nothing that doubles could show.
+    """
+    own, k = updates.select(*keys, "weight", "seq"), list(keys)
+    if strategy == "average":
+        order = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("weight").desc())
+        own = own.withColumn("after", F.row_number().over(order) - 1)
+        # Where there is no old weight, the first update stands for it and is not halved once more.
+        first = F.max(F.struct("after", "weight"))
+        merged = own.groupBy(*keys).agg(F.sum(F.col("weight") * F.pow(F.lit(0.5), F.col("after") + 1)).alias("part"), F.count("*").alias("n"), first["weight"].alias("first"))
+        new = F.when(F.col("weight").isNull(), F.col("part") + F.col("first") * F.pow(F.lit(0.5), F.col("n"))).otherwise(F.col("part") + F.col("weight") * F.pow(F.lit(0.5), F.col("n")))
+    elif strategy == "hebbian":
+        merged = own.groupBy(*keys).agg(F.product(1 - F.col("weight")).alias("part"))
+        new = 1 - (1 - F.coalesce("weight", F.lit(0.0))) * F.col("part")
+    elif strategy == "max":
+        merged = own.groupBy(*keys).agg(F.max("weight").alias("part"))
+        new = F.greatest("weight", "part")
+    else:
+        merged = own.groupBy(*keys).agg(F.max(F.struct("seq", "weight"))["weight"].alias("part"))
+        new = F.col("part")
+    joined = edges.select(*keys, "weight").join(merged, k, "full_outer")
+    return joined.select(*keys, round_to(F.when(F.col("part").isNull(), F.col("weight")).otherwise(new)).alias("weight"))
+
+
 def pair_counts(events: DataFrame, most: int = 20) -> DataFrame:
     """(a, b, frequency, first_seen, last_seen) of unordered pairs within the first `most` items of an event.
 
