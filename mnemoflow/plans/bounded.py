@@ -11,6 +11,8 @@ from ..operators import recall as RC
 from ..operators import traces as T
 from ..operators import weights as W
 from ..sources import views as V
+from ..streaming import events as ST
+from ..streaming import lifecycle as L
 from .catalog import _EFF, _HYBRID, _UND, _hybrid, _seeds, effective_weight, first_vector, Q0, query, r4, unit_edges
 from .more import _RERANK, _RERANK_STOP
 
@@ -187,3 +189,21 @@ def recall_unified(spark, sf):
 def recall_reinforced(spark, sf):
     """The edges that a recall has reinforced."""
     return _recalled(spark, sf).edges.where("reinforced").select("source_id", "target_id", S.round_to(F.col("weight")).alias("weight"))
+
+
+# --- sessions as state -------------------------------------------------------------------------------------------------
+_T, _L = 21_600_000_000, 86_400_000_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, kind) AS p FROM (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_type = 'error' THEN 'end' ELSE 'touch' END AS kind FROM events)),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS l, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS es, CAST(NULL AS BIGINT) AS el, CAST(0 AS BIGINT) AS en, CAST(NULL AS VARCHAR) AS er, CAST(NULL AS BIGINT) AS ee FROM e
+  UNION ALL SELECT user_id, p, CASE WHEN kind = 'end' THEN NULL WHEN live THEN s ELSE us END, CASE WHEN kind = 'end' THEN NULL ELSE us END, CASE WHEN live THEN n + 1 ELSE 1 END, CASE WHEN gone OR (kind = 'end' AND live) THEN s END, CASE WHEN gone THEN l ELSE us END, CASE WHEN gone THEN n ELSE n + 1 END,
+  CASE WHEN gone AND l + {_T} <= s + {_L} THEN 'timeout' WHEN gone THEN 'ttl_expired' WHEN kind = 'end' AND live THEN 'explicit' END, CASE WHEN gone THEN least(l + {_T}, s + {_L}) ELSE us END
+  FROM (SELECT e.user_id, e.p, e.us, e.kind, r.s, r.l, r.n, r.s IS NOT NULL AND e.us >= least(r.l + {_T}, r.s + {_L}) AS gone, r.s IS NOT NULL AND e.us < least(r.l + {_T}, r.s + {_L}) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.p = r.p + 1))
+ SELECT user_id AS key, es AS started_us, el AS last_us, en AS n, er AS reason, ee AS ended_us FROM r WHERE er IS NOT NULL
+ UNION ALL SELECT user_id, s, l, n, CASE WHEN l + {_T} <= s + {_L} THEN 'timeout' ELSE 'ttl_expired' END, least(l + {_T}, s + {_L}) FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p DESC) = 1) WHERE s IS NOT NULL AND least(l + {_T}, s + {_L}) <= (SELECT max(epoch_us(ts)) FROM events)""")
+def session_lifecycle(spark, sf):
+    """Errors end a session, everything else touches it; sessions whose time has come by the newest event have ended too."""
+    kind = F.when(F.col("event_type") == "error", "end").otherwise("touch")
+    stream = ST.event_stream(spark, sf).select(F.col("user_id").alias("key"), "ts", kind.alias("kind"))
+    return ST.run_to_end(L.ended_sessions(stream, 21_600, 86_400, 0), "lifecycle")
