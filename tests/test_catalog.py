@@ -9,6 +9,7 @@ import pytest
 import mnemoflow.plans.answers
 import mnemoflow.plans.bounded
 import mnemoflow.plans.linking
+import mnemoflow.plans.upkeep
 import mnemoflow.plans.memory  # noqa: F401  they register their queries
 from mnemoflow.plans.catalog import ORACLES, QUERIES
 
