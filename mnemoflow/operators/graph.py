@@ -192,3 +192,21 @@ def traverse_bounded(edges: DataFrame, seeds: DataFrame, leaves: DataFrame, hops
         done = done.union(level.select("id"))
     best = collected.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "depth", "child", "source")).alias("b"))
     return best.select("id", (-F.col("b.s")).alias("score"), F.col("b.depth").alias("depth"), F.col("b.source").alias("source"))
+
+
+def strongest_connections(weighted: DataFrame, memory: DataFrame, node: int, k: int = 20) -> DataFrame:
+    """(id, weight, graph) of the k strongest neighbours of a node: each with its greatest weight among the weighted edges, or, where it has none,
+    among the memory edges."""
+    own = lambda df, name, order: neighbors(df, node).select("id", F.struct(F.lit(order).alias("order"), (-F.col("weight")).alias("w"), F.lit(name).alias("graph")).alias("c"))
+    best = own(weighted, "weighted", 0).union(own(memory, "memory", 1)).groupBy("id").agg(F.min("c").alias("c"))
+    return best.select("id", (-F.col("c.w")).alias("weight"), F.col("c.graph").alias("graph")).orderBy(F.col("weight").desc(), "id").limit(k)
+
+
+def sample(nodes: DataFrame, edges: DataFrame, most: int = 500, hubs: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the most activated hubs of nodes(id, node_role, activation_count), at most `hubs`, leaves by activation up to `most` nodes in
+    all, and the edges between them."""
+    order = (F.col("activation_count").desc(), "id")
+    first = nodes.where("node_role = 'hub'").orderBy(*order).limit(min(hubs, most)).select("id", "node_role", "activation_count")
+    rest = nodes.where("node_role = 'leaf'").orderBy(*order).limit(most).select("id", "node_role", "activation_count")
+    both = first.union(rest).orderBy(F.col("node_role"), *order).limit(most)
+    return both, induced(edges, both)

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import capitalized, clamp, reinforce, round_to, shield_cap
 from .entities import normalize_label
 
+#: Events of a range of simulation_summary().
+SPAN = 1_024
+
 
 def append_new(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """rows and those of `new` whose key they do not hold; of new rows with one key one stays."""
@@ -134,10 +137,21 @@ def simulation_summary(ends: DataFrame) -> DataFrame:
     """One row of ends(start, final, death): dying (a death is known), surviving, mean final weight, mean retention in per cent, and
     the upper median of the deaths where at least half of the edges die.
 
-    The median is found by counting deaths by event, so that no list of them is held.
+    The median is found by counts: of ranges of SPAN events first, then of the events of the range that holds it, so that a window orders no
+    more rows than there are ranges, or events in one.
     """
     totals = ends.agg(F.count("*").alias("n"), F.count("death").alias("dying"), round_to(F.coalesce(F.avg("final"), F.lit(0.0))).alias("mean_final"), round_to(F.coalesce(F.avg(F.when(F.col("start") > 0, F.col("final") / F.col("start") * 100).otherwise(0.0)), F.lit(0.0)), 2).alias("mean_retention"))
-    by_event = ends.where("death is not null").groupBy("death").agg(F.count("*").alias("k"))
-    upto = by_event.withColumn("upto", F.sum("k").over(Window.orderBy("death")))
-    at = upto.join(F.broadcast(totals.select("dying"))).where(F.col("upto") > F.floor(F.col("dying") / 2)).agg(F.min("death").alias("middle"))
+    middle = F.floor(F.col("dying") / 2)
+    whole = totals.select("dying")
+
+    def holding(counts: DataFrame, key: str, before: str) -> DataFrame:
+        """The first row of counts(key, k, before) up to which more than half of all come, `before` being what lies ahead of all rows."""
+        upto = counts.withColumn("upto", F.col(before) + F.sum("k").over(Window.orderBy(key)))
+        return upto.join(F.broadcast(whole)).where(F.col("upto") > middle).orderBy(key).limit(1)
+
+    deaths = ends.where("death is not null").groupBy("death").agg(F.count("*").alias("k"))
+    ranges = deaths.groupBy(F.floor(F.col("death") / SPAN).alias("range")).agg(F.sum("k").alias("k")).withColumn("none", F.lit(0))
+    hit = holding(ranges, "range", "none").select("range", (F.col("upto") - F.col("k")).alias("ahead"))
+    inside = deaths.withColumn("range", F.floor(F.col("death") / SPAN)).join(F.broadcast(hit), "range").select("death", "k", "ahead")
+    at = holding(inside, "death", "ahead").agg(F.min("death").alias("middle"))
     return totals.join(F.broadcast(at)).select("dying", (F.col("n") - F.col("dying")).alias("surviving"), "mean_final", "mean_retention", F.when(2 * F.col("dying") >= F.col("n"), F.col("middle")).alias("median_death"))

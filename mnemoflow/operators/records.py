@@ -66,6 +66,19 @@ def evolve_identity(traits: DataFrame, updates: DataFrame, most: float = 0.1) ->
     return joined.select("agent_id", "axis", F.when(F.col("value").isNull(), F.col("new")).when(moves, moved).otherwise(F.col("value")).alias("value"), (F.col("value").isNull() | moves).alias("changed"))
 
 
+def identity_history(traits: DataFrame, updates: DataFrame, principles: DataFrame, versions: DataFrame, trigger: str, most: float = 0.1, evidence: int = 3) -> DataFrame:
+    """(agent_id, version, change, triggered_by) of one cycle of evolution: each axis that moves or is new, and each new principle that rests on
+    at least `evidence` sources; the version is that of versions(agent_id, version) plus one. Agents without a change, and unknown ones, have no row.
+
+    traits(agent_id, axis, value), updates of the same columns, principles(agent_id, principle, sources array).
+    """
+    fixed = lambda c: F.format_string("%.2f", c)
+    moved = evolve_identity(traits, updates, most).where("changed").join(traits.select("agent_id", "axis", F.col("value").alias("old")), ["agent_id", "axis"], "left")
+    told = F.when(F.col("old").isNull(), F.concat("axis", F.lit(": new axis ("), fixed(F.col("value")), F.lit(")"))).otherwise(F.concat("axis", F.lit(": "), fixed(F.col("old")), F.lit(" → "), fixed(F.col("value"))))
+    based = principles.where(F.size("sources") >= evidence).select("agent_id", F.concat(F.lit('new principle: "'), "principle", F.lit('"')).alias("change"))
+    return moved.select("agent_id", told.alias("change")).union(based).join(versions, "agent_id").select("agent_id", (F.col("version") + 1).alias("version"), "change", F.lit(trigger).alias("triggered_by"))
+
+
 def context_text(items: DataFrame, most: int = 15, chars: int = 4000, style: str = "markdown") -> DataFrame:
     """One row (text): the best items(id, score, content) in order, as many as fit into `chars`.
 

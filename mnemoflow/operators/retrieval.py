@@ -95,40 +95,66 @@ def with_depth(items: DataFrame, nodes: DataFrame, full: int = 5) -> DataFrame:
     return known.select("id", F.when(F.col("known").isNull(), "L0").when(F.col("top"), "L2").otherwise("L1").alias("depth"))
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, block: int = 8192) -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, block: int = 65_536, spread: int = 1_024) -> DataFrame:
     """(query_id, id, score) of the k most similar rows of vectors(id, embedding, factor) for each of queries(query_id, embedding).
 
-    Both sides are dealt into blocks, each pair of blocks is one matrix product in one task, and the k best of a block meet in
-    a window by query: no pair of rows is ever a row of Spark. Rows are kept from `least` similarity on; the score is the
-    similarity times the row's factor, to four places. Vectors of the other length than most, null or zero ones score 0.
+    Candidates are dealt into blocks and move once; the queries go to every block and stream past it in Arrow batches, each a matrix
+    product. The k best of a block meet in a window by query: no pair of rows is ever a row of Spark. Rows are kept from `least`
+    similarity on; the score is the similarity times the row's factor, to four places. Vectors of another length than the block's or the batch's
+    longest, null or zero ones score 0. Small tables are dealt out in blocks of `spread` rows too, over 32 tasks at most.
     """
 
-    def matrix(column) -> np.ndarray:
+    def matrix(column: pa.Array) -> np.ndarray:
         rows = column.to_pylist()
         width = max((len(r) for r in rows if r), default=0)
         m = np.array([r if r and len(r) == width else [0.0] * width for r in rows], float).reshape(len(rows), width)
         n = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            a, b = matrix(left.column("embedding")), matrix(right.column("embedding"))
-            ids, factor = left.column("id").to_numpy(), left.column("factor").to_numpy()
-            for q, near in zip(right.column("query_id").to_pylist(), b @ a.T if a.shape[1] == b.shape[1] else np.zeros((len(b), len(a))), strict=True):
-                near = np.maximum(near, 0)
-                at = np.flatnonzero(near >= least)
-                score = np.floor(near[at] * factor[at] * 1e4 + 0.5) / 1e4
-                best = np.lexsort((ids[at], -score))[:k]
-                out += zip([q] * len(best), ids[at][best].tolist(), score[best].tolist(), strict=True)
+    def best_of(part: pa.RecordBatch, a: np.ndarray, ids: np.ndarray, factor: np.ndarray) -> pa.RecordBatch:
+        b, out = matrix(part.column("embedding")), []
+        names = part.column("id").to_pylist()
+        # Some rows at a time, so that a product holds no more than a few million numbers.
+        step = max(1, (1 << 22) // max(1, len(a)))
+        for begin in range(0, len(b), step):
+            some = b[begin : begin + step]
+            near = some @ a.T if a.shape[1] == b.shape[1] else np.zeros((len(some), len(a)))
+            for q, row in zip(names[begin : begin + step], near, strict=True):
+                row = np.maximum(row, 0)
+                at = np.flatnonzero(row >= least)
+                score = np.floor(row[at] * factor[at] * 1e4 + 0.5) / 1e4
+                top = np.lexsort((ids[at], -score))[:k]
+                out += zip([q] * len(top), ids[at][top].tolist(), score[top].tolist(), strict=True)
         q, i, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    n, m = vectors.count(), queries.count()
-    blocks, parts = max(1, -(-n // block)), max(1, -(-m // 512))
-    left = vectors.select(F.col("id").cast("long").alias("id"), "embedding", F.col("factor").cast("double").alias("factor"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+
+    def run(batches):
+        current, held, block_ = None, [], None
+        for batch in batches:
+            own, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            # Rows come by block, candidates first; a batch is cut where either changes.
+            cuts = [0, *(np.flatnonzero((np.diff(own) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if own[a] != current:
+                    current, held, block_ = own[a], [], None
+                if not asks[a]:
+                    held.append(part)
+                    continue
+                if block_ is None and held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    block_ = matrix(whole.column("embedding")), whole.column("id").to_numpy(), whole.column("factor").to_numpy()
+                    held = []
+                if block_ is not None:
+                    yield best_of(part, *block_)
+
+    n = vectors.count()
+    blocks = max(1, -(-n // block), min(32, n // spread))
+    left = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), "embedding", F.col("factor").cast("double").alias("factor"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("query_id").cast("long").alias("id"), F.col("embedding").cast(left.schema["embedding"].dataType).alias("embedding"), F.lit(1.0).alias("factor"))
+    found = left.union(right).repartition(blocks, "block").sortWithinPartitions("block", "asks").mapInArrow(run, "query_id long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "score")
 

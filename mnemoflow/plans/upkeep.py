@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import graph as G
 from ..operators import records as K
 from ..operators import retrieval as R
 from ..operators import upkeep as U
@@ -169,3 +170,34 @@ def relationship_of_graphs(spark, sf):
     near = ((F.col("source_id") == 5) & (F.col("target_id") < 10)) | ((F.col("target_id") == 5) & (F.col("source_id") < 10))
     own = lambda df, name: df.where(near).select(F.lit(name).alias("graph"), "source_id", "target_id", "weight")
     return own(V.weighted_edges(spark, sf), "weighted").union(own(unit_edges(spark, sf).where("edge_type = 'about'"), "memory"))
+
+
+@query(f"{_E}, w AS (SELECT CASE WHEN source_id = 5 THEN target_id ELSE source_id END AS id, max(weight) AS weight FROM edges WHERE (source_id = 5 OR target_id = 5) AND edge_type <> 'about' GROUP BY 1), m AS (SELECT CASE WHEN source_id = 5 THEN target_id ELSE source_id END AS id, max(weight / 100) AS weight FROM edges WHERE (source_id = 5 OR target_id = 5) AND edge_type IN ('about', 'related') GROUP BY 1) SELECT id, weight, graph FROM (SELECT id, weight, 'weighted' AS graph FROM w UNION ALL SELECT id, weight, 'memory' FROM m WHERE id NOT IN (SELECT id FROM w)) ORDER BY weight DESC, id LIMIT 60")
+def strongest_of_both(spark, sf):
+    edges = V.weighted_edges(spark, sf)
+    return G.strongest_connections(edges.where("edge_type <> 'about'"), unit_edges(spark, sf).where("edge_type in ('about', 'related')"), 5, 60)
+
+
+_SAMPLE = f"{V.with_views('nodes', 'edges')}, h AS (SELECT id, node_role, activation_count FROM nodes WHERE node_role = 'hub' ORDER BY activation_count DESC, id LIMIT 20), s AS (SELECT * FROM h UNION ALL SELECT * FROM (SELECT id, node_role, activation_count FROM nodes WHERE node_role = 'leaf' ORDER BY activation_count DESC, id LIMIT (SELECT 80 - count(*) FROM h)))"
+
+
+@query(f"{_SAMPLE} SELECT id, node_role, activation_count FROM s")
+def graph_sample_nodes(spark, sf):
+    return G.sample(V.memory_nodes(spark, sf), V.weighted_edges(spark, sf), 80, 20)[0]
+
+
+@query(f"{_SAMPLE} SELECT source_id, target_id FROM edges WHERE source_id IN (SELECT id FROM s) AND target_id IN (SELECT id FROM s)")
+def graph_sample_edges(spark, sf):
+    return G.sample(V.memory_nodes(spark, sf), V.weighted_edges(spark, sf), 80, 20)[1].select("source_id", "target_id")
+
+
+@query("""WITH t AS (SELECT c_custkey AS agent_id, c_mktsegment AS axis, floor(c_acctbal) / 8192 AS value FROM customer), u AS (SELECT agent_id, CASE WHEN agent_id % 4 = 0 THEN 'NEW' ELSE axis END AS axis, -value AS new FROM t WHERE agent_id % 2 = 0), j AS (SELECT u.agent_id, u.axis, value, new, greatest(-0.1, least(0.1, new - value)) AS s FROM u LEFT JOIN t ON t.agent_id = u.agent_id AND t.axis = u.axis),
+ c AS (SELECT agent_id, CASE WHEN value IS NULL THEN axis || ': new axis (' || printf('%.2f', new) || ')' ELSE axis || ': ' || printf('%.2f', value) || ' → ' || printf('%.2f', greatest(-1, least(1, value + s))) END AS change FROM j WHERE value IS NULL OR abs(new - value) > 0.001
+  UNION ALL SELECT c_custkey, 'new principle: "keep ' || c_mktsegment || '"' FROM customer WHERE c_custkey % 5 >= 3) SELECT agent_id, agent_id % 3 + 1 AS version, change, 'cycle' AS triggered_by FROM c""")
+def identity_changes(spark, sf):
+    customers = V.read(spark, sf, "customer")
+    traits = customers.select(F.col("c_custkey").alias("agent_id"), F.col("c_mktsegment").alias("axis"), (F.floor("c_acctbal") / 8192).alias("value"))
+    new = traits.where("agent_id % 2 = 0").select("agent_id", F.when(F.col("agent_id") % 4 == 0, "NEW").otherwise(F.col("axis")).alias("axis"), (-F.col("value")).alias("value"))
+    principles = customers.select(F.col("c_custkey").alias("agent_id"), F.concat(F.lit("keep "), "c_mktsegment").alias("principle"), F.slice(F.array(*map(F.lit, range(1, 5))), F.lit(1), (F.col("c_custkey") % 5).cast("int")).alias("sources"))
+    versions = customers.select(F.col("c_custkey").alias("agent_id"), (F.col("c_custkey") % 3).alias("version"))
+    return K.identity_history(traits, new, principles, versions, "cycle")
