@@ -11,8 +11,10 @@ from ..sources import views as V
 from .catalog import query
 
 EPISODE_TYPES = ("action", "decision", "event", "discovery")
-#: Items that are no objects, by row, before, between or after the good ones of each answer.
-SPOILED = F.element_at(F.array(*map(F.lit, ('"text",', "null,", '[{"content":"in a list"}],', "7,true,", ""))), (F.col("event_id") % 5 + 1).cast("int"))
+
+def _spoiled() -> Column:
+    """Items that are no objects, by row, before, between or after the good ones of each answer."""
+    return F.element_at(F.array(*map(F.lit, ('"text",', "null,", '[{"content":"in a list"}],', "7,true,", ""))), (F.col("event_id") % 5 + 1).cast("int"))
 
 
 def _answers(spark, sf, *parts: Column | str):
@@ -26,14 +28,14 @@ def _answers(spark, sf, *parts: Column | str):
  'E,' || event_type AS entities, CASE WHEN event_id % 2 = 0 THEN 'p' END AS actors, CASE WHEN event_id % 2 = 1 THEN 'S' END AS subject, CAST(1 AS INTEGER) AS n FROM events""")
 def parse_nodes(spark, sf):
     kind = F.when(F.col("event_id") % 2 == 0, " Episodic ").otherwise(F.col("event_type"))
-    rows = _answers(spark, sf, 'Here:\n```json\n{"nodes":[', SPOILED, '{"nodeType":"', kind, '","frontmatter":" ","summary":" s', F.col("event_id"), ' ","searchKeywords":["a"," b ",""],"relatedEntities":["', F.col("event_type"), '","E"],"metadata":{"confidence":', F.col("event_id") % 3, ',"entities":["E"],"actors":["p"," "],"subject":" S "}},', SPOILED, '{"summary":3}]}\n```')
+    rows = _answers(spark, sf, 'Here:\n```json\n{"nodes":[', _spoiled(), '{"nodeType":"', kind, '","frontmatter":" ","summary":" s', F.col("event_id"), ' ","searchKeywords":["a"," b ",""],"relatedEntities":["', F.col("event_type"), '","E"],"metadata":{"confidence":', F.col("event_id") % 3, ',"entities":["E"],"actors":["p"," "],"subject":" S "}},', _spoiled(), '{"summary":3}]}\n```')
     n = F.col("n")[0]
     return rows.select("event_id", X.nodes(F.col("raw")).alias("n")).select("event_id", n["node_type"].alias("node_type"), n["frontmatter"].alias("frontmatter"), n["summary"].alias("summary"), n["keywords"].alias("keywords"), n["metadata"]["confidence"].alias("confidence"), F.array_join(n["metadata"]["entities"], ",").alias("entities"), F.array_join(n["metadata"]["actors"], ",").alias("actors"), n["metadata"]["subject"].alias("subject"), F.size("n").alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 <= 5 THEN 't' || event_id || ',b' ELSE 'b' END AS titles, CASE WHEN event_id % 10 <= 5 THEN CAST(event_id % 10 AS BIGINT) ELSE 7 END AS first_turn FROM events")
 def parse_episodes(spark, sf):
-    rows = _answers(spark, sf, '```json\n[{"type":"event","title":"b","description":"d","startTurnIndex":7,"endTurnIndex":8,"actors":["x"]},', SPOILED, '{"type":"action","title":" t', F.col("event_id"), ' ","description":"d","startTurnIndex":', F.col("event_id") % 10, ',"endTurnIndex":5,"actors":["", "y"]},{"type":"dream","title":"t","description":"d","startTurnIndex":1,"endTurnIndex":2,"actors":["x"]},{"type":"event","title":"u","description":"d","startTurnIndex":1.5,"endTurnIndex":2,"actors":["x"]},{"type":"event","title":"v","description":"d","startTurnIndex":1,"endTurnIndex":9,"actors":["x"]}]\n```')
+    rows = _answers(spark, sf, '```json\n[{"type":"event","title":"b","description":"d","startTurnIndex":7,"endTurnIndex":8,"actors":["x"]},', _spoiled(), '{"type":"action","title":" t', F.col("event_id"), ' ","description":"d","startTurnIndex":', F.col("event_id") % 10, ',"endTurnIndex":5,"actors":["", "y"]},{"type":"dream","title":"t","description":"d","startTurnIndex":1,"endTurnIndex":2,"actors":["x"]},{"type":"event","title":"u","description":"d","startTurnIndex":1.5,"endTurnIndex":2,"actors":["x"]},{"type":"event","title":"v","description":"d","startTurnIndex":1,"endTurnIndex":9,"actors":["x"]}]\n```')
     found = rows.select("event_id", X.episodes(F.col("raw"), F.lit(8), EPISODE_TYPES).alias("e"))
     return found.select("event_id", F.array_join(F.transform("e", lambda e: e["title"]), ",").alias("titles"), F.col("e")[0]["start_turn"].alias("first_turn"))
 
@@ -49,13 +51,13 @@ def parse_frontmatter(spark, sf):
 @query("SELECT event_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'f' ELSE 's' END AS frontmatter, CASE WHEN event_id % 2 = 0 THEN 'f' ELSE 's' END AS summary, CAST(1 AS INTEGER) AS n FROM events")
 def parse_summaries(spark, sf):
     one = F.when(F.col("event_id") % 2 == 0, '"frontmatter":" f","summary":" "').otherwise('"summary":"s "')
-    rows = _answers(spark, sf, '{"summaries":[', SPOILED, '{"id":" ', F.col("event_id"), ' ",', one, '},{"id":" ","summary":"x"},{"id":"7"}]}')
+    rows = _answers(spark, sf, '{"summaries":[', _spoiled(), '{"id":" ', F.col("event_id"), ' ",', one, '},{"id":" ","summary":"x"},{"id":"7"}]}')
     s = F.col("s")[0]
     return rows.select("event_id", X.summaries(F.col("raw")).alias("s")).select("event_id", s["id"].alias("id"), s["frontmatter"].alias("frontmatter"), s["summary"].alias("summary"), F.size("s").alias("n"))
 
 
 def _decisions(spark, sf):
-    rows = _answers(spark, sf, '```\n{"connect":[', SPOILED, '{"anchorId":"3","weight":', F.col("event_id") % 4, '},{"anchorId":"8"},{"anchorId":"unknown"}],"create":[{"label":" New', F.col("event_id") % 3, ' ","description":"d","anchorType":"', F.col("event_type"), '"},', SPOILED, '{"label":"x"}]}\n```')
+    rows = _answers(spark, sf, '```\n{"connect":[', _spoiled(), '{"anchorId":"3","weight":', F.col("event_id") % 4, '},{"anchorId":"8"},{"anchorId":"unknown"}],"create":[{"label":" New', F.col("event_id") % 3, ' ","description":"d","anchorType":"', F.col("event_type"), '"},', _spoiled(), '{"label":"x"}]}\n```')
     return rows.select("event_id", X.decision(F.col("raw"), F.array(F.lit("3"), F.lit("8"))).alias("decision"))
 
 
@@ -78,7 +80,7 @@ def anchor_link(spark, sf):
 
 @query("SELECT event_id, event_id % 2 = 0 AS isolated, 'connect:3:0.0,create:n:0.5' AS decisions FROM events")
 def parse_judgments(spark, sf):
-    rows = _answers(spark, sf, '{"isolated":', (F.col("event_id") % 2 == 0), ',"decisions":[', SPOILED, '{"action":"connect","anchorId":"3","strength":-2},{"action":"connect","anchorId":"9"},{"action":"create","label":" n ","anchorType":"odd"},{"action":"create","label":" "}]}')
+    rows = _answers(spark, sf, '{"isolated":', (F.col("event_id") % 2 == 0), ',"decisions":[', _spoiled(), '{"action":"connect","anchorId":"3","strength":-2},{"action":"connect","anchorId":"9"},{"action":"create","label":" n ","anchorType":"odd"},{"action":"create","label":" "}]}')
     j = rows.select("event_id", X.judgment(F.col("raw"), F.array(F.lit("3"))).alias("j"))
     show = lambda d: F.concat_ws(":", d["action"], F.coalesce(d["anchor_id"], d["label"]), d["strength"].cast("string"))
     return j.select("event_id", F.col("j.isolated").alias("isolated"), F.array_join(F.transform("j.decisions", show), ",").alias("decisions"))
@@ -86,7 +88,7 @@ def parse_judgments(spark, sf):
 
 @query("SELECT event_id, CAST(least(1, event_id % 3 / 2) AS DOUBLE) AS first, CAST(0 AS DOUBLE) AS second, CAST(2 AS INTEGER) AS n FROM events")
 def parse_rerank(spark, sf):
-    rows = _answers(spark, sf, '```json\n{"scores":[', SPOILED, '{"id":"a","relevance":', (F.col("event_id") % 3 / 2), '},{"id":"x","relevance":1},{"id":"b","relevance":"high"}]}\n```')
+    rows = _answers(spark, sf, '```json\n{"scores":[', _spoiled(), '{"id":"a","relevance":', (F.col("event_id") % 3 / 2), '},{"id":"x","relevance":1},{"id":"b","relevance":"high"}]}\n```')
     s = F.col("s")
     return rows.select("event_id", X.rerank_scores(F.col("raw"), F.array(F.lit("a"), F.lit("b"))).alias("s")).select("event_id", s[0]["relevance"].alias("first"), s[1]["relevance"].alias("second"), F.size("s").alias("n"))
 
