@@ -3,8 +3,8 @@
 Terms are integers. Map tasks count terms by language and source and hand on sums; one exchange by ranges of (language, term)
 then brings all counts of a term, and the terms next to it, into one task. There a language's kept terms of the range form a sorted
 array, searchsorted turns terms into ids and bincount turns counts into one dense vector a source: ranges follow UTF-8 order,
-so do arrays and ids, and ids break ties. Ranges are cut into chunks of at most CELLS cells (terms times sources), which are
-written; once the sizes of languages (V) and groups (N) are known, each chunk yields its part of the sums over all kept terms, dense
+so do arrays and ids, and ids break ties. Ranges are cut into chunks of about CELLS cells (terms times sources; an Arrow batch more at most), which
+are written; once the sizes of languages (V) and groups (N) are known, each chunk yields its part of the sums over all kept terms, dense
 vector against dense vector, and its ten best terms for each group.
 
 For a count c of a group with N kept occurrences in a language of V kept terms, p = 1 + floor(10 ** 9 * (c + 2) / (N + 2 * V)), and
@@ -57,17 +57,19 @@ def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
                 for a in range(0, len(names), 20_000):
                     part = names[a : a + 20_000]
                     same = lambda v: pa.array([v], pa.string()).take(pa.array(np.zeros(len(part), np.int32)))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([same(l), same(s), pa.array(part, pa.binary()), pa.array([counts[t] for t in part], pa.int64()), pa.array([own[t] for t in part], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                    many = lambda c: pa.array(list(map(c.__getitem__, part)), pa.int64())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(l), same(s), pa.array(part, pa.binary()), many(counts), many(own)], ["lang", "source", "term", "n", "docs"])
             n.clear()
             d.clear()
 
         for batch in batches:
             for l, s, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = Counter(terms(value.as_py() or b""))
+                found = terms(value.as_py() or b"")
                 counts, own = n.setdefault((l, s), Counter()), d.setdefault((l, s), Counter())
                 held -= len(counts)
+                # Lists and sets are counted without a step in Python for each term.
                 counts.update(found)
-                own.update(found.keys())
+                own.update(set(found))
                 held += len(counts)
                 if held > HELD:
                     yield from out()
@@ -87,7 +89,7 @@ def chunks(counts: DataFrame, parts: int) -> DataFrame:
     null), and one for each source that has some, with its counts in the order of the terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, rows, sources, distinct, last = None, [], set(), 0, None
+        lang, rows, sources, distinct = None, [], set(), 0
 
         def close() -> Iterator[pa.RecordBatch]:
             if not rows:
@@ -110,21 +112,26 @@ def chunks(counts: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.list_(pa.binary()), pa.string(), pa.list_(pa.int64())), strict=True)], ["lang", "chunk", "terms", "source", "counts"])
 
         for batch in batches:
-            langs, term = batch.column("lang").to_pylist(), np.array(batch.column("term").to_pylist(), object)
+            if not batch.num_rows:
+                continue
+            langs, term = np.array(batch.column("lang").to_pylist(), object), np.array(batch.column("term").to_pylist(), object)
             source, n, docs = np.array(batch.column("source").to_pylist(), object), batch.column("n").to_numpy(), batch.column("docs").to_numpy()
-            # A chunk ends with its language, or at a new term once it is full.
-            begin = 0
-            for i in range(batch.num_rows):
-                new = langs[i] != lang or term[i] != last
-                if new and (langs[i] != lang or (distinct + 1) * len(sources) > CELLS):
-                    if i > begin:
-                        rows.append((term[begin:i], source[begin:i], n[begin:i], docs[begin:i]))
+            begins = np.r_[True, langs[1:] != langs[:-1]]
+            new = begins | np.r_[True, term[1:] != term[:-1]]
+            cuts = [*np.flatnonzero(begins).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if langs[a] != lang:
                     yield from close()
-                    begin, lang, rows, sources, distinct = i, langs[i], [], set(), 0
-                distinct += new
-                last = term[i]
-                sources.add(source[i])
-            rows.append((term[begin:], source[begin:], n[begin:], docs[begin:]))
+                    lang, rows, sources, distinct = langs[a], [], set(), 0
+                distinct += int(new[a:b].sum())
+                sources |= set(source[a:b].tolist())
+                # A full chunk ends before the last term that begins here: more counts of that one may follow.
+                last = a + int(np.flatnonzero(new[a:b])[-1])
+                if distinct * len(sources) > CELLS and last > a:
+                    rows.append((term[a:last], source[a:last], n[a:last], docs[a:last]))
+                    yield from close()
+                    a, rows, sources, distinct = last, [], set(source[last:b].tolist()), 1
+                rows.append((term[a:b], source[a:b], n[a:b], docs[a:b]))
         yield from close()
 
     # Equal keys share a range, so that a chunk has all counts of its terms.
