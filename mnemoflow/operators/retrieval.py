@@ -23,6 +23,7 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10, least: flo
 
 def normalized(hits: DataFrame, score: str = "rank") -> DataFrame:
     """Best rank to 1, worst to 0, a single one to 1; the bounds are one broadcast row."""
+    hits = written(hits.select("id", score), "hits")
     bounds = hits.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     share = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col(score)) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
     return hits.join(F.broadcast(bounds)).select("id", round_to(share).alias("fts_score"))
@@ -55,6 +56,8 @@ def merge_paths(vector: DataFrame, graph: DataFrame, weight: float = 0.6, bonus:
     def ready(df: DataFrame, name: str) -> DataFrame:
         if not minmax:
             return df.select("id", F.col("score").alias(name))
+        # The path is worked out once, for its bounds and its rows.
+        df = written(df.select("id", "score"), "path")
         bounds = df.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
         share = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
         return df.join(F.broadcast(bounds)).select("id", share.alias(name))
@@ -179,7 +182,7 @@ def chunk_search(vectors: DataFrame, superseded: DataFrame, query: list[float],
 def recall(text: Text, vectors: DataFrame, edges: DataFrame, terms: list[str], query: list[float], now: float, k: int = 20) -> DataFrame:
     """Both paths: similar rows and what the graph reaches from the text's best rows, merged; (id, score, n_sources, depth)."""
     near = vector_top_k(vectors, query, 30)
-    seeds = hybrid(text, vectors, terms, query, now, k=10, least=0.01)
+    seeds = written(hybrid(text, vectors, terms, query, now, k=10, least=0.01), "seeds")
     reached = expand_results(edges, seeds, seeds.limit(0)).orderBy(F.col("score").desc(), "id").limit(50)
-    merged = merge_paths(near, seeds.unionByName(reached), k=k)
+    merged = written(merge_paths(near, seeds.unionByName(reached), k=k), "merged")
     return merged.join(with_depth(merged, text.nodes), "id")

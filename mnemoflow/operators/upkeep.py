@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, combined_decay, cosine, edge_decay, jaccard, lazy_weight, reinforce, round_to, temporal_proximity, time_decay, usage_decay
+from ..functions.scalars import clamp, combined_decay, cosine, edge_decay, effective_shield, jaccard, lazy_weight, reinforce, round_to, temporal_proximity, time_decay, usage_decay
 
 #: Orders of edges; ties go by the ends.
 EDGE_ORDERS = {
@@ -27,6 +27,20 @@ def edges_page(edges: DataFrame, order: str = "weight_desc", offset: int = 0, li
     return page(edges, way(column), "source_id", "target_id", offset=offset, limit=limit)
 
 
+MONITORED = ("weight", "effective_weight", "shield", "effective_shield", "activation_count", "decay_rate", "last_event")
+
+
+def monitor(edges: DataFrame, now: float, by: str = "effective_weight", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of edges by one of MONITORED, with weight and shield as they are after lazy decay (to four places) and the number of all edges."""
+    gap = F.greatest(now - F.col("last_event"), F.lit(0.0))
+    idle = (gap <= 0) | (F.col("decay_rate") <= 0)
+    shield = F.when(idle, F.col("shield")).otherwise(effective_shield(F.col("shield"), gap))
+    own = edges.withColumn("effective_weight", round_to(lazy_weight(F.col("weight"), F.col("shield"), F.col("decay_rate"), gap))).withColumn("effective_shield", round_to(shield))
+    if by not in MONITORED:
+        raise ValueError(f"edges are not ordered by {by}")
+    return page(own, F.col(by).desc() if descending else F.col(by), "source_id", "target_id", offset=offset, limit=limit)
+
+
 def node_totals(nodes: DataFrame) -> DataFrame:
     """(by, value, n) of nodes(node_type, node_role): all nodes, by role, and by type (null as `none`), in one pass."""
     each = nodes.select(F.explode(F.array(*(F.struct(F.lit(b).alias("by"), v.alias("value")) for b, v in (("all", F.lit("")), ("role", F.coalesce("node_role", F.lit("none"))), ("type", F.coalesce("node_type", F.lit("none"))))))).alias("k"))

@@ -12,7 +12,7 @@ from ..operators import extract as X
 from ..sources import views as V
 from ..sources.shared import written
 from .catalog import query, r4
-from .more import _ENT
+from .more import _ENT, _MENTION, _mentions, _NAMED
 
 DIMS = 32
 
@@ -169,3 +169,15 @@ def hub_pipeline_links(spark, sf):
     made = E.new_hubs(found, entities).select(F.col("id").alias("source_id"), F.lit(True).alias("is_new"))
     edges = E.hub_edges(_mentioned(spark, sf), found, 0.5, from_hub=True).join(found.select(F.col("hub_id").alias("source_id"), "hub_label").distinct(), "source_id").join(made, "source_id", "left")
     return edges.groupBy(F.col("target_id").alias("id"), "hub_label", "weight").agg(F.bool_or(F.coalesce("is_new", F.lit(False))).alias("is_new"))
+
+
+@query(f"""WITH {_MENTION}, k AS (SELECT m.entity, n, nodes, label, {_NAMED} AS named, {embed_sql('label', DIMS)} AS v FROM m JOIN l ON l.entity = m.entity WHERE length(m.entity) >= 2), k1 AS (SELECT * REPLACE ({unit_sql('v')} AS v) FROM k),
+ h AS (SELECT doc_id AS hub_id, split_part(text, ' ', 1) AS hub_label FROM documents WHERE doc_id % 20 = 0 AND split_part(text, ' ', 1) <> ''), hv AS (SELECT hub_id, {embed_sql('lower(hub_label)', DIMS)} AS v FROM h), h1 AS (SELECT hub_id, {unit_sql('v')} AS v FROM hv),
+ pr AS (SELECT k1.entity, k1.label, hub_id, list_sum(list_transform(range(1, {DIMS + 1}), lambda i: k1.v[i] * h1.v[i])) AS s FROM k1, h1), nr AS (SELECT entity, label, hub_id, {r4('s')} AS s FROM pr WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY {r4('s')} DESC, hub_id) = 1),
+ al AS (SELECT entity, label, 'existing' AS kind, hub_id, s AS confidence FROM nr QUALIFY row_number() OVER (PARTITION BY hub_id ORDER BY s DESC, entity) = 1 UNION ALL
+  SELECT entity, label, 'new', NULL, floor(least(1, 0.5 + CASE WHEN named THEN 0.2 ELSE 0 END + CASE WHEN nodes >= 3 THEN 0.15 WHEN nodes >= 2 THEN 0.1 ELSE 0 END + CASE WHEN n >= 3 THEN 0.1 ELSE 0 END) * 1e4 + 0.5) / 1e4 FROM k1 WHERE entity NOT IN (SELECT entity FROM nr)) SELECT entity, label, kind, hub_id, confidence FROM al ORDER BY confidence DESC, entity LIMIT 60""")
+def hub_candidates_known(spark, sf):
+    """Candidates that known hubs stand for already, and new ones."""
+    found = _mentions(spark, sf).withColumn("embedding", S.hash_embedding(F.col("label"), DIMS))
+    hubs = V.memory_nodes(spark, sf).where("node_role = 'hub'").select("id", F.substring_index("content", " ", 1).alias("label")).where("label <> ''").select("id", S.hash_embedding(F.lower("label"), DIMS).alias("embedding"))
+    return E.known_or_new_hubs(found, hubs, 60)

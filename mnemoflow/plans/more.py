@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import weights as W
 from ..sources import views as V
 from ..streaming import events as T
-from .catalog import _FTS200, _HYBRID, _UND, _bm25_sql, _hybrid, _seeds, _W, by, COS, first_vector, NOW, Q0, query, r4, TERMS, text_index, unit_edges
+from .catalog import _FTS200, _HYBRID, _TOP, _UND, _bm25_sql, _hybrid, _seeds, _W, by, COS, first_vector, NOW, Q0, query, r4, TERMS, text_index, unit_edges
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -275,8 +275,15 @@ def context_text(spark, sf):
     return K.context_text(_hybrid(spark, sf).join(texts, "id"), chars=600)
 
 
-@query()
+_SHARE = "SELECT id, CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1.0 END AS s FROM {}"
+
+
+@query(f"""{V.with_views('nodes', 'edges')}, {_HYBRID}, {_TOP}, {_UND}, h10 AS (SELECT id, score FROM hy ORDER BY score DESC, id LIMIT 10), t1 AS (SELECT u.dst AS id, max(score * w * 0.7) AS s FROM h10 JOIN u ON u.src = h10.id WHERE w >= 0.1 AND score * w * 0.7 >= 0.05 GROUP BY 1), t2 AS (SELECT u.dst AS id, max(s * w * 0.7) AS s FROM t1 JOIN u ON u.src = t1.id WHERE w >= 0.1 AND s * w * 0.7 >= 0.05 GROUP BY 1),
+ tr AS (SELECT id, {r4('max(s)')} AS s FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) GROUP BY 1), rc AS (SELECT id, {r4('s * 0.8')} AS score FROM tr WHERE id NOT IN (SELECT id FROM h10) ORDER BY score DESC, id LIMIT 50), g0 AS (SELECT id, score FROM h10 UNION ALL SELECT id, score FROM rc), v AS ({_SHARE.format('vt')}), g AS ({_SHARE.format('g0')}),
+ m AS (SELECT coalesce(v.id, g.id) AS id, {r4('least(greatest(CASE WHEN g.s IS NULL THEN 0.6 * v.s WHEN v.s IS NULL THEN 0.4 * g.s ELSE 0.6 * v.s + 0.4 * g.s + 0.1 END, 0), 1)')} AS score, CASE WHEN v.id IS NULL OR g.id IS NULL THEN 1 ELSE 2 END AS n_sources FROM v FULL JOIN g ON v.id = g.id),
+ fi AS (SELECT *, row_number() OVER (ORDER BY score DESC, n_sources DESC, id) AS p, row_number() OVER (ORDER BY score DESC, id) AS d FROM m WHERE score >= 0.05 QUALIFY p <= 20), dp AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS d5 FROM fi) SELECT id, score, n_sources, CASE WHEN id NOT IN (SELECT id FROM nodes) THEN 'L0' WHEN d5 <= 5 THEN 'L2' ELSE 'L1' END AS depth FROM dp""")
 def recall(spark, sf):
+    """Both paths: similar rows, and what the graph reaches from the text's best rows."""
     return R.recall(text_index(spark, sf), _vectors(spark, sf), unit_edges(spark, sf), TERMS, first_vector(spark, sf), NOW)
 
 

@@ -201,3 +201,27 @@ def identity_changes(spark, sf):
     principles = customers.select(F.col("c_custkey").alias("agent_id"), F.concat(F.lit("keep "), "c_mktsegment").alias("principle"), F.slice(F.array(*map(F.lit, range(1, 5))), F.lit(1), (F.col("c_custkey") % 5).cast("int")).alias("sources"))
     versions = customers.select(F.col("c_custkey").alias("agent_id"), (F.col("c_custkey") % 3).alias("version"))
     return K.identity_history(traits, new, principles, versions, "cycle")
+
+
+def _monitor(order: str) -> str:
+    gap = f"greatest({NOW} - last_event, 0)"
+    return f"{_E}, x AS (SELECT source_id, target_id, last_event, {r4(_EFFECTIVE)} AS effective_weight, {r4(f'CASE WHEN {gap} <= 0 OR decay_rate <= 0 THEN shield ELSE greatest(shield - 0.5 * {gap}, 0) END')} AS effective_shield FROM edges) SELECT source_id, target_id, effective_weight, effective_shield, last_event, (SELECT count(*) FROM x) AS total FROM x ORDER BY {order}, source_id, target_id LIMIT 25 OFFSET 50"
+
+
+def _monitored(spark, sf, by, descending):
+    return U.monitor(V.weighted_edges(spark, sf), NOW, by, descending, 50, 25).select("source_id", "target_id", "effective_weight", "effective_shield", "last_event", "total")
+
+
+@query(_monitor("effective_weight DESC"))
+def edge_monitor_effective(spark, sf):
+    return _monitored(spark, sf, "effective_weight", True)
+
+
+@query(_monitor("effective_shield DESC"))
+def edge_monitor_shield(spark, sf):
+    return _monitored(spark, sf, "effective_shield", True)
+
+
+@query(_monitor("last_event"))
+def edge_monitor_oldest(spark, sf):
+    return _monitored(spark, sf, "last_event", False)
