@@ -121,13 +121,14 @@ class Postings:
     def _tf(self, q: Query, i: int, of) -> Column:
         return sum((w * of(c) for c, w in q.columns(i)), F.lit(0.0))
 
-    def _statistics(self, q: Query) -> tuple[float, list[int]]:
-        """Mean length in the query's columns, and for each term how many rows hold it there; one row a term reaches the driver."""
+    def _statistics(self, q: Query) -> tuple[float, list[int], int]:
+        """Mean length in the query's columns, for each term how many rows hold it there, and how many blocks there are to read; one row a term
+        reaches the driver."""
         held = lambda i: F.size(F.filter("docs", lambda d: self._tf(q, i, lambda c: d[f"tf_{c}"]) > 0))
         holds = {t: held(i) for i, t in enumerate(q.terms)}
         size = F.coalesce(*(F.when(F.col("term") == t, x) for t, x in holds.items())) if holds else F.lit(0)
-        found = dict(self._of(q).groupBy("term").agg(F.sum(size)).collect()) if q.terms else {}
-        return sum(self.lengths[c] for c, _ in q.weights) / max(1, self.n) or 1.0, [found.get(t, 0) for t in q.terms]
+        found = {r[0]: (r[1], r[2]) for r in self._of(q).groupBy("term").agg(F.sum(size), F.count("*")).collect()} if q.terms else {}
+        return sum(self.lengths[c] for c, _ in q.weights) / max(1, self.n) or 1.0, [found.get(t, (0, 0))[0] for t in q.terms], sum(n for _, n in found.values())
 
     def _hits(self, q: Query, rows: DataFrame, mean: float, found: list[int], keep: Column | None) -> DataFrame:
         own = rows.select("term", F.inline("docs"))
@@ -138,7 +139,7 @@ class Postings:
 
     def hits(self, terms: Sequence[str], every: bool = False, weights: dict[str, float] | None = None, keep: Column | None = None, first_in: str | None = None) -> DataFrame:
         q = _query(terms, every, weights, first_in)
-        return self._hits(q, self._of(q), *self._statistics(q), keep)
+        return self._hits(q, self._of(q), *self._statistics(q)[:2], keep)
 
     def bounds(self, q: Query, mean: float, found: list[int]) -> DataFrame:
         """(block, bound): no document of the block has a better rank than -bound."""
@@ -151,7 +152,10 @@ class Postings:
     def best(self, terms: Sequence[str], k: int, every: bool = False, weights: dict[str, float] | None = None, keep: Column | None = None, first_in: str | None = None) -> DataFrame:
         """The k best hits: the k blocks of the highest bounds are read first; their k-th rank leaves out the blocks that cannot reach it."""
         q = _query(terms, every, weights, first_in)
-        mean, found = self._statistics(q)
+        mean, found, blocks = self._statistics(q)
+        if blocks <= 2 * k:
+            # The first step would read most of them.
+            return best(self._hits(q, self._of(q), mean, found, keep), k)
         bounds = self.bounds(q, mean, found)
         first = bounds.orderBy(F.col("bound").desc(), "block").limit(k)
         seen = best(self._hits(q, self._of(q).join(first, "block", "left_semi"), mean, found, keep), k)

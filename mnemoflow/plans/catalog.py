@@ -173,7 +173,8 @@ _INDEXES: dict[tuple, FT.Postings] = {}
 
 def text_index(spark, sf) -> FT.Postings:
     """The postings of the nodes' texts; they are built once for a state of the table's files."""
-    seen = V.read(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    seen = V.read(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    # Sums over rows, which need no shuffle of them: they change with the files and with the rows of each.
     state = seen.agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size"), F.sum(F.hash("file_path", "file_modification_time").cast("long"))).first()
     key = (spark.sparkContext.applicationId, sf, *state)
     if key not in _INDEXES:
