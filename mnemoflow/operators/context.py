@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 #: The groups of nodes in their order, with title and tag, and the words that begin and end each form.
 GROUPS = (
     ("semantic", "Semantic Knowledge", "knowledge"),
@@ -107,7 +109,7 @@ def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: st
     level, own, named = F.col("level"), F.col("items"), F.col("anchors")
     via = lambda x: F.array_join(x["via"], ", ")
     some = lambda x: F.coalesce(F.size(x["via"]) > 0, F.lit(False))
-    fixed = lambda c, f="%.3f": F.format_string(f, c)
+    fixed = lambda c, digits=3: S.fixed(c, digits)
     if style == "xml":
         def line(x: Column, g: tuple) -> Column:
             attrs = F.concat(F.lit(' depth="'), x["depth"], F.lit('"'), F.concat(F.lit(' score="'), fixed(x["score"]), F.lit('"')) if scores else F.lit(""), F.when(x["category"] != "", F.concat(F.lit(' category="'), escape_xml(x["category"]), F.lit('"'))).otherwise(""))
@@ -124,13 +126,13 @@ def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: st
             marks = F.concat_ws(" | ", x["depth"], F.concat(F.lit("score: "), fixed(x["score"])) if scores else F.lit(None).cast("string"), F.when(some(x), F.concat(F.lit("via: "), via(x))))
             return F.concat(F.lit("- "), _shown(x, level), F.lit(" _("), marks, F.lit(")_"))
 
-        one = lambda a: F.concat(a["label"], F.concat(F.lit(" ("), fixed(a["similarity"] * 100, "%.0f"), F.lit("%)"))) if scores else a["label"]
+        one = lambda a: F.concat(a["label"], F.concat(F.lit(" ("), fixed(a["similarity"] * 100, 0), F.lit("%)"))) if scores else a["label"]
         head = F.when(F.size(named) > 0, F.array(F.concat(F.lit("**Activated anchors:** "), F.array_join(F.transform(named, one), ", ")), F.lit(""))).otherwise(F.array().cast("array<string>"))
         lines = F.concat(F.array(*map(F.lit, ("## Memory Context", "", RECALLED["markdown"], ""))), head, _grouped(own, lambda g: f"### {g[1]}", line, lambda g: ""))
     else:
         head = F.when(F.size(named) > 0, F.array(F.concat(F.lit("Anchors: "), F.array_join(F.transform(named, lambda a: a["label"]), ", ")), F.lit(""))).otherwise(F.array().cast("array<string>"))
         kind = lambda x: F.coalesce(x["node_type"], F.lit("other"))
-        each = F.transform(own, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), F.upper(F.substring(kind(x), 1, 1)), F.substring(kind(x), 2, 1 << 20), F.lit("/"), x["depth"], F.lit(") "), _shown(x, level), F.concat(F.lit(" ["), fixed(x["score"] * 100, "%.0f"), F.lit("%]")) if scores else F.lit(""), F.when(some(x), F.concat(F.lit(" (via: "), via(x), F.lit(")"))).otherwise("")))
+        each = F.transform(own, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), F.upper(F.substring(kind(x), 1, 1)), F.substring(kind(x), 2, 1 << 20), F.lit("/"), x["depth"], F.lit(") "), _shown(x, level), F.concat(F.lit(" ["), fixed(x["score"] * 100, 0), F.lit("%]")) if scores else F.lit(""), F.when(some(x), F.concat(F.lit(" (via: "), via(x), F.lit(")"))).otherwise("")))
         lines = F.concat(F.array(F.lit(RECALLED["plain"]), F.lit("")), head, each)
     return _finished(rows, F.array_join(lines, "\n"), F.when(F.size(own) == 0, F.lit("full" if detail == "adaptive" else detail)).otherwise(level), chars, style)
 
@@ -138,7 +140,7 @@ def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: st
 def node_context(items: DataFrame, style: str = "xml", most: int = 15, chars: int = 4000, least: float = 0.0, scores: bool = False, metadata: bool = False) -> DataFrame:
     """One row (text, n_items, truncated, detail) of merged items in the form xml, markdown or json: each item shows what its own depth holds."""
     rows, own = _list(items, most, least), F.col("items")
-    fixed = lambda c: F.format_string("%.3f", c)
+    fixed = lambda c: S.fixed(c, 3)
     has = lambda x: (_metadata(x) != "") if metadata else F.lit(False)
     if style == "xml":
         def line(x: Column, g: tuple) -> Column:
