@@ -85,19 +85,19 @@ def _line(line, g):
     return lambda x: line(x, g)
 
 
-def cut(text: Column, most: int, style: str) -> Column:
-    """The text, or as much of it as fits with the closing of its form."""
+def cut(text: Column, most: int, style: str, spare: int = 0) -> Column:
+    """The text, or as much of it as fits with the closing of its form and `spare` places that stay free."""
     closing = CLOSING.get(style, "")
     closing = closing if most > len(closing) else ""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(closing)), F.lit(closing))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(closing) - spare), F.lit(closing))).otherwise(text)
 
 
-def _finished(rows: DataFrame, text: Column, level: Column, most: int, style: str) -> DataFrame:
+def _finished(rows: DataFrame, text: Column, level: Column, most: int, style: str, spare: int) -> DataFrame:
     none = F.size("items") == 0
-    return rows.select(F.when(none, "").otherwise(cut(text, most, style)).alias("text"), F.size("items").alias("n_items"), (~none & (F.length(text) > most)).alias("truncated"), level.alias("detail"))
+    return rows.select(F.when(none, "").otherwise(cut(text, most, style, spare)).alias("text"), F.size("items").alias("n_items"), (~none & (F.length(text) > most)).alias("truncated"), level.alias("detail"))
 
 
-def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: str = "xml", detail: str = "adaptive", most: int = 15, chars: int = 4000, threshold: int = 2000, least: float = 0.0, scores: bool = False) -> DataFrame:
+def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: str = "xml", detail: str = "adaptive", most: int = 15, chars: int = 4000, threshold: int = 2000, least: float = 0.0, scores: bool = False, spare: int = 0) -> DataFrame:
     """One row (text, n_items, truncated, detail) of recalled items(id, score, content[, node_type, node_role, frontmatter, summary, depth, category,
     entities, via]) in the form xml, markdown or plain. anchors(label, similarity) are those that were activated, a bounded list; `via` holds
     the labels by which an item was found."""
@@ -134,10 +134,10 @@ def recall_context(items: DataFrame, anchors: DataFrame | None = None, style: st
         kind = lambda x: F.coalesce(x["node_type"], F.lit("other"))
         each = F.transform(own, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), F.upper(F.substring(kind(x), 1, 1)), F.substring(kind(x), 2, 1 << 20), F.lit("/"), x["depth"], F.lit(") "), _shown(x, level), F.concat(F.lit(" ["), fixed(x["score"] * 100, 0), F.lit("%]")) if scores else F.lit(""), F.when(some(x), F.concat(F.lit(" (via: "), via(x), F.lit(")"))).otherwise("")))
         lines = F.concat(F.array(F.lit(RECALLED["plain"]), F.lit("")), head, each)
-    return _finished(rows, F.array_join(lines, "\n"), F.when(F.size(own) == 0, F.lit("full" if detail == "adaptive" else detail)).otherwise(level), chars, style)
+    return _finished(rows, F.array_join(lines, "\n"), F.when(F.size(own) == 0, F.lit("full" if detail == "adaptive" else detail)).otherwise(level), chars, style, spare)
 
 
-def node_context(items: DataFrame, style: str = "xml", most: int = 15, chars: int = 4000, least: float = 0.0, scores: bool = False, metadata: bool = False) -> DataFrame:
+def node_context(items: DataFrame, style: str = "xml", most: int = 15, chars: int = 4000, least: float = 0.0, scores: bool = False, metadata: bool = False, spare: int = 0) -> DataFrame:
     """One row (text, n_items, truncated, detail) of merged items in the form xml, markdown or json: each item shows what its own depth holds."""
     rows, own = _list(items, most, least), F.col("items")
     fixed = lambda c: S.fixed(c, 3)
@@ -158,4 +158,4 @@ def node_context(items: DataFrame, style: str = "xml", most: int = 15, chars: in
         entry = lambda x: F.struct(_by_depth(x).alias("content"), x["depth"].alias("depthLevel"), x["node_type"].alias("nodeType"), F.when(x["frontmatter"] != "", x["frontmatter"]).alias("frontmatter"), F.when((x["depth"] != "L0") & (x["summary"] != ""), x["summary"]).alias("summary"), *([x["score"].alias("score")] if scores else []))
         group = lambda g: F.filter(own, lambda x: x["group"] == g)
         lines = F.array(F.to_json(F.struct(F.struct(*(F.when(F.size(group(g)) > 0, F.transform(group(g), entry)).alias(g) for g, *_ in GROUPS)).alias("memoryContext"))))
-    return _finished(rows, F.array_join(lines, "\n"), F.lit("depth"), chars, style)
+    return _finished(rows, F.array_join(lines, "\n"), F.lit("depth"), chars, style, spare)
