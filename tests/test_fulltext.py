@@ -81,3 +81,16 @@ def test_match_expressions(spark):
     rows = [(0, ' Foo "bar" -- baz '), (1, "--- !"), (2, ""), (3, None)]
     got = [r["m"] for r in spark.createDataFrame(rows, "i int, s string").select("i", S.match_expression(F.col("s")).alias("m")).orderBy("i").collect()]
     assert got == ['"foo" OR """bar""" OR "baz"', None, None, None]
+
+
+def test_parts_grow_with_the_tokens_and_a_term_of_every_row_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(T, "PART", 500)
+    monkeypatch.setattr(T, "RANGE", 2)
+    rows = [(i, f"the n{i % 7}", "en", f"the The text {i} thé en") for i in range(1500)]
+    table = spark.createDataFrame(rows, "id long, frontmatter string, keywords string, summary string").repartition(8)
+    index = T.Postings.build(table)
+    files = index.postings.select("term", F.input_file_name().alias("file"))
+    # 9 tokens a row in parts of 500: 27 parts at least.
+    assert index.postings.where("term = 'the'").count() == 24 and files.where("term = 'the'").select("file").distinct().count() > 6
+    docs = index.postings.where("term = 'the'").select(F.inline("docs")).where("id = 3").collect()
+    assert [(d.tf_frontmatter, d.tf_keywords, d.tf_summary, d.len_frontmatter, d.len_keywords, d.len_summary) for d in docs] == [(1, 0, 3, 2, 1, 6)]
