@@ -49,7 +49,7 @@ def concept_answers(spark, sf) -> DataFrame:
     alias = lambda w: F.concat(F.substring(w, 1, 2), F.lit("#"))
     beside = lambda i, k, f: F.coalesce(F.filter(F.transform(F.slice("w", F.greatest(i + 1 + k, F.lit(1)), F.when(i + k < 0, 0).otherwise(1)), f), lambda x: x.isNotNull()), F.array().cast("array<string>"))
     one = F.transform("w", lambda w, i: F.struct(w.alias("name"), F.lit("d").alias("description"), F.array(alias(w), F.substring(w, -3, 3)).alias("aliases"), (F.pmod(F.length(w) * 7 + F.ascii(w), F.lit(11)) / 10).alias("relevance"), F.concat(beside(i, 1, lambda x: x), beside(i, -1, alias)).alias("relatedConcepts")))
-    rows = V.read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), words.alias("w"))
+    rows = V.dealt(V.read(spark, sf, "conversations").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("conv_id"), words.alias("w"))
     raw = F.regexp_replace(F.to_json(F.struct(one.alias("concepts"))), r"^\{\"concepts\":\[", '{"concepts":["text",{"name":"no more"},')
     return rows.where(F.size("w") > 0).select("conv_id", F.concat(F.lit("```json\n"), raw, F.lit("\n```")).alias("raw"))
 
@@ -63,7 +63,7 @@ def _known(spark, sf) -> DataFrame:
 def _kept(spark, sf) -> DataFrame:
     # Answers stand in a table, as they would, and are read once.
     raw = written(concept_answers(spark, sf), "answers")
-    found = raw.select("conv_id", X.concepts(F.col("raw")).alias("c")).select("conv_id", F.posexplode("c").alias("place", "c"))
+    found = V.dealt(raw).select("conv_id", X.concepts(F.col("raw")).alias("c")).select("conv_id", F.posexplode("c").alias("place", "c"))
     return K.extract_concepts(written(found.select("conv_id", "place", "c.*"), "concepts"), _known(spark, sf))
 
 
