@@ -38,9 +38,14 @@ def blank(s: Column) -> Column:
     return s.isNull() | (trim(s) == "")
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """`made` of a value that is worked out once, however often it is named: within lambdas Spark shares no common parts."""
+    return F.transform(F.array(value), made)[0]
+
+
 def filled(s: Column) -> Column:
     """The trimmed text, or null where nothing is left."""
-    return F.when(~blank(s), trim(s))
+    return once(trim(s), lambda t: F.when(t != "", t))
 
 
 # Values of an answer: a VARIANT is read by the kind that it has, so that a value of another kind spoils itself alone.
@@ -54,7 +59,8 @@ def kind(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+    """Only an object is read as a map; its kind would name the kinds of all that is in it."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_number(v: Column) -> Column:
@@ -63,11 +69,11 @@ def is_number(v: Column) -> Column:
 
 def text(v: Column) -> Column:
     """A text; null for a value of another kind."""
-    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return once(v, lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
 def number(v: Column) -> Column:
-    return F.when(is_number(v), F.try_variant_get(v, "$", "double"))
+    return once(v, lambda x: F.when(is_number(x), F.try_variant_get(x, "$", "double")))
 
 
 def scalar(v: Column) -> Column:
@@ -90,7 +96,7 @@ def truthy(v: Column) -> Column:
 
 def each(v: Column) -> Column:
     """array<variant>: the items of a list; null for a value of another kind."""
-    return F.when(kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def texts(v: Column, whole: bool = False) -> Column:
@@ -126,13 +132,12 @@ def items(raw: Column, key: str) -> Column:
 
 
 def one_of(s: Column, known: tuple[str, ...], other: str | None) -> Column:
-    own = F.lower(trim(s))
-    return F.when(own.isin(*known), own).otherwise(F.lit(other))
+    return once(F.lower(trim(s)), lambda own: F.when(own.isin(*known), own).otherwise(F.lit(other)))
 
 
 def share(x: Column, other: float | None) -> Column:
     """x between 0 and 1; `other` for what is no number."""
-    return F.when(x.isNull() | F.isnan(x), F.lit(other).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    return once(x, lambda x: F.when(x.isNull() | F.isnan(x), F.lit(other).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
 
 
 def _each(found: Column, keep: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
@@ -156,7 +161,9 @@ def nodes(raw: Column) -> Column:
     front, summary = (lambda n, c=c: filled(text(at(n, c))) for c in ("frontmatter", "summary"))
 
     def made(n: Column) -> Column:
-        kind_, m = one_of(text(at(n, "nodeType")), NODE_TYPES, "semantic"), at(n, "metadata")
+        return once(F.struct(one_of(text(at(n, "nodeType")), NODE_TYPES, "semantic").alias("kind"), at(n, "metadata").alias("m")), lambda own: node(n, own["kind"], own["m"]))
+
+    def node(n: Column, kind_: Column, m: Column) -> Column:
         there = is_object(m)
         read = {"string": lambda v: filled(text(v)), "array<string>": texts, "double": lambda v: share(number(v), None)}
         own = [F.when((kind_ == t) & there, read[k](at(m, c))).alias(c) for t, fields in METADATA.items() for c, k in fields.items()]

@@ -20,7 +20,7 @@ def _spoiled() -> Column:
 def _answers(spark, sf, *parts: Column | str):
     """event_id and an answer of literal texts and columns."""
     raw = F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    return V.read(spark, sf, "events").select("event_id", "event_type", raw.alias("raw"))
+    return V.dealt(V.read(spark, sf, "events").select("event_id", "event_type")).select("event_id", "event_type", raw.alias("raw"))
 
 
 
