@@ -23,3 +23,8 @@ def both_forms(name, spark, sf_dir, monkeypatch):
 def test_simulated_edges_lie_in_parts_that_do_not_grow(spark, sf_dir, monkeypatch):
     most, parted, plain = both_forms("decay_simulation_events", spark, sf_dir, monkeypatch)
     assert most <= 2 * ROWS and parted == plain
+
+
+def test_reinforced_edges_lie_in_parts_that_do_not_grow(spark, sf_dir, monkeypatch):
+    most, parted, plain = both_forms("edge_reinforce_batch", spark, sf_dir, monkeypatch)
+    assert most <= 2 * ROWS and parted == plain
