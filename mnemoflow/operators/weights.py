@@ -65,15 +65,22 @@ def merge_updates(edges: DataFrame, updates: DataFrame, strategy: str = "average
     return joined.select(*keys, round_to(F.when(F.col("part").isNull(), F.col("weight")).otherwise(new)).alias("weight"))
 
 
-def pair_counts(events: DataFrame, most: int = 20) -> DataFrame:
+def pair_counts(events: DataFrame, most: int = 20, parts: int = 0) -> DataFrame:
     """(a, b, frequency, first_seen, last_seen) of unordered pairs within the first `most` items of an event.
 
-    An event gives at most most * (most - 1) / 2 pairs; counts are summed before the shuffle.
+    An event gives at most most * (most - 1) / 2 pairs; counts are summed before the shuffle. With `parts`, events(.., shard) lie in that
+    many partitions by their shard; counts are summed within a shard and dealt into twice as many, whatever the session's number is.
     """
-    own = events.where(F.size("nodes") >= 2).select("event_id", F.slice("nodes", 1, most).alias("nodes"))
-    left = own.select("event_id", "nodes", F.posexplode("nodes").alias("at", "x"))
-    pairs = left.select("event_id", "x", F.explode(F.expr("slice(nodes, at + 2, size(nodes))")).alias("y"))
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("frequency"), F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"))
+    shard = ["shard"] * bool(parts)
+    own = events.where(F.size("nodes") >= 2).select(*shard, "event_id", F.slice("nodes", 1, most).alias("nodes"))
+    left = own.select(*shard, "event_id", "nodes", F.posexplode("nodes").alias("at", "x"))
+    each = left.select(*shard, "event_id", "x", F.explode(F.expr("slice(nodes, at + 2, size(nodes))")).alias("y"))
+    pairs = each.select(*shard, "event_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    counts = pairs.groupBy(*shard, "a", "b").agg(F.count("*").alias("frequency"), F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"))
+    if not parts:
+        return counts
+    dealt = counts.drop("shard").repartition(2 * parts, "a", "b")
+    return dealt.groupBy("a", "b").agg(F.sum("frequency").alias("frequency"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def hebbian(pairs: DataFrame, activations: DataFrame, rate: float = 0.1) -> DataFrame:
