@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words by a rank map, and decoding by pieces.
 
-There are two forms with equal results. `transcode` (the query's) folds in Arrow batches: each task folds a distinct word
-once, remembers a bounded number of words, and decodes by concatenating the pieces of the ids. `encode` and `decode` are the
+There are two forms with equal results. `transcode` (the query's) folds in Arrow batches: each Python worker folds a
+frequent word once, remembers a bounded number of words from task to task, and decodes by concatenating the pieces of the ids. `encode` and `decode` are the
 form in Spark's higher-order functions; its folds of rare words cost several times the time that the task's limits leave
 (figures in the README), so that the query takes the other form.
 
@@ -152,17 +152,17 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     if len(word) <= 24:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        near = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        # Ends of the parts; near[i] is the rank of parts i and i + 1 as one.
+        get, ends = ranks.get, list(range(len(word) + 1))
+        near = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
         while near and (low := min(near)) != NONE:
             at = near.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del near[at]
+            del ends[at + 1], near[at]
             if at:
-                near[at - 1] = ranks.get(parts[at - 1] + parts[at], NONE)
+                near[at - 1] = get(word[ends[at - 1] : ends[at + 1]], NONE)
             if at < len(near):
-                near[at] = ranks.get(parts[at] + parts[at + 1], NONE)
-        return [ranks[p] for p in parts]
+                near[at] = get(word[ends[at] : ends[at + 2]], NONE)
+        return [ranks[word[i:j]] for i, j in zip(ends, ends[1:], strict=False)]
     # Long words: a heap of pairs over a linked list, in n log n.
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -185,24 +185,42 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Words(dict):
-    """(ids, ids as decimal text, decoded bytes) by word; remembers a bounded number of words."""
+    """(ids as decimal text, decoded bytes) by word; remembers a bounded number of words.
+
+    When `most` are known they become the older ones, in place of those before; a word that is met again moves to the newer
+    ones, so that frequent words are folded once however many rare ones pass. Longer words than `longest` are not remembered.
+    """
+
+    longest = 256
 
     def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         super().__init__()
-        self.ranks, self.most = ranks, most
+        self.ranks, self.most, self.older = ranks, most, {}
         self.pieces = {r: t for t, r in ranks.items()}
 
     def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            ids = merge(word.encode("utf-8", "surrogatepass"), self.ranks)
+            value = " ".join(map(str, ids)), self.decode(ids)
+        if len(word) > self.longest:
+            return value
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = merge(word.encode("utf-8", "surrogatepass"), self.ranks)
-        value = self[word] = ids, " ".join(map(str, ids)), self.decode(ids)
+        self[word] = value
         return value
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+@cache
+def words_of(path: str) -> Words:
+    """The words that a Python worker knows; its tasks share them."""
+    return Words(read_ranks(path))
+
+
 def transcode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True) -> DataFrame:
     """The columns `keep`, n_tokens, ids_sha256 (of the decimal ids joined by spaces), decoded_sha256 and, if wanted, ids and decoded (binary)."""
     base = docs.select(*keep, F.col(text).alias("_text"))
@@ -210,17 +228,18 @@ def transcode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text",
     def run(batches):
         import regex
 
-        known, cut = Words(read_ranks(rank_path)), regex.compile(pattern)
+        known, cut = words_of(rank_path), regex.compile(pattern)
         for batch in batches:
             n, digests, ids, decoded = [], ([], []), [], []
             for t in batch.column(len(keep)):
                 found = list(map(known.__getitem__, cut.findall(t.as_py() or "")))
-                n.append(sum(len(w[0]) for w in found))
-                digests[0].append(sha256(" ".join([w[1] for w in found]).encode()).hexdigest())
-                data = b"".join([w[2] for w in found])
+                listed = " ".join([w[0] for w in found])
+                n.append(listed.count(" ") + 1 if found else 0)
+                digests[0].append(sha256(listed.encode()).hexdigest())
+                data = b"".join([w[1] for w in found])
                 digests[1].append(sha256(data).hexdigest())
                 if with_ids:
-                    ids.append([i for w in found for i in w[0]])
+                    ids.append(list(map(int, listed.split())))
                     decoded.append(data)
             columns = [pa.array(n, pa.int64()), *(pa.array(d, pa.string()) for d in digests), *([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])

@@ -7,7 +7,8 @@ import public_tokenizers as P
 import tiktoken
 from pyspark.sql import functions as F
 
-from mnemoflow.llm.byte_bpe import decode, encode, merge, read_ranks, transcode
+from mnemoflow.llm import byte_bpe
+from mnemoflow.llm.byte_bpe import Words, decode, encode, merge, read_ranks, transcode
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -43,3 +44,13 @@ def test_forms_match_the_library(spark):
         assert one[i].decoded == two[i].decoded == (t or "").encode()
         assert one[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert transcode(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_frequent_words_are_folded_once_while_rare_ones_pass(monkeypatch):
+    folded = []
+    monkeypatch.setattr(byte_bpe, "merge", lambda word, ranks: folded.append(word) or merge(word, ranks))
+    known, quick = Words(read_ranks(PATH), most=10), library()
+    for i in range(200):
+        for word in ("frequent", f"rare{i}"):
+            assert known[word][0] == " ".join(map(str, quick.encode_ordinary(word))) and len(known) + len(known.older) <= 20
+    assert folded.count(b"frequent") == 1
